@@ -292,4 +292,36 @@ SELECT count(*) AS n, round(1 - sum((y_true - y_pred) * (y_true - y_pred)) / (va
 WITH p AS ({pairs}), l AS (SELECT regr_slope(y_pred, y_true) AS m, regr_intercept(y_pred, y_true) AS c FROM p)
 SELECT l_orderkey, l_linenumber, round(y_true, 6) AS y_true, round(y_pred, 6) AS y_pred,
        round(m * y_true + c, 6) AS y_linear_fit FROM p, l"""
+
+    # ---- vectors / neighbours / split / corpus
+    q["vector_standardize"] = """
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS dim FROM embeddings),
+s AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS sd FROM x GROUP BY dim)
+SELECT vec_id, CAST(dim AS BIGINT) AS dim, round((v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS z
+FROM x JOIN s USING (dim)"""
+    split = ("SELECT vec_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 "
+             "< ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM embeddings")
+    q["train_test_split"] = f"SELECT vec_id AS row_id, split FROM ({split})"
+    q["knn_predict"] = f"""
+WITH sp AS ({split}), e AS (SELECT vec_id, embedding, CAST(label AS DOUBLE) AS y, split FROM embeddings JOIN sp USING (vec_id)),
+d AS (SELECT te.vec_id AS qid, tr.vec_id AS tid, tr.y AS ty,
+             list_sum(list_transform(range(1, len(te.embedding) + 1),
+                      lambda i: pow(CAST(te.embedding[i] AS DOUBLE) - CAST(tr.embedding[i] AS DOUBLE), 2))) AS dist
+      FROM (SELECT * FROM e WHERE split = 'test') te, (SELECT * FROM e WHERE split = 'train') tr)
+SELECT qid AS row_id, round(avg(ty), 6) AS y_pred
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rk FROM d) WHERE rk <= 5 GROUP BY qid"""
+    tok_s = f"regexp_extract_all(trim(replace(smiles, chr(160), '')), '{G.ATOM_RE}', 1)"
+    q["corpus_structures"] = f"""
+WITH src AS ({STRUCT_SRC}), t AS (SELECT row_id, {tok_s} AS toks FROM src),
+s AS (SELECT row_id, CASE WHEN len(toks) > 0 THEN flatten(list_transform(range(1, len(toks) + 1), lambda i:
+        list_transform(range(0, 2), lambda r: array_to_string(toks[greatest(1, i - r):least(len(toks), i + r)], ''))))
+        ELSE [] END AS sentence FROM t)
+SELECT row_id, CAST(len(sentence) AS BIGINT) AS n_ids, array_to_string(sentence, ' ') AS sentence FROM s"""
+    tok_d = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 0)"
+    q["corpus_documents"] = f"""
+WITH t AS (SELECT doc_id, {tok_d} AS toks FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(toks) > 0 THEN flatten(list_transform(range(1, len(toks) + 1), lambda i:
+        list_transform(range(0, 2), lambda r: array_to_string(toks[greatest(1, i - r):least(len(toks), i + r)], ''))))
+        ELSE [] END AS sentence FROM t)
+SELECT doc_id, CAST(len(sentence) AS BIGINT) AS n_ids, md5(array_to_string(sentence, ' ')) AS sentence_md5 FROM s"""
     return q

@@ -305,3 +305,139 @@ def q_prediction_metrics(spark, sf):
 def q_prediction_fit(spark, sf):
     from propkit.operators.evaluate import with_linear_fit
     return _round(with_linear_fit(_pred_pairs(spark, sf), "y_true", "y_pred"))
+
+
+# ---- vectors / neighbours / modelling ------------------------------------------------
+
+def _vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vector"),
+                    F.col("label").cast("double").alias("y"))
+
+
+def q_vector_standardize(spark, sf):
+    from propkit.operators.vectors import standardize_vectors
+    s = standardize_vectors(_vectors(spark, sf), "vector", "scaled")
+    return _round(s.select(F.col("row_id").alias("vec_id"), F.posexplode("scaled").alias("dim", "z"))
+                  .withColumn("dim", F.col("dim").cast("long")))
+
+
+def q_pca_explained_variance(spark, sf):
+    from propkit.operators.vectors import explained_variance, fit_pca_pipeline
+    return explained_variance(fit_pca_pipeline(_vectors(spark, sf), "vector", 70), spark)
+
+
+def q_pca_kmeans(spark, sf):
+    from propkit.operators.vectors import fit_pca_pipeline, kmeans_clusters, pca_scores
+    v = _vectors(spark, sf)
+    scores = pca_scores(fit_pca_pipeline(v, "vector", 10), v, "vector")
+    clustered, _ = kmeans_clusters(scores, k=20, seed=42)
+    return clustered.select("row_id", "cluster_id")
+
+
+def q_train_test_split(spark, sf):
+    from propkit.operators.model import split_train_test
+    return split_train_test(_vectors(spark, sf).select("row_id"), 0.2, seed=42)
+
+
+def q_knn_predict(spark, sf):
+    from propkit.operators.model import split_train_test
+    from propkit.operators.neighbors import knn_regress
+    s = split_train_test(_vectors(spark, sf), 0.2, seed=42).persist()
+    pred = knn_regress(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), k=5)
+    return _round(pred)
+
+
+def q_bootstrap_sample(spark, sf):
+    from propkit.operators.model import bootstrap
+    b = bootstrap(_vectors(spark, sf), 1000, noise_percentage=5.0, seed=7)
+    return b.select("draw", "row_id", "y")
+
+
+def _train(spark, sf, model, params=None, transform=None, scaling="StandardScaler"):
+    from propkit.operators.model import train_and_evaluate
+    res = train_and_evaluate(_vectors(spark, sf), model, params, test_size=0.2, transform=transform, scaling=scaling)
+    return res.metrics
+
+
+def q_train_linear(spark, sf):
+    return _train(spark, sf, "linear_regression")
+
+
+def q_train_ridge(spark, sf):
+    return _train(spark, sf, "ridge", {"alpha": 1.0}, transform="log1p", scaling="MinMaxScaler")
+
+
+def q_train_rfr(spark, sf):
+    return _train(spark, sf, "rfr", {"n_estimators": 20, "max_depth": 5})
+
+
+def q_train_gbr(spark, sf):
+    return _train(spark, sf, "gbr", {"n_estimators": 10, "max_depth": 3}, transform="yeo_johnson",
+                  scaling="RobustScaler")
+
+
+def q_train_knn(spark, sf):
+    return _train(spark, sf, "knn", {"n_neighbors": 5})
+
+
+def q_cross_validation(spark, sf):
+    from propkit.operators.model import cross_validate
+    return cross_validate(_vectors(spark, sf), "ridge", {"alpha": 1.0}, folds=5)
+
+
+def q_grid_search(spark, sf):
+    from propkit.operators.model import grid_search
+    _, res = grid_search(_vectors(spark, sf), "ridge", {"alpha": [0.001, 0.01, 0.1]}, folds=3)
+    return res
+
+
+def q_random_search(spark, sf):
+    from propkit.operators.model import grid_search
+    _, res = grid_search(_vectors(spark, sf), "rfr", {"n_estimators": [5, 10], "max_depth": [2, 4]}, folds=3,
+                         n_iter=2)
+    return res
+
+
+def q_halving_search(spark, sf):
+    from propkit.operators.model import halving_search
+    _, hist = halving_search(_vectors(spark, sf), "ridge", {"alpha": [0.001, 0.01, 0.1, 1.0]}, factor=2, folds=3)
+    return hist
+
+
+def q_score_batch(spark, sf):
+    from propkit.operators.model import score, train_and_evaluate
+    v = _vectors(spark, sf)
+    res = train_and_evaluate(v, "linear_regression", test_size=0.2, transform="sqrt", scaling="StandardScaler")
+    return score(res.model, res.prep, v.drop("y")).select("row_id", "predicted_value")
+
+
+def q_corpus_structures(spark, sf):
+    from propkit.operators.embed import corpus
+    c = corpus(structures(spark, sf), "smiles", radius=1)
+    return c.select("row_id", F.size("sentence").cast("long").alias("n_ids"),
+                    F.array_join("sentence", " ").alias("sentence"))
+
+
+def q_corpus_documents(spark, sf):
+    from propkit.operators.embed import corpus
+    d = table(spark, sf, "documents")
+    c = corpus(d, "text", radius=1, kind="text")
+    return c.select(F.col("doc_id"), F.size("sentence").cast("long").alias("n_ids"),
+                    F.md5(F.array_join("sentence", " ")).alias("sentence_md5"))
+
+
+def q_embed_structures(spark, sf):
+    from propkit.operators.embed import corpus, embed_job, train_word2vec, word2vec_embedder
+    s = structures(spark, sf)
+    model = train_word2vec(corpus(s, "smiles", 1), vector_size=16, seed=42)
+    vecs, summary = embed_job(word2vec_embedder(model, 1), s, "smiles")
+    return summary
+
+
+def q_embed_documents(spark, sf):
+    from propkit.operators.embed import corpus, embed_job, train_word2vec, word2vec_embedder
+    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    model = train_word2vec(corpus(d, "text", 1, kind="text"), vector_size=16, min_count=2, seed=42, partitions=4)
+    vecs, _ = embed_job(word2vec_embedder(model, 1, kind="text"), d, "text")
+    return vecs.select("row_id", "is_valid", F.size("vector").cast("long").alias("dim"))
