@@ -20,50 +20,109 @@ from propkit.functions import transforms as TR
 from propkit.operators.stats import moments, values
 
 
-def _search(y: DataFrame, transform, const_term, n: int, lo=-2.0, hi=2.0, grid=25,
-            tol=1e-9, max_passes=40) -> float:
-    best = None
+@dataclass
+class _Family:
+    name: str
+    transform: object
+    const: object
+    lo: float = -2.0
+    hi: float = 2.0
+    best: float | None = None
+    done: bool = False
+
+
+def _family_transform(name: str, y, lam):
+    """Transform with λ as a Column (one generated expression for every candidate)."""
+    eps = F.lit(TR.EPS)
+    if name == "boxcox":
+        return F.when(F.abs(lam) < eps, F.ln(y)).otherwise((F.pow(y, lam) - 1.0) / lam)
+    pos = F.when(F.abs(lam) < eps, F.log1p(y)).otherwise((F.pow(y + 1.0, lam) - 1.0) / lam)
+    neg = F.when(F.abs(lam - 2.0) < eps, -F.log1p(-y)).otherwise(-(F.pow(1.0 - y, 2.0 - lam) - 1.0) / (2.0 - lam))
+    return F.when(y >= 0, pos).otherwise(neg)
+
+
+def _search(y: DataFrame, fams: list[_Family], n: int, grid: int = 33, tol: float = 1e-4,
+            max_passes: int = 40) -> None:
+    """Joint grid-refine search.  Every pass is ONE aggregate: each cached value is
+    paired with the pass's candidate λ list by ``explode`` (a generator feeding a
+    map-side partial aggregate in the same stage), grouped by (family, candidate)."""
     for _ in range(max_passes):
-        lams = [lo + (hi - lo) * k / (grid - 1) for k in range(grid)]
-        row = y.agg(*[F.var_pop(transform(F.col("y"), lam)).alias(f"v{k}") for k, lam in enumerate(lams)]).first()
-        scores = []
-        for k, lam in enumerate(lams):
-            v = row[f"v{k}"]
-            ok = v is not None and v > 0 and math.isfinite(v)
-            scores.append(const_term(lam) - n / 2.0 * math.log(v) if ok else -math.inf)
-        k = max(range(grid), key=lambda i: (scores[i], -i))
-        best = lams[k]
-        step = (hi - lo) / (grid - 1)
-        if k == 0 or k == grid - 1:
-            lo, hi = best - (hi - lo) / 2.0, best + (hi - lo) / 2.0  # slide
-            continue
-        lo, hi = lams[k - 1], lams[k + 1]
-        if 2 * step < tol * max(1.0, abs(best)):
+        active = [f for f in fams if not f.done]
+        if not active:
             break
-    return best
+        cands = []
+        lams = {}
+        for fi, f in enumerate(active):
+            lams[fi] = [f.lo + (f.hi - f.lo) * k / (grid - 1) for k in range(grid)]
+            cands += [F.struct(F.lit(fi).alias("f"), F.lit(k).alias("k"), F.lit(lam).alias("lam"))
+                      for k, lam in enumerate(lams[fi])]
+        ex = y.select("y", F.explode(F.array(*cands)).alias("c")).select("y", "c.f", "c.k", "c.lam")
+        t = None
+        for fi, f in enumerate(active):
+            expr = _family_transform(f.name, F.col("y"), F.col("lam"))
+            t = F.when(F.col("f") == fi, expr) if t is None else t.when(F.col("f") == fi, expr)
+        got = {(r["f"], r["k"]): r["v"] for r in ex.groupBy("f", "k").agg(F.var_pop(t).alias("v")).collect()}
+        for fi, f in enumerate(active):
+            ls = lams[fi]
+            scores = []
+            for k, lam in enumerate(ls):
+                v = got.get((fi, k))
+                ok = v is not None and v > 0 and math.isfinite(v)
+                scores.append(f.const(lam) - n / 2.0 * math.log(v) if ok else -math.inf)
+            k = max(range(grid), key=lambda i: (scores[i], -i))
+            f.best = ls[k]
+            if k == 0 or k == grid - 1:
+                half = (f.hi - f.lo) / 2.0  # slide: the maximum may lie outside the bracket
+                f.lo, f.hi = f.best - half, f.best + half
+                continue
+            f.lo, f.hi = ls[k - 1], ls[k + 1]
+            if f.hi - f.lo < tol * max(1.0, abs(f.best)):
+                # smooth near the maximum: finish with the parabola through the best three
+                a, b, c = scores[k - 1], scores[k], scores[k + 1]
+                den = a - 2.0 * b + c
+                if math.isfinite(den) and den < 0:
+                    h = ls[k + 1] - ls[k]
+                    f.best = ls[k] + 0.5 * h * (a - c) / den
+                f.done = True
+
+
+def _spread(y: DataFrame) -> DataFrame:
+    """A multi-pass column read from few files would run every pass on few cores:
+    round-robin it to at least the default parallelism before caching."""
+    par = y.sparkSession.sparkContext.defaultParallelism
+    return y.repartition(par) if y.rdd.getNumPartitions() < par else y
+
+
+def fit_lambdas(df: DataFrame, col: str, methods: list[str], **kw) -> dict[str, float]:
+    """F6/F7 λ by maximum likelihood for any of ``boxcox`` / ``yeo_johnson`` at once."""
+    y = _spread(values(df, col)).persist(StorageLevel.MEMORY_AND_DISK)
+    r = y.agg(F.count("y").alias("n"), F.min("y").alias("mn"),
+              F.sum(F.when(F.col("y") > 0, F.ln("y"))).alias("sl"),
+              F.sum(F.signum("y") * F.log1p(F.abs("y"))).alias("sy")).first()
+    n = r["n"]
+    fams = []
+    if "boxcox" in methods:
+        if n == 0 or r["mn"] <= 0:
+            y.unpersist()
+            raise ValueError("Box-Cox needs strictly positive data")
+        sl = r["sl"]
+        fams.append(_Family("boxcox", TR.boxcox, lambda lm: (lm - 1.0) * sl))
+    if "yeo_johnson" in methods:
+        sy = r["sy"]
+        fams.append(_Family("yeo_johnson", TR.yeo_johnson, lambda lm: (lm - 1.0) * sy))
+    _search(y, fams, n, **kw)
+    y.unpersist()
+    return {f.name: f.best for f in fams}
 
 
 def boxcox_lambda(df: DataFrame, col: str, **kw) -> float:
     """F6 λ by maximum likelihood; requires every value > 0."""
-    y = values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
-    r = y.agg(F.count("y").alias("n"), F.sum(F.ln("y")).alias("sl"), F.min("y").alias("mn")).first()
-    if r["n"] == 0 or r["mn"] <= 0:
-        y.unpersist()
-        raise ValueError("Box-Cox needs strictly positive data")
-    n, sl = r["n"], r["sl"]
-    lam = _search(y, TR.boxcox, lambda lm: (lm - 1.0) * sl, n, **kw)
-    y.unpersist()
-    return lam
+    return fit_lambdas(df, col, ["boxcox"], **kw)["boxcox"]
 
 
 def yeo_johnson_lambda(df: DataFrame, col: str, **kw) -> float:
     """F7 λ by maximum likelihood."""
-    y = values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
-    r = y.agg(F.count("y").alias("n"), F.sum(F.signum("y") * F.log1p(F.abs("y"))).alias("sl")).first()
-    n, sl = r["n"], r["sl"]
-    lam = _search(y, TR.yeo_johnson, lambda lm: (lm - 1.0) * sl, n, **kw)
-    y.unpersist()
-    return lam
+    return fit_lambdas(df, col, ["yeo_johnson"], **kw)["yeo_johnson"]
 
 
 @dataclass
@@ -89,13 +148,22 @@ class PowerFit:
 
 
 def fit_power(df: DataFrame, col: str, method: str, **kw) -> PowerFit:
-    if method == "boxcox":
-        return PowerFit("boxcox", boxcox_lambda(df, col, **kw))
-    lam = yeo_johnson_lambda(df, col, **kw)
-    r = values(df, col).agg(F.avg(TR.yeo_johnson(F.col("y"), lam)).alias("m"),
-                            F.stddev_pop(TR.yeo_johnson(F.col("y"), lam)).alias("s")).first()
-    std = r["s"] if r["s"] else 1.0
-    return PowerFit("yeo_johnson", lam, r["m"], std)
+    return fit_powers(df, col, [method], **kw)[method]
+
+
+def fit_powers(df: DataFrame, col: str, methods: list[str], **kw) -> dict[str, PowerFit]:
+    """Fit several power transforms with shared passes; Yeo-Johnson also gets its
+    standardisation (mean, population std) from one more aggregate."""
+    lams = fit_lambdas(df, col, methods, **kw)
+    out = {}
+    if "boxcox" in lams:
+        out["boxcox"] = PowerFit("boxcox", lams["boxcox"])
+    if "yeo_johnson" in lams:
+        lam = lams["yeo_johnson"]
+        t = TR.yeo_johnson(F.col("y"), lam)
+        r = values(df, col).agg(F.avg(t).alias("m"), F.stddev_pop(t).alias("s")).first()
+        out["yeo_johnson"] = PowerFit("yeo_johnson", lam, r["m"], r["s"] if r["s"] else 1.0)
+    return out
 
 
 @dataclass
@@ -143,7 +211,8 @@ def auto_transform(df: DataFrame, col: str, include_power: bool = True) -> Trans
     y = values(df, col)
     mo = moments(y)
     methods = candidate_methods(mo.skew_unbiased, mo.n > 0 and mo.min is not None and mo.min > 0, include_power)
-    fits = {m: fit_power(df, col, m) for m in methods if m in ("boxcox", "yeo_johnson")}
+    power = [m for m in methods if m in ("boxcox", "yeo_johnson")]
+    fits = fit_powers(df, col, power) if power else {}
     scores = candidate_skews(df, col, methods, fits)
     best = None
     for m in methods:

@@ -26,6 +26,13 @@ def values(df: DataFrame, col: str) -> DataFrame:
     return df.select(nan_to_null(F.col(col).cast("double")).alias("y")).where(F.col("y").isNotNull())
 
 
+def spread(y: DataFrame) -> DataFrame:
+    """Round-robin a narrow, compute-heavy input to at least the default parallelism
+    (a no-op for large scans, which already have many splits)."""
+    par = y.sparkSession.sparkContext.defaultParallelism
+    return y.repartition(par) if y.rdd.getNumPartitions() < par else y
+
+
 def row_count(df: DataFrame) -> DataFrame:
     """A1."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
@@ -201,7 +208,7 @@ def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     norm = 1.0 / (m.n * h * math.sqrt(2.0 * math.pi))
     aggs = [F.sum(F.exp(-F.pow(F.lit(x) - F.col("y"), 2.0) / (2.0 * h * h))).alias(f"d{j}")
             for j, x in enumerate(grid)]
-    sums = y.agg(*aggs)
+    sums = spread(y).agg(*aggs)
     stack = ", ".join(f"{j}, CAST({x!r} AS DOUBLE), d{j}" for j, x in enumerate(grid))
     return sums.selectExpr(f"stack({len(grid)}, {stack}) AS (point, x, s)").select(
         F.col("point").cast("int"), "x", (F.col("s") * norm).alias("density"))
