@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propkit.functions.parse import nan_to_null
 
 
 def dedup_lower(df: DataFrame, col: str, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -32,12 +31,15 @@ def dedup_summary(df: DataFrame, col: str) -> DataFrame:
 def range_filter(df: DataFrame, col: str, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Inclusive range on ``col``; an unset bound is open (equivalent to the
     reference's min/max default without an extra pass).  0 is a real bound."""
-    c = nan_to_null(F.col(col).cast("double"))
+    # plain comparisons on the raw column reach the parquet scan as pushed filters;
+    # NaN (which Spark orders above every number) is excluded explicitly
+    c = F.col(col) if dict(df.dtypes).get(col) == "double" else F.col(col).cast("double")
     cond = c.isNotNull()
     if lo is not None:
         cond = cond & (c >= float(lo))
     if hi is not None:
         cond = cond & (c <= float(hi))
+    cond = cond & ~F.isnan(c)
     if col not in df.columns:
         raise ValueError(f"{col} not in the DataFrame")
     return df.where(cond)

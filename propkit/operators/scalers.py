@@ -86,9 +86,7 @@ def fit_scaler(df: DataFrame, col: str, method: str, n_quantiles: int = 1000) ->
         r = y.agg(F.max(F.abs("y")).alias("a")).first()
         return FittedScaler(method, {"scale": _nz(r["a"])})
     if method == "RobustScaler":
-        rk = Ranked(y)
-        q1, med, q3 = rk.quantiles([0.25, 0.5, 0.75])
-        rk.release()
+        q1, med, q3 = Ranked(y, cache=False).quantiles([0.25, 0.5, 0.75])
         return FittedScaler(method, {"center": med, "scale": _nz(q3 - q1)})
     if method == "QuantileTransformer":
         rk = Ranked(y)

@@ -80,8 +80,10 @@ def moments(y: DataFrame) -> Moments:
 class Ranked:
     """A cached global ranking of ``y`` used by quantiles, Q-Q and A²."""
 
-    def __init__(self, y: DataFrame, n: int | None = None):
-        self.df = global_rank(y, "y").persist(StorageLevel.MEMORY_AND_DISK)
+    def __init__(self, y: DataFrame, n: int | None = None, cache: bool = True):
+        ranked = global_rank(y, "y")
+        self.cached = cache
+        self.df = ranked.persist(StorageLevel.MEMORY_AND_DISK) if cache else ranked
         self.n = n if n is not None else self.df.count()
 
     def quantiles(self, probs: list[float]) -> list[float | None]:
@@ -103,7 +105,8 @@ class Ranked:
         return out
 
     def release(self):
-        self.df.unpersist()
+        if self.cached:
+            self.df.unpersist()
 
 
 def describe(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
@@ -116,9 +119,7 @@ def describe(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     if approx:
         q = y.agg(F.percentile_approx("y", [0.25, 0.5, 0.75], 100000).alias("q")).first()["q"] or [None] * 3
     else:
-        ranked = Ranked(y, m.n)
-        q = ranked.quantiles([0.25, 0.5, 0.75])
-        ranked.release()
+        q = Ranked(y, m.n, cache=False).quantiles([0.25, 0.5, 0.75])
     spark = df.sparkSession
     row = [(m.n, m.mean, m.std, m.min, q[0], q[1], q[2], m.max)]
     return spark.createDataFrame(
@@ -163,9 +164,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     if m.n == 0:
         return spark.createDataFrame([], "bin int, lo double, hi double, count long")
     if bins is None:
-        ranked = Ranked(y, m.n)
-        q1, q3 = ranked.quantiles([0.25, 0.75])
-        ranked.release()
+        q1, q3 = Ranked(y, m.n, cache=False).quantiles([0.25, 0.75])
         nb, first, last = auto_bins(m.n, m.min, m.max, q1, q3)
     else:
         nb, first, last = bins, m.min, m.max
