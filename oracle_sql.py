@@ -324,4 +324,10 @@ s AS (SELECT doc_id, CASE WHEN len(toks) > 0 THEN flatten(list_transform(range(1
         list_transform(range(0, 2), lambda r: array_to_string(toks[greatest(1, i - r):least(len(toks), i + r)], ''))))
         ELSE [] END AS sentence FROM t)
 SELECT doc_id, CAST(len(sentence) AS BIGINT) AS n_ids, md5(array_to_string(sentence, ' ')) AS sentence_md5 FROM s"""
+    q["embed_given_vectors"] = f"""
+WITH src AS ({STRUCT_SRC}), t AS (SELECT row_id, unnest({tok_s}) AS word FROM src),
+v AS (SELECT row_id, sum(length(word)) AS v0, sum(ascii(word)) AS v1, sum(ascii(reverse(word))) AS v2 FROM t GROUP BY row_id)
+SELECT src.row_id, coalesce(v.v0 <> 0 OR v.v1 <> 0 OR v.v2 <> 0, false) AS is_valid,
+       round(CAST(v.v0 AS DOUBLE), 6) AS v0, round(CAST(v.v1 AS DOUBLE), 6) AS v1, round(CAST(v.v2 AS DOUBLE), 6) AS v2
+FROM src LEFT JOIN v USING (row_id)"""
     return q

@@ -325,6 +325,18 @@ def score(model, prep: TargetPrep, vectors: DataFrame, invert_transform: bool =
         "features", "prediction")
 
 
+def predict_from_strings(embedder, model, prep: TargetPrep, df: DataFrame, col: str, pca_pipeline=None,
+                         invert_transform: bool = True, id_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """M19 end to end: string column → embedding (E8, or E10 through a fitted PCA
+    pipeline) → model → ``predicted_value`` (unscaled, and untransformed unless
+    ``invert_transform=False``).  Returns (predictions, invalid input rows)."""
+    from propkit.operators.embed import embed_then_pca
+    v = embed_then_pca(embedder, pca_pipeline, df, col) if pca_pipeline is not None else embedder(df, col)
+    valid = v.where(F.col("is_valid"))
+    pred = score(model, prep, valid.withColumnRenamed(id_col, "row_id"), invert_transform)
+    return pred.withColumnRenamed("row_id", id_col), v.where(~F.col("is_valid")).select(id_col, col)
+
+
 def save_trained(result: TrainResult, path: str) -> str:
     """PipelineModel + target-prep sidecar."""
     from propkit.sources.sinks import write_sidecar

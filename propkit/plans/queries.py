@@ -443,3 +443,32 @@ def q_embed_documents(spark, sf):
     model = train_word2vec(corpus(d, "text", 1, kind="text"), vector_size=16, min_count=2, seed=42, partitions=4)
     vecs, _ = embed_job(word2vec_embedder(model, 1, kind="text"), d, "text")
     return vecs.select("row_id", "is_valid", F.size("vector").cast("long").alias("dim"))
+
+
+def q_embed_given_vectors(spark, sf):
+    """E8 join path with token vectors derived from the data (deterministic, SQL-checkable):
+    vector(token) = [length, code of first char, code of last char]."""
+    from propkit.operators.embed import corpus, embed_sum_join
+    c = corpus(structures(spark, sf), "smiles", radius=0)
+    vocab = c.select(F.explode("sentence").alias("word")).distinct().select(
+        "word", F.array(F.length("word").cast("double"), F.ascii("word").cast("double"),
+                        F.ascii(F.reverse("word")).cast("double")).alias("vector"))
+    e = embed_sum_join(vocab, c, "sentence", "row_id")
+    return _round(e.select("row_id", "is_valid", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"),
+                           F.col("vector")[2].alias("v2")))
+
+
+def q_predict_structures(spark, sf):
+    """E6 → E7 → E8 → M1 → M5 → M19 on the part-derived structures: train on the valid
+    rows' embeddings against p_retailprice, then score every structure string."""
+    from propkit.operators.embed import corpus, train_word2vec, word2vec_embedder
+    from propkit.operators.model import predict_from_strings, train_and_evaluate, training_set
+    s = structures(spark, sf)
+    w2v = train_word2vec(corpus(s, "smiles", 1), vector_size=8, seed=42)
+    emb = word2vec_embedder(w2v, 1)
+    vecs = emb(s, "smiles").where(F.col("is_valid"))
+    targets = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), "p_retailprice")
+    data = training_set(vecs, targets, "p_retailprice")
+    res = train_and_evaluate(data, "linear_regression", test_size=0.2, scaling="StandardScaler")
+    pred, _ = predict_from_strings(emb, res.model, res.prep, s, "smiles")
+    return pred.select("row_id", "predicted_value")
