@@ -330,4 +330,12 @@ v AS (SELECT row_id, sum(length(word)) AS v0, sum(ascii(word)) AS v1, sum(ascii(
 SELECT src.row_id, coalesce(v.v0 <> 0 OR v.v1 <> 0 OR v.v2 <> 0, false) AS is_valid,
        round(CAST(v.v0 AS DOUBLE), 6) AS v0, round(CAST(v.v1 AS DOUBLE), 6) AS v1, round(CAST(v.v2 AS DOUBLE), 6) AS v2
 FROM src LEFT JOIN v USING (row_id)"""
+    q["invalid_structures"] = f"SELECT row_id, smiles FROM ({profile_sql()}) WHERE NOT is_valid"
+    q["clean_documents"] = """
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (
+  SELECT doc_id, CASE WHEN trim(replace(text, chr(160), '')) = 'nan' THEN NULL
+                      ELSE trim(replace(text, chr(160), '')) END AS t FROM documents)"""
+    q["dedup_summary"] = """
+SELECT count(*) AS n_rows, count(DISTINCT lower(p_name)) + max(CAST(p_name IS NULL AS INTEGER)) AS n_kept,
+       count(*) - (count(DISTINCT lower(p_name)) + max(CAST(p_name IS NULL AS INTEGER))) AS n_dropped FROM part"""
     return q

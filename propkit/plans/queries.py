@@ -472,3 +472,21 @@ def q_predict_structures(spark, sf):
     res = train_and_evaluate(data, "linear_regression", test_size=0.2, scaling="StandardScaler")
     pred, _ = predict_from_strings(emb, res.model, res.prep, s, "smiles")
     return pred.select("row_id", "predicted_value")
+
+
+def q_invalid_structures(spark, sf):
+    """The invalid-row output of the profile job."""
+    from propkit.operators.clean import split_valid
+    _, invalid = split_valid(_profile(spark, sf))
+    return invalid.select("row_id", "smiles")
+
+
+def q_clean_documents(spark, sf):
+    """P2 over whole texts: non-breaking spaces removed, trimmed, literal 'nan' → NULL."""
+    from propkit.functions.parse import clean_text
+    d = table(spark, sf, "documents").select("doc_id", clean_text("text").alias("t"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+def q_dedup_summary(spark, sf):
+    return clean.dedup_summary(table(spark, sf, "part"), "p_name")
