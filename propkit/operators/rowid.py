@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propkit.session import cut_lineage
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -30,6 +32,16 @@ def _number_partitions(df: DataFrame, name: str, start: int) -> DataFrame:
     return out.withColumn(name, rid.cast("long")).drop("_pk_pid", "_pk_mid", "_pk_off")
 
 
+def _stable(df: DataFrame) -> DataFrame:
+    """Numbering relies on re-executed tasks seeing the same rows in the same order.
+    A bare scan guarantees that; the output of a shuffle (join, aggregate, round-robin
+    repartition) does not, so such an input is first written to the shared checkpoint
+    folder (``spark.checkpoint.dir``) and numbered from there."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = any(k in plan for k in ("Join", "Aggregate", "Repartition", "Window", "Sort ", "Union", "Sample"))
+    return cut_lineage(df) if shuffled else df
+
+
 def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str | Column] | None = None,
                    num_partitions: int | None = None, start: int = 0) -> DataFrame:
     """Attach a dense 0-based (or ``start``-based) row index.
@@ -42,11 +54,14 @@ def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str | Col
     """
     if name in df.columns:
         return df
+    df = _stable(df)
     if not order_by:
         return _number_partitions(df, name, start)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    # The counts branch below re-reads the range exchange with only the key columns
+    # (pruned), so the second shuffle is key-only; both see the same sampled bounds.
     tied = df.withColumn("_pk_tie", F.monotonically_increasing_id())
     ordered = (tied.repartitionByRange(n, *keys, F.col("_pk_tie"))
                .sortWithinPartitions(*keys, F.col("_pk_tie")))
