@@ -338,4 +338,22 @@ SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (
     q["dedup_summary"] = """
 SELECT count(*) AS n_rows, count(DISTINCT lower(p_name)) + max(CAST(p_name IS NULL AS INTEGER)) AS n_kept,
        count(*) - (count(DISTINCT lower(p_name)) + max(CAST(p_name IS NULL AS INTEGER))) AS n_dropped FROM part"""
+    q["scale_quantile"] = """
+WITH y AS (SELECT c_custkey, c_acctbal AS y FROM customer WHERE c_acctbal IS NOT NULL AND NOT isnan(c_acctbal)),
+s AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS k FROM y),
+n AS (SELECT count(*) AS n, least(1000, count(*)) AS nq FROM y),
+refs AS (SELECT range AS j, CASE WHEN range = nq - 1 THEN 1.0 ELSE range * (1.0 / (nq - 1)) END AS r, n
+         FROM n, range(0, (SELECT nq FROM n))),
+pos AS (SELECT j, r, r * (n - 1) AS h FROM refs),
+qs AS (SELECT pos.j, pos.r, lo.y + (hi.y - lo.y) * (pos.h - floor(pos.h)) AS q
+       FROM pos JOIN s lo ON lo.k = floor(pos.h) JOIN s hi ON hi.k = ceil(pos.h)),
+qq AS (SELECT j, r, q, lead(q) OVER (ORDER BY j) AS q1, lead(r) OVER (ORDER BY j) AS r1,
+              lag(q) OVER (ORDER BY j) AS q0, lag(r) OVER (ORDER BY j) AS r0 FROM qs),
+up AS (SELECT y.c_custkey, y.y, max(qs.j) AS j FROM y JOIN qs ON qs.q <= y.y GROUP BY y.c_custkey, y.y),
+dn AS (SELECT y.c_custkey, min(qs.j) AS j FROM y JOIN qs ON qs.q >= y.y GROUP BY y.c_custkey),
+v AS (SELECT up.c_custkey,
+        CASE WHEN a.q1 IS NULL THEN a.r ELSE ((a.r1 - a.r) / (a.q1 - a.q)) * (up.y - a.q) + a.r END AS inc,
+        CASE WHEN b.q0 IS NULL THEN b.r ELSE b.r - ((b.r - b.r0) / (b.q - b.q0)) * (b.q - up.y) END AS dec
+      FROM up JOIN qq a ON a.j = up.j JOIN dn USING (c_custkey) JOIN qq b ON b.j = dn.j)
+SELECT c_custkey, round(least(greatest(0.5 * (inc + dec), 0.0), 1.0), 6) AS scaled FROM v"""
     return q
