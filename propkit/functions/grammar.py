@@ -118,8 +118,7 @@ def profile_stages(col: str):
         ("is_cyclic_non_aromatic", lambda c: (F.size(c("_labels")) > 0) & ~c("_aromatic")),
         ("category", lambda c: F.when(F.array_contains(c("_syms"), "C"), F.lit("Organic")).otherwise(F.lit("Inorganic"))),
         ("molecular_weight", lambda c: F.aggregate(
-            F.transform(c("_toks"), lambda t: F.try_element_at(mass_map, _cap(F.regexp_extract(t, SYMBOL_RE, 1)))
-                        + _bracket_h(t) * H_MASS),
+            F.zip_with(c("_syms"), c("_toks"), lambda sym, t: F.try_element_at(mass_map, sym) + _bracket_h(t) * H_MASS),
             F.lit(0.0).cast("double"), lambda acc, m: acc + m)),
         ("elements", lambda c: counter_map(c("_syms"))),
         ("element_categories", lambda c: counter_map(F.transform(c("_zs"), category_of_z))),
