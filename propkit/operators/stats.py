@@ -29,6 +29,8 @@ def values(df: DataFrame, col: str) -> DataFrame:
 def spread(y: DataFrame) -> DataFrame:
     """Round-robin a narrow, compute-heavy input to at least the default parallelism
     (a no-op for large scans, which already have many splits)."""
+    if y.isStreaming:
+        return y
     par = y.sparkSession.sparkContext.defaultParallelism
     return y.repartition(par) if y.rdd.getNumPartitions() < par else y
 
