@@ -211,7 +211,8 @@ def auto_transform(df: DataFrame, col: str, include_power: bool = True) -> Trans
     y = values(df, col)
     mo = moments(y)
     methods = candidate_methods(mo.skew_unbiased, mo.n > 0 and mo.min is not None and mo.min > 0, include_power)
-    power = [m for m in methods if m in ("boxcox", "yeo_johnson")]
+    power = [m for m in methods if m in ("boxcox", "yeo_johnson")] if mo.std else []
+    methods = [m for m in methods if m not in ("boxcox", "yeo_johnson") or m in power]
     fits = fit_powers(df, col, power) if power else {}
     scores = candidate_skews(df, col, methods, fits)
     best = None
@@ -219,7 +220,8 @@ def auto_transform(df: DataFrame, col: str, include_power: bool = True) -> Trans
         s = scores[m]
         if s is not None and (best is None or abs(s) < abs(scores[best])):
             best = m
-    return TransformChoice(mo.skew_unbiased, scores, best, fits)
+    # no finite score at all (e.g. a constant column): the first candidate stands
+    return TransformChoice(mo.skew_unbiased, scores, best or methods[0], fits)
 
 
 def transform_scores_frame(df: DataFrame, choice: TransformChoice) -> DataFrame:

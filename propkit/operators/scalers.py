@@ -74,22 +74,33 @@ class FittedScaler:
         return FittedScaler(d["method"], d["params"])
 
 
+def _need(v, method):
+    if v is None:
+        raise ValueError(f"{method}: no non-null values to fit")
+    return v
+
+
 def fit_scaler(df: DataFrame, col: str, method: str, n_quantiles: int = 1000) -> FittedScaler:
     y = values(df, col)
     if method == "StandardScaler":
         r = y.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
-        return FittedScaler(method, {"mean": r["m"], "scale": _nz(r["s"])})
+        return FittedScaler(method, {"mean": _need(r["m"], method), "scale": _nz(r["s"])})
     if method == "MinMaxScaler":
         r = y.agg(F.min("y").alias("lo"), F.max("y").alias("hi")).first()
-        return FittedScaler(method, {"min": r["lo"], "scale": _nz(r["hi"] - r["lo"])})
+        lo, hi = _need(r["lo"], method), r["hi"]
+        return FittedScaler(method, {"min": lo, "scale": _nz(hi - lo)})
     if method == "MaxAbsScaler":
         r = y.agg(F.max(F.abs("y")).alias("a")).first()
-        return FittedScaler(method, {"scale": _nz(r["a"])})
+        return FittedScaler(method, {"scale": _nz(_need(r["a"], method))})
     if method == "RobustScaler":
         q1, med, q3 = Ranked(y, cache=False).quantiles([0.25, 0.5, 0.75])
+        _need(med, method)
         return FittedScaler(method, {"center": med, "scale": _nz(q3 - q1)})
     if method == "QuantileTransformer":
         rk = Ranked(y)
+        if rk.n == 0:
+            rk.release()
+            raise ValueError(f"{method}: no non-null values to fit")
         nq = max(1, min(n_quantiles, rk.n))
         refs = np.linspace(0, 1, nq).tolist()
         qs = rk.quantiles(refs)

@@ -165,6 +165,8 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if m.n == 0:
         return spark.createDataFrame([], "bin int, lo double, hi double, count long")
+    if not math.isfinite(m.max - m.min):
+        raise ValueError(f"autodetected range of [{m.min}, {m.max}] is not finite")
     if bins is None:
         q1, q3 = Ranked(y, m.n, cache=False).quantiles([0.25, 0.75])
         nb, first, last = auto_bins(m.n, m.min, m.max, q1, q3)
@@ -256,9 +258,14 @@ def anderson_darling(df: DataFrame, col: str, ranked: Ranked | None = None) -> D
     """Statistic, critical values and significance levels (5 rows)."""
     y = values(df, col)
     m = moments(y)
-    r = ranked or Ranked(y, m.n)
-    stat = anderson_darling_statistic(r.df, m.n, m.mean, m.std).first()["statistic"]
-    if ranked is None:
-        r.release()
+    schema = "significance_level double, critical_value double, statistic double"
+    if m.n == 0:
+        return df.sparkSession.createDataFrame([], schema)
+    stat = None
+    if m.std:  # a constant (or single-value) sample has no defined statistic
+        r = ranked or Ranked(y, m.n)
+        stat = anderson_darling_statistic(r.df, m.n, m.mean, m.std).first()["statistic"]
+        if ranked is None:
+            r.release()
     rows = [(s, c, stat) for s, c in zip(AD_SIGNIFICANCE, ad_critical_values(m.n))]
-    return df.sparkSession.createDataFrame(rows, "significance_level double, critical_value double, statistic double")
+    return df.sparkSession.createDataFrame(rows, schema)
