@@ -84,25 +84,57 @@ def dedup_job(df: DataFrame, col: str, out_dir: str | None = None) -> tuple[Data
 
 
 def profile_job(spark: SparkSession, df: DataFrame, col: str, out_dir: str, bin_size: int = 10,
-                id_col: str = "row_id") -> dict:
-    """Structure-analysis job: profile once → write (valid + invalid rows) → distributions."""
+                id_col: str = "row_id", csv_copy: bool = False) -> dict:
+    """Structure-analysis job: profile once → write (valid + invalid rows) → distributions.
+
+    ``csv_copy`` also writes the profile as CSV with the two maps as JSON text (P13)."""
     prof = profile.structure_profile(with_row_index(df, id_col), col)
     write_table(prof, f"{out_dir}/profile")
     stored = spark.read.parquet(f"{out_dir}/profile")
     write_table(stored.where(~F.col("is_valid")), f"{out_dir}/invalid")
-    res = {
-        "size_distribution": profile.size_counts(stored),
-        "binned_size_distribution": profile.binned_size_distribution(stored, bin_size),
-        "structural_distribution": profile.structural_distribution(stored),
-        "elemental_distribution": profile.elemental_distribution(stored),
-        "top_elements": profile.top_elements(stored),
-        "element_categories": profile.element_category_totals(stored),
-        "summary": profile.profile_summary(stored),
-    }
+    if csv_copy:
+        write_table(profile.profile_json(stored), f"{out_dir}/profile_csv", fmt="csv")
+    res = distributions_from_profile(spark, f"{out_dir}/profile", "all", bin_size)
+    res["top_elements"] = profile.top_elements(stored)
+    res["element_categories"] = profile.element_category_totals(stored)
+    res["summary"] = profile.profile_summary(stored)
     write_sidecar(spark, f"{out_dir}/metadata", {"column": col, "index_column": id_col, "bin_size": bin_size})
     return res
 
 
+MODES = ("all", "size_distribution", "structural_distribution", "elemental_distribution")
+
+
+def distributions_from_profile(spark: SparkSession, path: str, mode: str = "all", bin_size: int = 10,
+                               fmt: str = "parquet") -> dict:
+    """E5: distributions from a saved profile (parquet, or CSV with JSON map columns)."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    if fmt == "csv":
+        stored = profile.profile_from_json(read_table(spark, path, "csv", normalize=False))
+    else:
+        stored = spark.read.parquet(path)
+    res = {}
+    if mode in ("all", "size_distribution"):
+        res["size_distribution"] = profile.size_counts(stored)
+        res["binned_size_distribution"] = profile.binned_size_distribution(stored, bin_size)
+    if mode in ("all", "structural_distribution"):
+        res["structural_distribution"] = profile.structural_distribution(stored)
+    if mode in ("all", "elemental_distribution"):
+        res["elemental_distribution"] = profile.elemental_distribution(stored)
+    return res
+
+
+def make_index_job(spark: SparkSession, path: str, index_column: str, out: str, filetype: str | None = None,
+                   fmt: str = "parquet") -> DataFrame:
+    """S8 as a job: use ``index_column`` if the table has it, else number rows 0..n-1
+    in scan order under that name; written to ``out`` (never over the input)."""
+    df = with_row_index(read_table(spark, path, filetype, normalize=False), index_column)
+    cols = [index_column] + [c for c in df.columns if c != index_column]
+    write_table(df.select(*cols), out, fmt=fmt)
+    return spark.read.parquet(out) if fmt == "parquet" else read_table(spark, out, fmt)
+
+
 def profile_filter_job(spark: SparkSession, training: DataFrame, out_dir: str, id_col: str = "row_id",
                        **filters) -> DataFrame:
     """Filter job on a stored profile, semi-joined back to the training table."""

@@ -29,6 +29,18 @@ def test_profile_jobs_roundtrip(spark, tmp_path):
     assert 0 < kept.count() < part.count()
 
 
+def test_distributions_from_csv_profile_and_index_job(spark, tmp_path):
+    s = structures(spark, SF)
+    jobs.profile_job(spark, s, "smiles", str(tmp_path / "p"), bin_size=3, csv_copy=True)
+    a = jobs.distributions_from_profile(spark, str(tmp_path / "p/profile"), "elemental_distribution")
+    b = jobs.distributions_from_profile(spark, str(tmp_path / "p/profile_csv"), "elemental_distribution", fmt="csv")
+    assert sorted(a["elemental_distribution"].collect()) == sorted(b["elemental_distribution"].collect())
+    idx = jobs.make_index_job(spark, f"{SF}/events.parquet", "idx", str(tmp_path / "ix"))
+    assert idx.columns[0] == "idx" and sorted(r[0] for r in idx.select("idx").collect()) == list(range(idx.count()))
+    keep = jobs.make_index_job(spark, f"{SF}/events.parquet", "event_id", str(tmp_path / "ix2"))
+    assert keep.columns[0] == "event_id"
+
+
 def test_sinks_and_csv_roundtrip(spark, tmp_path):
     o = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_totalprice")
     write_table(o, str(tmp_path / "o.csv"), fmt="csv")
