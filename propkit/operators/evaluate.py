@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_BROADCAST_GROUPS = 10000
+
+
 def regression_metrics(df: DataFrame, y_true: str, y_pred: str, by: list[str] | None = None) -> DataFrame:
     """R², MSE, RMSE, MAE and the fitted line (slope, intercept) in one aggregate.
 
@@ -34,7 +37,15 @@ def with_linear_fit(df: DataFrame, y_true: str, y_pred: str, by: list[str] | Non
     back on the group keys (broadcast: one row per group)."""
     if by:
         line = df.groupBy(*by).agg(F.regr_slope(y_pred, y_true).alias("_m"), F.regr_intercept(y_pred, y_true).alias("_c"))
-        j = df.join(F.broadcast(line), by, "left")
+        # one line per group: few groups (splits, folds) are collected behind a count
+        # check and broadcast as a bounded table; a hash join on a handful of keys would
+        # put every row into a handful of tasks.  Many groups: a regular join.
+        rows = line.limit(MAX_BROADCAST_GROUPS + 1).collect()
+        if len(rows) <= MAX_BROADCAST_GROUPS:
+            small = df.sparkSession.createDataFrame(rows, line.schema)
+            j = df.join(F.broadcast(small), by, "left")
+        else:
+            j = df.join(line, by, "left")
     else:
         r = df.agg(F.regr_slope(y_pred, y_true).alias("_m"), F.regr_intercept(y_pred, y_true).alias("_c")).first()
         j = df.withColumn("_m", F.lit(r["_m"])).withColumn("_c", F.lit(r["_c"]))

@@ -50,6 +50,7 @@ def read_smi(spark: SparkSession, path: str, column: str = "SMILES") -> DataFram
         F.col("_metadata.file_path").alias("_f"),
         F.col("_metadata.file_block_start").alias("_b"),
     ).withColumn("_id", F.monotonically_increasing_id())
+    # one row per input file (bounded by the file count), hence the broadcasts below
     firsts = raw.where(F.col("_b") == 0).groupBy("_f").agg(F.min("_id").alias("_id"))
     headers = raw.join(F.broadcast(firsts.select("_id")), "_id", "left_semi").where(
         F.lower(F.col(column)) == "smiles").select("_id")
