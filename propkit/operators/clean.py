@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 
 
-def dedup_lower(df: DataFrame, col: str, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
+def dedup_lower(df: DataFrame, col: str, row_id: str = "row_id", hash_key: bool = True) -> tuple[DataFrame, DataFrame]:
     """W1 + J3: keep the first row (smallest ``row_id``) of each lower-cased ``col``.
 
     Returns (kept, dropped).  Skew-safe: the per-key minimum is a partial (map-side
     combined) aggregate, so a key holding a third of the table collapses to one row
     per map task; the rows are then matched on the unique ``row_id`` — evenly hashed —
-    instead of being windowed per key.  NULL keys form one group.
+    instead of being windowed per key.  NULL keys form one group.  ``hash_key`` groups on
+    SHA-256 of the lower-cased key (a collision between different keys is practically
+    impossible); ``hash_key=False`` groups on the key itself.
     """
-    firsts = df.groupBy(F.lower(F.col(col)).alias("_k")).agg(F.min(row_id).alias(row_id)).select(row_id)
+    # group on a 32-byte digest of the lower-cased key, not on the key itself: long
+    # texts are never shuffled as grouping keys (NULL keys still form one group)
+    key = F.sha2(F.lower(F.col(col).cast("string")), 256) if hash_key else F.lower(F.col(col))
+    firsts = df.groupBy(key.alias("_k")).agg(F.min(row_id).alias(row_id)).select(row_id)
     kept = df.join(firsts, row_id, "left_semi")
     dropped = df.join(firsts, row_id, "left_anti")
     return kept, dropped
@@ -24,7 +29,8 @@ def dedup_lower(df: DataFrame, col: str, row_id: str = "row_id") -> tuple[DataFr
 def dedup_summary(df: DataFrame, col: str) -> DataFrame:
     """Counts: rows, distinct lower-cased keys, duplicates dropped (one row)."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  (F.count_distinct(F.lower(F.col(col))) + F.max(F.col(col).isNull().cast("int"))).alias("n_kept")) \
+                  (F.count_distinct(F.sha2(F.lower(F.col(col).cast("string")), 256))
+                   + F.max(F.col(col).isNull().cast("int"))).alias("n_kept")) \
         .withColumn("n_dropped", F.col("n_rows") - F.col("n_kept"))
 
 
