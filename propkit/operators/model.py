@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import warnings
 import math
 import random
 from dataclasses import dataclass, field
@@ -136,9 +137,22 @@ def split_train_test(df: DataFrame, test_size: float, seed: int = 42, id_col: st
 MODEL_NAMES = ("linear_regression", "ridge", "knn", "rfr", "gbr", "xgboost", "catboost", "lgbm")
 
 
+_KNOWN_PARAMS = {
+    "linear_regression": {"fit_intercept", "n_jobs"},
+    "ridge": {"alpha", "fit_intercept"},
+    "rfr": {"random_state", "n_estimators", "max_depth", "min_samples_leaf", "n_jobs"},
+    "gbr": {"random_state", "n_estimators", "iterations", "max_depth", "depth", "learning_rate", "subsample", "n_jobs"},
+    "knn": {"n_neighbors", "n_jobs"},
+}
+
+
 def make_estimator(name: str, params: dict | None = None, n_rows: int | None = None, y_std_pop: float | None = None,
                    features: str = "features", label: str = "y", seed: int = 42):
     p = dict(params or {})
+    known = _KNOWN_PARAMS.get("gbr" if name in ("xgboost", "catboost", "lgbm") else name, set())
+    unmapped = sorted(set(p) - known)
+    if unmapped and name in MODEL_NAMES:
+        warnings.warn(f"{name}: parameters without a Spark ML equivalent are ignored: {unmapped}")
     if name == "linear_regression":
         return LinearRegression(featuresCol=features, labelCol=label, regParam=0.0, solver="normal",
                                 fitIntercept=p.get("fit_intercept", True))
@@ -315,6 +329,24 @@ def halving_search(data: DataFrame, model: str, grid: dict, factor: int = 3, fol
     return best_model, hist
 
 
+SEARCH_METHODS = ("GridSearchCV", "RandomizedSearchCV", "HalvingGridSearchCV", "HalvingRandomSearchCV",
+                  "DaskGridSearchCV", "DaskRandomizedSearchCV")
+
+
+def search(data: DataFrame, model: str, grid: dict, method: str = "GridSearchCV", folds: int = 5, seed: int = 42,
+           n_iter: int | None = None, factor: int = 3):
+    """Searches by the reference's names; the Dask variants run the same Spark search."""
+    if method in ("GridSearchCV", "DaskGridSearchCV"):
+        return grid_search(data, model, grid, folds, seed)
+    if method in ("RandomizedSearchCV", "DaskRandomizedSearchCV"):
+        return grid_search(data, model, grid, folds, seed, n_iter=n_iter or 10)
+    if method == "HalvingGridSearchCV":
+        return halving_search(data, model, grid, factor, folds, seed)
+    if method == "HalvingRandomSearchCV":
+        return halving_search(data, model, grid, factor, folds, seed, n_candidates=n_iter)
+    raise ValueError(f"unknown search method {method!r}; choose one of {SEARCH_METHODS}")
+
+
 # ---- M19 ------------------------------------------------------------------------
 
 def score(model, prep: TargetPrep, vectors: DataFrame, invert_transform: bool = True) -> DataFrame:

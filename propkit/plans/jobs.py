@@ -147,3 +147,44 @@ def prediction_analysis_job(df: DataFrame, column_x: str, column_y: str) -> tupl
     """Metrics row + per-row fitted line."""
     return (evaluate.prediction_analysis(df, column_x, column_y),
             evaluate.with_linear_fit(df, column_x, column_y))
+
+
+def train_job(vectors: DataFrame, targets: DataFrame, y_col: str, model: str = "linear_regression",
+              parameters: dict | None = None, test_size: float = 0.2, bootstrap: bool = False,
+              bootstrap_nsamples: int = 0, noise_percentage: float = 0.0, ytransformation: str | None = None,
+              yscaling: str | None = "StandardScaler", skip_invalid_y_values: bool = True,
+              fine_tune_model: bool = False, grid_search_method: str = "GridSearchCV",
+              fine_tuned_hyperparameters: dict | None = None, grid_search_parameters: dict | None = None,
+              cv_fold: int = 5, cross_validation: bool = False, inverse_scaling: bool = True,
+              inverse_transform: bool = True, save_to: str | None = None, seed: int = 42) -> dict:
+    """Training job with the reference's run arguments (M1 → M2/M3 → M4 → fit or search
+    → M16 → M15 → S11/S12).  Returns DataFrames plus a small summary dict."""
+    from propkit.operators import model as M
+    from propkit.sources.sinks import write_results
+    data = M.training_set(vectors, targets, y_col, skip_invalid_y=skip_invalid_y_values)
+    if bootstrap:
+        # a row drawn twice needs two identities: the draw number is unique and deterministic
+        data = M.bootstrap(data, int(bootstrap_nsamples), float(noise_percentage), seed) \
+            .drop("row_id").withColumnRenamed("draw", "row_id")
+    out = {"bootstrap": bootstrap, "n_rows": data.count()}
+    params = dict(parameters or {})
+    if fine_tune_model:
+        gp = grid_search_parameters or {}
+        best, table = M.search(data, model, fine_tuned_hyperparameters or {}, grid_search_method, cv_fold, seed,
+                               n_iter=gp.get("n_iter"), factor=int(gp.get("factor", 3)))
+        out["search_results"] = table
+        best_params = {p.name: v for p, v in best.extractParamMap().items()
+                       if p.name in ("regParam", "numTrees", "maxDepth", "maxIter", "stepSize", "minInstancesPerNode")}
+        out["best_params"] = best_params
+        for k, v in (fine_tuned_hyperparameters or {}).items():
+            params.setdefault(k, v[0] if isinstance(v, (list, tuple)) else v)
+    res = M.train_and_evaluate(data, model, params, test_size, ytransformation, yscaling, seed,
+                               inverse_scaling, inverse_transform)
+    out["predictions"], out["metrics"] = res.predictions, res.metrics
+    out["result"] = res
+    if cross_validation and not fine_tune_model and test_size > 0:
+        out["cv_scores"] = M.cross_validate(data, model, params, cv_fold, seed)
+    if save_to:
+        M.save_trained(res, f"{save_to}/model")
+        write_results(res.predictions, res.metrics, f"{save_to}/results")
+    return out

@@ -75,3 +75,17 @@ def test_streaming_row_operators(spark, tmp_path):
     q.stop()
     rows = spark.sql("SELECT y, n_atoms FROM rowops").collect()
     assert sorted((r["y"], r["n_atoms"]) for r in rows) == [(1.5, 3), (3.0, 6)]
+
+
+def test_train_job_with_search_and_cv(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    vecs = e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    targets = e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("label"))
+    out = jobs.train_job(vecs, targets, "label", model="ridge", fine_tune_model=True,
+                         grid_search_method="DaskRandomizedSearchCV", fine_tuned_hyperparameters={"alpha": [0.1, 1.0]},
+                         grid_search_parameters={"n_iter": 2}, cv_fold=3, save_to=str(tmp_path / "run"))
+    assert out["search_results"].count() == 2 and "regParam" in out["best_params"]
+    assert sorted(r["split"] for r in out["metrics"].collect()) == ["test", "train"]
+    out2 = jobs.train_job(vecs, targets, "label", model="linear_regression", bootstrap=True, bootstrap_nsamples=300,
+                          noise_percentage=2.0, cross_validation=True, cv_fold=3)
+    assert out2["n_rows"] == 300 and out2["cv_scores"].count() == 3
