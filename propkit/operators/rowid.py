@@ -42,6 +42,25 @@ def _stable(df: DataFrame) -> DataFrame:
     return cut_lineage(df) if shuffled else df
 
 
+def _range_partitions(df: DataFrame) -> int:
+    """Range partitions for numbering: about one advisory partition size each (from the
+    optimizer's size estimate), at least the default parallelism, at most
+    ``spark.sql.shuffle.partitions``.  The count is fixed up front because both
+    branches of the numbering must see the same partitions (AQE must not coalesce)."""
+    spark = df.sparkSession
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor_ = spark.sparkContext.defaultParallelism
+    advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    a = advisory.strip().lower().rstrip("b")
+    target = int(float(a[:-1]) * units[a[-1]]) if a and a[-1] in units else int(float(a or 67108864))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: use the configured count
+        return cap
+    return max(1, min(cap, max(floor_, -(-size // max(target, 1)))))
+
+
 def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str | Column] | None = None,
                    num_partitions: int | None = None, start: int = 0) -> DataFrame:
     """Attach a dense 0-based (or ``start``-based) row index.
@@ -57,8 +76,7 @@ def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str | Col
     df = _stable(df)
     if not order_by:
         return _number_partitions(df, name, start)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _range_partitions(df)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     # The counts branch below re-reads the range exchange with only the key columns
     # (pruned), so the second shuffle is key-only; both see the same sampled bounds.
