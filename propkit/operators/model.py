@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import warnings
 import math
@@ -258,75 +257,95 @@ _PARAM_MAP = {"n_estimators": ("numTrees", "maxIter"), "max_depth": ("maxDepth",
               "alpha": ("regParam",), "min_samples_leaf": ("minInstancesPerNode",)}
 
 
-def _grid(est, grid: dict) -> list:
+def _grid(est, grid: dict, alpha_scale: float = 1.0) -> list:
+    """Param maps; ridge's ``alpha`` is rescaled to Spark's regParam (α·σ_pop(y)/n) as in
+    :func:`make_estimator`, so a grid means the same as a single fit."""
     b = ParamGridBuilder()
     for k, values in grid.items():
         names = _PARAM_MAP.get(k, (k,))
         param = next((est.getParam(n) for n in names if est.hasParam(n)), None)
         if param is None:
             raise ValueError(f"parameter {k!r} has no Spark equivalent for {type(est).__name__}")
-        b = b.addGrid(param, list(values))
+        vals = [v * alpha_scale for v in values] if k == "alpha" else list(values)
+        b = b.addGrid(param, vals)
     return b.build()
 
 
-def grid_search(data: DataFrame, model: str, grid: dict, folds: int = 5, seed: int = 42, n_iter: int | None = None,
-                parallelism: int = 2, sample_fraction: float = 1.0):
-    """M11 (all candidates) / M12 (``n_iter`` seeded candidates): CrossValidator with R².
+def _alpha_scale(data: DataFrame, model: str) -> float:
+    if model != "ridge":
+        return 1.0
+    r = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("s")).first()
+    return (r["s"] or 1.0) / max(r["n"], 1)
 
-    Returns (best_model, results DF: candidate, params, mean_test_score,
-    std_test_score, rank_test_score).
-    """
-    est = make_estimator(model, {}, seed=seed)
-    if isinstance(est, KNNRegressor):
-        raise ValueError("searches run on Spark ML estimators; tune knn with cross_validate")
-    maps = _grid(est, grid)
-    if n_iter is not None and n_iter < len(maps):
-        maps = random.Random(seed).sample(maps, n_iter)
+
+def _cross_validate_maps(data: DataFrame, est, maps: list, folds: int, seed: int, parallelism: int,
+                         sample_fraction: float = 1.0):
+    """One CrossValidator over an explicit list of param maps (R² on hashed folds)."""
     d = _with_features(data)
     if sample_fraction < 1.0:
         d = d.where(F.pmod(F.xxhash64(F.lit(seed + 7), "row_id"), F.lit(1000000)) < int(sample_fraction * 1000000))
     d = d.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds)).cast("int"))
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, foldCol="fold", seed=seed, parallelism=parallelism,
                         evaluator=RegressionEvaluator(labelCol="y", metricName="r2"))
-    fitted = cv.fit(d)
-    std = fitted.stdMetrics or [None] * len(maps)
-    rows = [(i, json.dumps({p.name: v for p, v in m.items()}), float(a), float(s) if s is not None else None)
-            for i, (m, a, s) in enumerate(zip(maps, fitted.avgMetrics, std))]
-    res = data.sparkSession.createDataFrame(rows, "candidate int, params string, mean_test_score double, "
-                                                  "std_test_score double")
+    return cv.fit(d)
+
+
+def _results_frame(spark, maps, avg, std) -> DataFrame:
     from pyspark.sql import Window
-    res = res.withColumn("rank_test_score", F.rank().over(Window.orderBy(F.desc("mean_test_score"))))  # W3: tiny
-    return fitted.bestModel, res
+    std = std or [None] * len(maps)
+    rows = [(i, json.dumps({p.name: v for p, v in m.items()}), float(a), float(s) if s is not None else None)
+            for i, (m, a, s) in enumerate(zip(maps, avg, std))]
+    res = spark.createDataFrame(rows, "candidate int, params string, mean_test_score double, std_test_score double")
+    return res.withColumn("rank_test_score", F.rank().over(Window.orderBy(F.desc("mean_test_score"))))  # W3: tiny
+
+
+def _estimator_for_search(model: str, seed: int):
+    est = make_estimator(model, {}, seed=seed)
+    if isinstance(est, KNNRegressor):
+        raise ValueError("searches run on Spark ML estimators; tune knn with cross_validate")
+    return est
+
+
+def grid_search(data: DataFrame, model: str, grid: dict, folds: int = 5, seed: int = 42, n_iter: int | None = None,
+                parallelism: int = 4, sample_fraction: float = 1.0):
+    """M11 (all candidates) / M12 (``n_iter`` seeded candidates): CrossValidator with R².
+
+    Returns (best_model, results DF: candidate, params, mean_test_score,
+    std_test_score, rank_test_score).
+    """
+    est = _estimator_for_search(model, seed)
+    maps = _grid(est, grid, _alpha_scale(data, model))
+    if n_iter is not None and n_iter < len(maps):
+        maps = random.Random(seed).sample(maps, n_iter)
+    fitted = _cross_validate_maps(data, est, maps, folds, seed, parallelism, sample_fraction)
+    return fitted.bestModel, _results_frame(data.sparkSession, maps, fitted.avgMetrics, fitted.stdMetrics)
 
 
 def halving_search(data: DataFrame, model: str, grid: dict, factor: int = 3, folds: int = 5, seed: int = 42,
-                   n_candidates: int | None = None):
-    """Successive halving — score on a growing hashed sample, keep the top 1/factor."""
-    keys = list(grid)
-    cands = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
-    if n_candidates is not None and n_candidates < len(cands):
-        cands = random.Random(seed).sample(cands, n_candidates)
-    rounds = max(1, math.ceil(math.log(max(len(cands), 1), factor)))
+                   n_candidates: int | None = None, parallelism: int = 4):
+    """Successive halving — every round scores all surviving candidates in ONE
+    cross-validation on a hashed sample, keeps the top 1/factor, grows the sample ×factor."""
+    est = _estimator_for_search(model, seed)
+    maps = _grid(est, grid, _alpha_scale(data, model))
+    if n_candidates is not None and n_candidates < len(maps):
+        maps = random.Random(seed).sample(maps, n_candidates)
+    rounds = max(1, math.ceil(math.log(max(len(maps), 1), factor)))
     frac = 1.0 / factor ** (rounds - 1)
     history = []
     it = 0
     while True:
-        scored = []
-        for c in cands:
-            _, res = grid_search(data, model, {k: [v] for k, v in c.items()}, folds, seed, sample_fraction=min(frac, 1.0))
-            scored.append((res.first()["mean_test_score"], c))
-            history.append((it, json.dumps(c), min(frac, 1.0), scored[-1][0]))
-        scored.sort(key=lambda x: -x[0])
-        if len(scored) <= 1 or frac >= 1.0:
+        fitted = _cross_validate_maps(data, est, maps, folds, seed, parallelism, min(frac, 1.0))
+        scored = sorted(zip(fitted.avgMetrics, range(len(maps))), key=lambda x: (-x[0], x[1]))
+        for score_, i in scored:
+            history.append((it, json.dumps({p.name: v for p, v in maps[i].items()}), min(frac, 1.0), float(score_)))
+        if len(maps) <= 1 or frac >= 1.0:
             break
-        cands = [c for _, c in scored[:max(1, math.ceil(len(scored) / factor))]]
+        maps = [maps[i] for _, i in scored[:max(1, math.ceil(len(maps) / factor))]]
         frac *= factor
         it += 1
-    best = scored[0][1]
-    best_model, _ = grid_search(data, model, {k: [v] for k, v in best.items()}, folds, seed)
     hist = data.sparkSession.createDataFrame(history, "iteration int, params string, fraction double, "
                                                       "mean_test_score double")
-    return best_model, hist
+    return fitted.bestModel, hist
 
 
 SEARCH_METHODS = ("GridSearchCV", "RandomizedSearchCV", "HalvingGridSearchCV", "HalvingRandomSearchCV",

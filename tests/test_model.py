@@ -60,3 +60,14 @@ def test_pca_scores_uncorrelated(spark, vec):
     c = np.corrcoef(s.T)
     assert np.allclose(c - np.diag(np.diag(c)), 0, atol=1e-6)
     assert np.allclose(s.mean(0), 0, atol=1e-6)
+
+
+def test_ridge_grid_alpha_means_the_same(vec):
+    best, res = M.grid_search(vec, "ridge", {"alpha": [2.0]}, folds=3)
+    rows = vec.collect()
+    X = np.array([r["vector"] for r in rows])
+    y = np.array([r["y"] for r in rows])
+    Xc, yc = X - X.mean(0), y - y.mean()
+    coef = np.linalg.solve(Xc.T @ Xc + 2.0 * np.eye(X.shape[1]), Xc.T @ yc)
+    assert np.allclose(best.coefficients.toArray(), coef, atol=1e-6)
+    assert res.count() == 1
