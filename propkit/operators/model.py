@@ -121,14 +121,25 @@ def bootstrap(df: DataFrame, n_samples: int, noise_percentage: float = 0.0, seed
 
 
 def split_train_test(df: DataFrame, test_size: float, seed: int = 42, id_col: str = "row_id") -> DataFrame:
-    """Adds ``split`` ('train'/'test'); ``test_size = 0`` → all rows are both (two copies)."""
+    """Adds ``split`` ('train'/'test'); ``test_size = 0`` → all rows are both (two copies).
+
+    Exactly ``ceil(n·f)`` test rows: the ``(md5(seed:row_id), row_id)`` pairs are ranked
+    (a narrow range sort — full rows are never shuffled), the pair at the cut is read
+    back, and every row is labelled by comparing its own pair with it.
+    """
     if test_size <= 0:
         return df.withColumn("split", F.lit("train")).unionByName(df.withColumn("split", F.lit("test")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    ranked = with_row_index(df.withColumn("_h", key), "_r", order_by=["_h", id_col])
+    pairs = df.select(key.alias("_h"), F.col(id_col).alias("_i"))
     n = df.count()
     n_test = math.ceil(test_size * n)
-    return ranked.withColumn("split", F.when(F.col("_r") < n_test, "test").otherwise("train")).drop("_h", "_r")
+    if n_test >= n:
+        return df.withColumn("split", F.lit("test"))
+    ranked = with_row_index(pairs, "_r", order_by=["_h", "_i"])
+    cut = ranked.where(F.col("_r") == n_test - 1).first()
+    h = key
+    is_test = (h < F.lit(cut["_h"])) | ((h == F.lit(cut["_h"])) & (F.col(id_col) <= F.lit(cut["_i"])))
+    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
 # ---- M5–M9: models by name --------------------------------------------------------

@@ -20,22 +20,29 @@ from pyspark.sql import functions as F
 _CAND = "qid long, tid long, dist double, ty double"
 
 
-def _local_topk(k: int):
+def _local_topk(k: int, chunk: int = 512):
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": [], "tid": [], "dist": [], "ty": []})
         Q = np.vstack(q["qv"].to_numpy()).astype(float)
         X = np.vstack(t["tv"].to_numpy()).astype(float)
-        d2 = (Q * Q).sum(1)[:, None] - 2.0 * Q @ X.T + (X * X).sum(1)[None, :]
-        d2 = np.maximum(d2, 0.0)
-        kk = min(k, X.shape[0])
+        xx = (X * X).sum(1)
         tid = t["tid"].to_numpy()
-        # order by (distance, train id) for deterministic ties
-        idx = np.lexsort((np.broadcast_to(tid, d2.shape), d2), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(Q.shape[0]), kk)
-        cols = idx.ravel()
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "tid": tid[cols],
-                             "dist": d2[rows, cols], "ty": t["ty"].to_numpy()[cols].astype(float)})
+        ty = t["ty"].to_numpy().astype(float)
+        qid = q["qid"].to_numpy()
+        kk = min(k, X.shape[0])
+        parts = []
+        # queries in chunks: the distance block stays chunk × block_rows doubles
+        for lo in range(0, Q.shape[0], chunk):
+            Qc = Q[lo:lo + chunk]
+            d2 = np.maximum((Qc * Qc).sum(1)[:, None] - 2.0 * Qc @ X.T + xx[None, :], 0.0)
+            # order by (distance, train id) for deterministic ties
+            idx = np.lexsort((np.broadcast_to(tid, d2.shape), d2), axis=1)[:, :kk]
+            rows = np.repeat(np.arange(Qc.shape[0]), kk)
+            cols = idx.ravel()
+            parts.append(pd.DataFrame({"qid": qid[lo:lo + chunk][rows], "tid": tid[cols],
+                                       "dist": d2[rows, cols], "ty": ty[cols]}))
+        return pd.concat(parts, ignore_index=True)
     return run
 
 
