@@ -154,8 +154,9 @@ def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> tuple[int,
     return max(bins, 1), first, last
 
 
-def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
-    """A4: (bin, lo, hi, count) for every bin, empty bins included.
+def histogram(df: DataFrame, col: str, bins: int | None = None, approx: bool = False) -> DataFrame:
+    """A4: (bin, lo, hi, count) for every bin, empty bins included (``approx=True``
+    takes the IQR for the bin width from ``percentile_approx``).
 
     Bin assignment reproduces NumPy's: truncated scaled index, last bin closed, then
     corrected against the ``linspace`` edges.
@@ -168,7 +169,10 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     if not math.isfinite(m.max - m.min):
         raise ValueError(f"autodetected range of [{m.min}, {m.max}] is not finite")
     if bins is None:
-        q1, q3 = Ranked(y, m.n, cache=False).quantiles([0.25, 0.75])
+        if approx:  # IQR only sets the bin width; percentile_approx avoids the global sort
+            q1, q3 = y.agg(F.percentile_approx("y", [0.25, 0.75], 100000).alias("q")).first()["q"]
+        else:
+            q1, q3 = Ranked(y, m.n, cache=False).quantiles([0.25, 0.75])
         nb, first, last = auto_bins(m.n, m.min, m.max, q1, q3)
     else:
         nb, first, last = bins, m.min, m.max
@@ -220,7 +224,6 @@ def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
 def qq_points(df: DataFrame, col: str, ranked: Ranked | None = None) -> DataFrame:
     """Normal probability plot points (theoretical Filliben medians, ordered sample)."""
     y = values(df, col)
-    own = ranked is None
     r = ranked or Ranked(y)
     n = r.n
     last = 0.5 ** (1.0 / n) if n else None
@@ -229,11 +232,8 @@ def qq_points(df: DataFrame, col: str, ranked: Ranked | None = None) -> DataFram
          .otherwise((F.col("rank") - 0.3175) / (n + 0.365)))
     out = apply_stages(r.df.withColumn("_m", m), ppf_stages("_m", "theoretical_quantile"),
                        keep=["theoretical_quantile"])
-    out = out.select(F.col("rank"), "theoretical_quantile", F.col("y").alias("sample_quantile"))
-    if own:
-        # the caller gets a lazy frame; the ranking stays cached until it is released
-        pass
-    return out
+    # lazy result: a ranking created here stays cached for it (pass ``ranked`` to share one)
+    return out.select(F.col("rank"), "theoretical_quantile", F.col("y").alias("sample_quantile"))
 
 
 # SciPy's Anderson–Darling normal-case table.

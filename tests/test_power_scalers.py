@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from propkit.functions import transforms as TR
 from propkit.operators.power import auto_transform, boxcox_lambda, yeo_johnson_lambda

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from propkit.operators import profile as P
 from propkit.sources.readers import read_smi
