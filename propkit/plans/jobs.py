@@ -188,3 +188,51 @@ def train_job(vectors: DataFrame, targets: DataFrame, y_col: str, model: str = "
         M.save_trained(res, f"{save_to}/model")
         write_results(res.predictions, res.metrics, f"{save_to}/results")
     return out
+
+
+def vector_reduction_job(spark: SparkSession, vectors: DataFrame, out_dir: str, pca_dim: int = 70,
+                         n_clusters: int = 20, compute_kmeans: bool = False, seed: int = 42,
+                         vec_col: str = "vector") -> dict:
+    """V1–V5 as a job: scaler+PCA pipeline (saved, reusable by E10), scores with
+    optional K-means cluster ids, explained-variance table, K-means model."""
+    from propkit.operators.vectors import explained_variance, fit_pca_pipeline, kmeans_clusters, pca_scores
+    pipe = fit_pca_pipeline(vectors, vec_col, pca_dim)
+    pipe.write().overwrite().save(f"{out_dir}/pca_pipeline")
+    scores = pca_scores(pipe, vectors, vec_col)
+    out = {"pipeline": pipe, "explained_variance": explained_variance(pipe, spark)}
+    if compute_kmeans:
+        scores, km = kmeans_clusters(scores, n_clusters, seed)
+        km.write().overwrite().save(f"{out_dir}/kmeans")
+        out["kmeans"] = km
+    write_table(scores, f"{out_dir}/scores")
+    write_table(out["explained_variance"], f"{out_dir}/explained_variance")
+    out["scores"] = spark.read.parquet(f"{out_dir}/scores")
+    return out
+
+
+def word2vec_job(spark: SparkSession, df: DataFrame, col: str, out_dir: str, radius: int = 1,
+                 vector_size: int = 300, min_count: int = 1, kind: str = "structure", seed: int = 42):
+    """E6 + E7 as a job: corpus written once (whole strings), Word2Vec trained on it, saved."""
+    from propkit.operators.embed import corpus, train_word2vec
+    write_table(corpus(df, col, radius, kind).select("sentence"), f"{out_dir}/corpus")
+    model = train_word2vec(spark.read.parquet(f"{out_dir}/corpus"), vector_size=vector_size,
+                           min_count=min_count, seed=seed)
+    model.write().overwrite().save(f"{out_dir}/word2vec")
+    write_sidecar(spark, f"{out_dir}/metadata", {"column": col, "radius": radius, "vector_size": vector_size,
+                                                 "min_count": min_count, "kind": kind})
+    return model
+
+
+def predict_job(spark: SparkSession, df: DataFrame, col: str, model_dir: str, embedder, out: str | None = None,
+                pca_pipeline=None, invert_transform: bool = True, id_col: str = "row_id") -> DataFrame:
+    """M19 as a job: saved model + target preparation → ``predicted_value`` for every
+    valid input row (input columns kept); invalid rows are written beside it."""
+    from propkit.operators.model import load_trained, predict_from_strings
+    model, prep = load_trained(spark, model_dir)
+    indexed = with_row_index(df, id_col)
+    pred, invalid = predict_from_strings(embedder, model, prep, indexed, col, pca_pipeline, invert_transform, id_col)
+    res = indexed.join(pred.select(id_col, "predicted_value"), id_col, "inner")
+    if out:
+        write_table(res, f"{out}/predictions")
+        write_table(invalid, f"{out}/invalid")
+    return res

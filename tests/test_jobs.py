@@ -89,3 +89,25 @@ def test_train_job_with_search_and_cv(spark, tmp_path):
     out2 = jobs.train_job(vecs, targets, "label", model="linear_regression", bootstrap=True, bootstrap_nsamples=300,
                           noise_percentage=2.0, cross_validation=True, cv_fold=3)
     assert out2["n_rows"] == 300 and out2["cv_scores"].count() == 3
+
+
+def test_reduction_word2vec_and_predict_jobs(spark, tmp_path):
+    from pyspark.ml.feature import Word2VecModel
+
+    from propkit.operators.embed import word2vec_embedder
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("row_id"),
+                                                               F.col("embedding").alias("vector"))
+    red = jobs.vector_reduction_job(spark, e, str(tmp_path / "red"), pca_dim=5, n_clusters=4, compute_kmeans=True)
+    assert red["scores"].select("cluster_id").distinct().count() <= 4
+    assert red["explained_variance"].count() == 5
+    s = structures(spark, SF)
+    w2v = jobs.word2vec_job(spark, s, "smiles", str(tmp_path / "w2v"), vector_size=6, min_count=1)
+    assert Word2VecModel.load(str(tmp_path / "w2v/word2vec")).getVectorSize() == 6
+    emb = word2vec_embedder(w2v, 1)
+    part = spark.read.parquet(f"{SF}/part.parquet").select(F.col("p_partkey").alias("row_id"), "p_retailprice")
+    out = jobs.train_job(emb(s, "smiles").where("is_valid"), part, "p_retailprice", save_to=str(tmp_path / "run"))
+    assert out["metrics"].count() == 2
+    pred = jobs.predict_job(spark, s.drop("row_id"), "smiles", str(tmp_path / "run/model"), emb,
+                            out=str(tmp_path / "pred"))
+    n_valid = emb(s, "smiles").where("is_valid").count()
+    assert pred.count() == n_valid and "predicted_value" in pred.columns and "p_size" in pred.columns
