@@ -31,6 +31,9 @@ class _Family:
     done: bool = False
 
 
+LAMBDA_LIMIT = 50.0
+
+
 def _family_transform(name: str, y, lam):
     """Transform with λ as a Column (one generated expression for every candidate)."""
     eps = F.lit(TR.EPS)
@@ -69,11 +72,19 @@ def _search(y: DataFrame, fams: list[_Family], n: int, grid: int = 33, tol: floa
                 v = got.get((fi, k))
                 ok = v is not None and v > 0 and math.isfinite(v)
                 scores.append(f.const(lam) - n / 2.0 * math.log(v) if ok else -math.inf)
+            if not any(math.isfinite(v) for v in scores):
+                # degenerate sample (e.g. constant): no likelihood to maximise
+                f.best, f.done = 1.0, True
+                continue
             k = max(range(grid), key=lambda i: (scores[i], -i))
             f.best = ls[k]
             if k == 0 or k == grid - 1:
-                half = (f.hi - f.lo) / 2.0  # slide: the maximum may lie outside the bracket
-                f.lo, f.hi = f.best - half, f.best + half
+                if abs(f.best) >= LAMBDA_LIMIT:  # the maximum runs off to infinity: stop at the limit
+                    f.done = True
+                    continue
+                # the maximum lies outside the bracket: re-centre on the edge and widen ×2
+                width = f.hi - f.lo
+                f.lo, f.hi = f.best - width, f.best + width
                 continue
             f.lo, f.hi = ls[k - 1], ls[k + 1]
             if f.hi - f.lo < tol * max(1.0, abs(f.best)):

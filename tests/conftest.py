@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from propkit.session import get_spark
-    s = get_spark(master="local[4]", shuffle_partitions=4)
+    s = get_spark(master="local[8]", shuffle_partitions=8)
     yield s
 
 
