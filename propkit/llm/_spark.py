@@ -36,11 +36,24 @@ def tmp(df: DataFrame, name: str) -> str:
     return out
 
 
+def ascii_lower(c: Column) -> Column:
+    """Lower-case A to Z only (for plain ASCII text that is what ``lower`` does, faster)."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(
+        F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def hash_key(*cols: Column) -> Column:
+    """60 evenly spread bits of the row as a non-negative long (from md5, so SQL has it too)."""
+    text = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def running_sums(df: DataFrame, groups: list[str], key: Column, ties: list[str], sums: dict[str, Column],
-                 rows: int) -> DataFrame:
-    """Exclusive running sums within groups, in a hash order, without a task per group.
+                 rows: int, bucket: Column | None = None) -> DataFrame:
+    """Exclusive running sums within groups, without a task per group.
 
-    ``key`` is a non-negative, evenly spread hash of the row.  Rows are dealt to about
+    The order is ``(bucket, key, ties)``.  ``key`` is a non-negative, evenly spread hash of
+    the row; ``bucket`` may replace the hash bucket by a coarse range of an ordered key.  Rows are dealt to about
     ``sqrt(rows)`` buckets per group; the bucket totals are few (``groups x sqrt(rows)``)
     and are summed first, then each (group, bucket) is summed for itself.  A group with a
     third of all rows is therefore spread over all tasks.  ``df`` must give the same rows
@@ -48,7 +61,8 @@ def running_sums(df: DataFrame, groups: list[str], key: Column, ties: list[str],
     """
     buckets = max(1, math.isqrt(max(rows, 1)))
     b, k = tmp(df, "bucket"), tmp(df, "key")
-    x = df.withColumn(k, key).withColumn(b, F.pmod(F.col(k), F.lit(buckets)).cast("int"))
+    x = df.withColumn(k, key).withColumn(
+        b, F.pmod(F.col(k), F.lit(buckets)) if bucket is None else bucket)
     names = {n: f"{b}_{i}" for i, n in enumerate(sums)}
     totals = x.groupBy(*groups, b).agg(*[F.sum(c).alias(names[n]) for n, c in sums.items()])
     before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)

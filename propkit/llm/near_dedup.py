@@ -115,7 +115,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = T.mix(h * _STEP + k[:, :, i])
         flat = pa.array(h.reshape(-1).view(np.int64))
         offs = pa.array(np.arange(0, len(flat) + 1, n_bands, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offs, flat)], names=["cls", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offs, flat)], names=["cid", "bands"])
 
 
 def joint_estimate(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -149,14 +149,14 @@ def _likely(threshold: float):
             ka, kb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("ska", "skb"))
             na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
             ok = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (joint_estimate(ka, kb, na, nb) >= least)
-            yield batch.select(["a", "b", "ida", "idb"]).filter(pa.array(ok))
+            yield batch.select(["a", "b", "ida", "idb", "clsa", "clsb"]).filter(pa.array(ok))
     return run
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            a, b = batch.column("clsa").to_pylist(), batch.column("clsb").to_pylist()
             keep = []
             done: dict[int, tuple] = {}
             for side in ("ta", "tb"):
@@ -180,38 +180,38 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, id_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     s = stored(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, cls binary, sketch binary"))
     classes = stored(s.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
-    bands = stored(classes.select("cls", "sketch").mapInArrow(_bands, "cls binary, bands array<long>"))
-    member = bands.select("cls", F.explode("bands").alias("key"))
-    least = member.groupBy("key").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
+        .withColumn("cid", F.monotonically_increasing_id()))
+    bands = stored(classes.select("cid", "sketch").mapInArrow(_bands, "cid long, bands array<long>"))
+    member = bands.select("cid", F.explode("bands").alias("key"))
+    least = member.groupBy("key").agg(F.min("cid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = stored(member.join(least, "key"))  # seats in buckets with company
+    tried = shared.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("cls").alias(x), F.col("doc_id").alias(f"id{x}"),
-                                        F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sk{x}"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(
-            _likely(threshold_percent / 100), "a binary, b binary, ida long, idb long")
-        likely = stored(likely)
+        side = lambda x: classes.select(F.col("cid").alias(x), F.col("doc_id").alias(f"id{x}"),
+                                        F.col("n").alias(f"n{x}"), F.col("cls").alias(f"cls{x}"), F.col("sketch").alias(f"sk{x}"))
+        likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(
+            _likely(threshold_percent / 100), "a long, b long, ida long, idb long, clsa binary, clsb binary"))
         need = likely.select(F.col("ida").alias("id")).unionByName(likely.select(F.col("idb").alias("id"))).distinct()
         t = texts.join(need, texts["doc_id"].eqNullSafe(need["id"]), "left_semi")
         ta = t.select(F.col("doc_id").alias("xa"), F.col("text").alias("ta"))
         tb = t.select(F.col("doc_id").alias("xb"), F.col("text").alias("tb"))
         full = likely.join(ta, likely["ida"].eqNullSafe(ta["xa"])).join(tb, likely["idb"].eqNullSafe(tb["xb"]))
-        return full.select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold_percent), "a binary, b binary").distinct()
+        return full.select("a", "b", "clsa", "clsb", "ta", "tb").mapInArrow(_confirm(threshold_percent), "a long, b long").distinct()
 
-    tried = stored(member.join(least, "key").where("cls <> first").select(
-        F.col("first").alias("a"), F.col("cls").alias("b")).distinct())
     links = stored(confirmed(tried))
     roots = components(links)
     # second round: buckets with several components
-    in_comp = bands.join(roots, bands["cls"] == roots["node"], "left").select(
-        "cls", "bands", F.coalesce("root", "cls").alias("root"))
-    seat = in_comp.select("cls", "root", F.explode("bands").alias("key"))
-    split = seat.groupBy("key").agg(F.min(F.struct("cls", "root")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    split = stored(split.where("lo <> hi").select("key", F.col("x.root").alias("main")))
-    # the bands a pair shares beyond one are counted here, before any pair is made into a row
-    seats = stored(in_comp.select("cls", "root", "bands", F.explode("bands").alias("key")).join(split, "key"))
-    left = seats.where("root <> main").select(F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bb"), "key")
-    right = seats.where("cls is not null").select(F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("bands").alias("ba"), "key", "main")
+    seat = shared.join(roots, shared["cid"] == roots["node"], "left").select(
+        "key", "cid", "first", F.coalesce("root", "cid").alias("root"))
+    mixed = seat.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                    F.max(F.when(F.col("cid") == F.col("first"), F.col("root"))).alias("main"))
+    mixed = mixed.where("lo <> hi").select("key", "main")
+    seats = stored(seat.join(mixed, "key").join(bands, "cid").select("key", "cid", "root", "main", "bands"))
+    left = seats.where("root <> main").select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bb"))
+    right = seats.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("bands").alias("ba"), "main")
+    # the bands that a pair shares are counted before it becomes a row
     cond = ((left["key"] == right["key"]) & (F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("main")) | (F.col("a") < F.col("b")))
             & (F.size(F.array_intersect("ba", "bb")) >= ROUND_TWO_MATCHES))
     more = left.join(right, cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -220,8 +220,8 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, id_col: str =
         found = stored(confirmed(more))
         if found.limit(1).count():
             roots = components(links.unionByName(found))
-    member_of = classes.join(roots, classes["cls"] == roots["node"], "left").select(
-        "cls", "doc_id", F.coalesce("root", "cls").alias("root"))
+    member_of = classes.select("cid", "cls", "doc_id").join(roots, classes["cid"] == roots["node"], "left").select(
+        "cls", "doc_id", F.coalesce("root", "cid").alias("root"))
     smallest = member_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     answer = member_of.join(smallest, "root").select("cls", "component_id")
     out = s.select("doc_id", "n_shingles", "cls").join(answer, "cls", "left")

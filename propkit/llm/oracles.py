@@ -16,4 +16,38 @@ SELECT n.doc_id, n.n AS n_shingles, least(min(r), n.doc_id) AS component_id, lea
 FROM n JOIN c ON c.d = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-ORACLES = {"op7_minhash_near_dedup": OP7}
+OP1 = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size,
+    ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s0),
+s2 AS (SELECT *, sum(cap) OVER o - cap AS below, sum(w) OVER (ORDER BY cap / w DESC, source DESC NULLS FIRST) AS free,
+    (SELECT 1.5::DOUBLE * sum(source_size) FROM s0) AS budget FROM s1 WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+lv AS (SELECT max((budget - below) / free) AS level FROM s2),
+s3 AS (SELECT *, least(w * level, cap) AS target FROM s2, lv),
+s AS (SELECT source, source_size, target, least(round(target), cap)::BIGINT AS words FROM s3),
+n AS (SELECT greatest(1, floor(sqrt(count(*))))::BIGINT AS n FROM d),
+t AS (SELECT d.*, s.source_size, s.target, s.words, sum(size) OVER (PARTITION BY d.source ORDER BY k % n.n, k, doc_id, size
+    ROWS UNBOUNDED PRECEDING) - size AS p FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, n)
+SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
+  (greatest(0, least(p + size, words) - p) + greatest(0, least(source_size + p + size, words) - source_size - p))::BIGINT AS taken FROM t
+"""
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, {ASCII_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+def _jump(shards: int) -> str:
+    """The shard of ``doc_id`` by unrolled jumps in 128-bit arithmetic."""
+    steps = ["j0 AS (SELECT doc_id, (CASE WHEN doc_id IS NULL THEN 18446744073709551615 WHEN doc_id < 0 THEN 18446744073709551616 + doc_id::HUGEINT"
+             " ELSE doc_id END)::UHUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM documents)"]
+    for i in range(1, shards + 1):
+        steps.append(f"h{i} AS (SELECT *, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS q FROM j{i - 1})")
+        steps.append(f"j{i} AS (SELECT doc_id, CASE WHEN j < {shards} THEN q ELSE k END AS k, CASE WHEN j < {shards} THEN j ELSE b END AS b,"
+                     f" CASE WHEN j < {shards} THEN floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((q // 8589934592::UHUGEINT)::DOUBLE + 1)))::BIGINT ELSE j END AS j FROM h{i})")
+    return f"(WITH {', '.join(steps)} SELECT DISTINCT doc_id, b::INTEGER AS shard FROM j{shards})"
+
+
+ORACLES = {"op1_mixing": OP1, "op7_minhash_near_dedup": OP7, "op9_exact_dedup": OP9}
