@@ -16,7 +16,10 @@ linked, and every connected component keeps its smallest ``doc_id``.
    then the full sets are compared.
 5. Components of the confirmed links.  A second round looks at the buckets that still hold
    more than one component and compares the members outside the least class's component
-   with the bucket's other members, so no candidate of the bands is left out.
+   with the bucket's other members, so no candidate of the bands is left out.  A pair
+   becomes a row once, in the first bucket it shares, and only if an odd sketch (parities
+   of hashed shingles, which give the size of the symmetric difference of similar sets
+   closely) does not rule it out.
 
 Nulls and texts without a word have an empty set and are linked with nothing.  Rows that
 repeat a ``doc_id`` each keep a row of the result.  A null ``doc_id`` is never the smallest
@@ -30,8 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from propkit.llm import _text as T
 from propkit.llm._spark import components, stored
@@ -39,6 +43,8 @@ from propkit.llm._spark import components, stored
 REGISTERS, BAND = 128, 4
 RATE, LOG_BASE, TOP = 20.0, 0.001, 65534  # SetSketch a, ln b, q
 ROUND_TWO_MATCHES = 2  # bands that must agree for a second-round pair (missed at 0.8: about 1e-6)
+ODD_BITS, ODD_SIGMAS = 2048, 4.5
+SMALL_IDS = 1_000_000  # ids that may be broadcast (8 MB); more are joined by a shuffle
 
 _MULT = (np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -88,19 +94,45 @@ def registers(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.clip(k, 0, TOP).astype("<u2")
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0)
-        for first, buf, ends in T.blocks(batch.column(1)):
-            g, bounds = shingle_sets(buf, ends)
-            size = np.diff(bounds)
-            rows = iter(registers(g, bounds))
-            raw = g.astype("<u8")
-            dig = [hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
-            sk = [next(rows).tobytes() if n else None for n in size]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, len(ends)), pa.array(size, pa.int64()), pa.array(dig, pa.binary()), pa.array(sk, pa.binary())],
-                names=["doc_id", "n_shingles", "cls", "sketch"])
+def _digests(g: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """128-bit digest of each set, None for an empty one."""
+    raw = g.astype("<u8")
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def odd_sketch(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bit ``i`` is the parity of the number of a set's shingles that hash to ``i``."""
+    own = T.owner(bounds)
+    n = len(bounds) - 1
+    bits = np.zeros(n * ODD_BITS, np.uint8)
+    np.bitwise_xor.at(bits, own * ODD_BITS + (g >> np.uint64(53)).astype(np.int64), 1)
+    return np.packbits(bits.reshape(n, ODD_BITS), axis=1, bitorder="little").view("<i8")
+
+
+def odd_limit(na: Column, nb: Column, percent: int) -> Column:
+    """Differing bits that two sets of these sizes linked at ``percent`` can have (``ODD_SIGMAS``
+    standard deviations above the mean at the largest symmetric difference)."""
+    n, d = float(ODD_BITS), (na + nb).cast("double") * ((100 - percent) / (100 + percent))
+    one, two = F.pow(F.lit(1 - 2 / n), d), F.pow(F.lit(1 - 4 / n), d)
+    variance = n / 4 * (1 - two) + n * n / 4 * (two - one * one)
+    return n / 2 * (1 - one) + ODD_SIGMAS * F.sqrt(F.greatest(variance, F.lit(0.0))) + 1
+
+
+def _sketch(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, buf, ends in T.blocks(batch.column(1)):
+                g, bounds = shingle_sets(buf, ends, width)
+                size = np.diff(bounds)
+                rows = iter(registers(g, bounds))
+                sk = [next(rows).tobytes() if n else None for n in size]
+                odd = odd_sketch(g, bounds)
+                offs = pa.array(np.arange(0, odd.size + 1, odd.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(ends)), pa.array(size, pa.int64()), pa.array(_digests(g, bounds), pa.binary()),
+                     pa.array(sk, pa.binary()), pa.ListArray.from_arrays(offs, pa.array(odd.reshape(-1)))],
+                    names=["doc_id", "n_shingles", "cls", "sketch", "odd"])
+    return run
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,34 +185,33 @@ def _likely(threshold: float):
     return run
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("clsa").to_pylist(), batch.column("clsb").to_pylist()
-            keep = []
-            done: dict[int, tuple] = {}
-            for side in ("ta", "tb"):
-                out: list = []
-                for _, buf, ends in T.blocks(batch.column(side)):
-                    g, bounds = shingle_sets(buf, ends)
+            sets: dict[str, list[np.ndarray]] = {"a": [], "b": []}
+            same = np.ones(batch.num_rows, bool)  # not another row with the same doc_id
+            for side, out in sets.items():
+                cls, i = batch.column(f"cls{side}").to_pylist(), 0
+                for _, buf, ends in T.blocks(batch.column(f"t{side}")):
+                    g, bounds = shingle_sets(buf, ends, width)
                     out += [g[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-                done[side] = out
-            for i, (x, y) in enumerate(zip(done["ta"], done["tb"])):
-                if hashlib.blake2b(x.astype("<u8"), digest_size=16).digest() != a[i] or hashlib.blake2b(y.astype("<u8"), digest_size=16).digest() != b[i]:
-                    keep.append(False)  # another row with the same doc_id
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    for d in _digests(g, bounds):
+                        same[i] &= d == cls[i]
+                        i += 1
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets["a"], sets["b"])], np.int64)
+            size = np.array([len(x) + len(y) for x, y in zip(sets["a"], sets["b"])], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(same & (100 * both >= percent * (size - both)), pa.bool_()))
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, threshold_percent: int = 80, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept, cls, root)`` for every row of ``docs``; ``cls`` is
+    the digest of the row's set of ``width``-word shingles and ``root`` numbers its component
+    (null if the set is empty)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    s = stored(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, cls binary, sketch binary"))
+    s = stored(texts.mapInArrow(_sketch(width), "doc_id long, n_shingles long, cls binary, sketch binary, odd array<long>"))
     classes = stored(s.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
+        F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("odd").alias("odd"))
         .withColumn("cid", F.monotonically_increasing_id()))
     bands = stored(classes.select("cid", "sketch").mapInArrow(_bands, "cid long, bands array<long>"))
     member = bands.select("cid", F.explode("bands").alias("key"))
@@ -194,11 +225,13 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, id_col: str =
         likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(
             _likely(threshold_percent / 100), "a long, b long, ida long, idb long, clsa binary, clsb binary"))
         need = likely.select(F.col("ida").alias("id")).unionByName(likely.select(F.col("idb").alias("id"))).distinct()
+        if need.count() <= SMALL_IDS:  # else all texts are moved once
+            need = F.broadcast(need)
         t = texts.join(need, texts["doc_id"].eqNullSafe(need["id"]), "left_semi")
         ta = t.select(F.col("doc_id").alias("xa"), F.col("text").alias("ta"))
         tb = t.select(F.col("doc_id").alias("xb"), F.col("text").alias("tb"))
         full = likely.join(ta, likely["ida"].eqNullSafe(ta["xa"])).join(tb, likely["idb"].eqNullSafe(tb["xb"]))
-        return full.select("a", "b", "clsa", "clsb", "ta", "tb").mapInArrow(_confirm(threshold_percent), "a long, b long").distinct()
+        return full.select("a", "b", "clsa", "clsb", "ta", "tb").mapInArrow(_confirm(threshold_percent, width), "a long, b long").distinct()
 
     links = stored(confirmed(tried))
     roots = components(links)
@@ -208,12 +241,19 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, id_col: str =
     mixed = seat.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                     F.max(F.when(F.col("cid") == F.col("first"), F.col("root"))).alias("main"))
     mixed = mixed.where("lo <> hi").select("key", "main")
-    seats = stored(seat.join(mixed, "key").join(bands, "cid").select("key", "cid", "root", "main", "bands"))
-    left = seats.where("root <> main").select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bb"))
-    right = seats.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("bands").alias("ba"), "main")
-    # the bands that a pair shares are counted before it becomes a row
+    seats = seat.join(mixed, "key").join(bands, "cid").join(classes.select("cid", "n", "odd"), "cid")
+    seats = stored(seats.select("key", "cid", "root", "main", "n", "odd", "bands"))
+    left = seats.where("root <> main").select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"),
+                                              F.col("odd").alias("ob"), F.col("bands").alias("bb"))
+    right = seats.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("odd").alias("oa"),
+                         F.col("bands").alias("ba"), "main")
+    # what rules a pair out is looked at before it becomes a row
+    common = F.array_intersect("ba", "bb")
+    differing = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     cond = ((left["key"] == right["key"]) & (F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("main")) | (F.col("a") < F.col("b")))
-            & (F.size(F.array_intersect("ba", "bb")) >= ROUND_TWO_MATCHES))
+            & (100 * F.least("na", "nb") >= threshold_percent * F.greatest("na", "nb"))
+            & (differing <= odd_limit(F.col("na"), F.col("nb"), threshold_percent))
+            & (F.size(common) >= ROUND_TWO_MATCHES) & (F.element_at(common, 1) == left["key"]))
     more = left.join(right, cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
@@ -223,7 +263,38 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, id_col: str =
     member_of = classes.select("cid", "cls", "doc_id").join(roots, classes["cid"] == roots["node"], "left").select(
         "cls", "doc_id", F.coalesce("root", "cid").alias("root"))
     smallest = member_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    answer = member_of.join(smallest, "root").select("cls", "component_id")
+    answer = member_of.join(smallest, "root").select("cls", "component_id", "root")
     out = s.select("doc_id", "n_shingles", "cls").join(answer, "cls", "left")
     comp = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"), "cls", "root")
+
+
+def _with_class(width: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, buf, ends in T.blocks(batch.column(at)):
+                dig = pa.array(_digests(*shingle_sets(buf, ends, width)), pa.binary())
+                part = batch.slice(first, len(ends))
+                yield pa.RecordBatch.from_arrays([*part.columns, dig], names=[*part.schema.names, "_pk_cls"])
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group, and every
+    row with an empty set."""
+    got = stored(near_duplicates(docs, threshold_percent, width, id_col, text_col))
+    stay = got.where("kept").select(F.col("doc_id").alias("_pk_id"), F.col("cls").alias("_pk_c"))
+    often = got.groupBy(F.col("doc_id").alias("_pk_id")).count().where("count > 1").select("_pk_id")
+    if not often.limit(1).count():
+        return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_pk_id"]), "left_semi")
+    # rows that repeat a doc_id are told apart by their sets
+    single = docs.join(often, docs[id_col].cast("long").eqNullSafe(often["_pk_id"]), "left_anti")
+    several = docs.join(often, docs[id_col].cast("long").eqNullSafe(often["_pk_id"]), "left_semi")
+    schema = StructType([*docs.schema.fields, StructField("_pk_cls", BinaryType())])
+    several = several.mapInArrow(_with_class(width, docs.columns.index(text_col)), schema)
+    # of a group's rows with its smallest doc_id the one with the least set stays
+    least = got.where("kept and cls is not null").groupBy("root").agg(
+        F.first("component_id").alias("_pk_id"), F.min("cls").alias("_pk_c"))
+    kept = several.join(least, several[id_col].cast("long").eqNullSafe(least["_pk_id"]) & (several["_pk_cls"] == least["_pk_c"]), "left_semi")
+    kept = kept.dropDuplicates([id_col, "_pk_cls"]).unionByName(several.where("_pk_cls is null"))
+    return single.join(stay, single[id_col].cast("long").eqNullSafe(stay["_pk_id"]), "left_semi").unionByName(kept.select(*docs.columns))

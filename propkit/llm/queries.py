@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propkit.llm import exact_dedup, mixing, near_dedup, packing, sharding
-from propkit.llm._spark import documents
+from propkit.llm import exact_dedup, mixing, near_dedup, packing, passages, pii, quality_model, quality_rules, sharding, toxicity
+from propkit.llm._spark import documents, labels
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -22,12 +22,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_model.score(docs, quality_model.fit(docs, labels(spark, sf_dir)))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir))
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("cls", "root")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
