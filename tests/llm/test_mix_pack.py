@@ -37,7 +37,7 @@ def test_mix(odd, none):
         assert r.taken <= 2 * r.size and r.source_size == total[r.source]
         taken[r.source] += r.taken
     for r in got:
-        assert taken[r.source] == min(round(r.target), 2 * r.source_size)
+        assert taken[r.source] == min(int(r.target + 0.5), 2 * r.source_size)
     assert abs(sum({r.source: r.target for r in got}.values()) - 1.5 * sum(total.values())) < 1e-6
     again = mixing.mix(odd.repartition(3)).collect()
     key = lambda rs: sorted((str(r.doc_id), r.size, r.taken) for r in rs)
