@@ -134,6 +134,8 @@ def oracle_sql() -> dict[str, str]:
     q["preview_tail"] = f"SELECT {conv} FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 20)"
     q["table_summary"] = ("SELECT 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' "
                           "AS columns, count(*) AS shape, CAST(NULL AS VARCHAR) AS index_name FROM orders")
+    q["row_index_payload"] = ("SELECT o_custkey, min(r) AS first_id, max(r) AS last_id, count(*) AS n_ids FROM (SELECT o_custkey, "
+                              "row_number() OVER (ORDER BY o_custkey) - 1 AS r FROM orders) GROUP BY o_custkey")
     q["row_index"] = ("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS row_id "
                       "FROM orders")
     part_cols = "row_id, p_name, p_brand, p_type, p_size, round(p_retailprice, 6) AS p_retailprice"

@@ -7,20 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-MAX_BROADCAST_GROUPS = 10000
-
-
 def regression_metrics(df: DataFrame, y_true: str, y_pred: str, by: list[str] | None = None) -> DataFrame:
     """R², MSE, RMSE, MAE and the fitted line (slope, intercept) in one aggregate.
 
     R² = 1 − SS_res / SS_tot with SS_tot = n·var_pop(y) (scikit-learn's definition,
-    not the squared correlation ``regr_r2``).
+    not the squared correlation ``regr_r2``); NULL for a constant truth.
     """
     t, p = F.col(y_true), F.col(y_pred)
     err = t - p
     aggs = [
         F.count(F.lit(1)).alias("n"),
-        (1.0 - F.sum(err * err) / (F.var_pop(t) * F.count(t))).alias("r2"),
+        (1.0 - F.try_divide(F.sum(err * err), F.var_pop(t) * F.count(t))).alias("r2"),
         F.avg(err * err).alias("mse"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
@@ -34,18 +31,10 @@ def regression_metrics(df: DataFrame, y_true: str, y_pred: str, by: list[str] |
 def with_linear_fit(df: DataFrame, y_true: str, y_pred: str, by: list[str] | None = None,
                     out: str = "y_linear_fit") -> DataFrame:
     """Append slope·y_true + intercept; the per-group line is a small aggregate joined
-    back on the group keys (broadcast: one row per group)."""
+    back on the group keys (one row per group; the planner picks the join)."""
     if by:
         line = df.groupBy(*by).agg(F.regr_slope(y_pred, y_true).alias("_m"), F.regr_intercept(y_pred, y_true).alias("_c"))
-        # one line per group: few groups (splits, folds) are collected behind a count
-        # check and broadcast as a bounded table; a hash join on a handful of keys would
-        # put every row into a handful of tasks.  Many groups: a regular join.
-        rows = line.limit(MAX_BROADCAST_GROUPS + 1).collect()
-        if len(rows) <= MAX_BROADCAST_GROUPS:
-            small = df.sparkSession.createDataFrame(rows, line.schema)
-            j = df.join(F.broadcast(small), by, "left")
-        else:
-            j = df.join(line, by, "left")
+        j = df.join(line, by, "left")
     else:
         r = df.agg(F.regr_slope(y_pred, y_true).alias("_m"), F.regr_intercept(y_pred, y_true).alias("_c")).first()
         j = df.withColumn("_m", F.lit(r["_m"])).withColumn("_c", F.lit(r["_c"]))

@@ -1,13 +1,12 @@
 """Distributed row index and global rank.
 
-No un-partitioned window over the data: rows are range-partitioned on the order
-key (or kept in scan order), each partition is numbered locally with
-``monotonically_increasing_id`` (partition id in the upper bits, local position in
-the low 33 bits), and a per-partition offset — computed from one small aggregate of
-``#partitions`` rows — is added through a broadcast join.  Both branches read the
-same (reused) exchange or the same file splits, so the numbering is deterministic
-and survives task re-execution; the order key is made unique with a scan-order
-tie-break.
+No un-partitioned window over the data.  An ordered index lays the rows out once: they are
+range-partitioned and sorted on the order key and a scan-order tie-break, and that layout is
+written to the shared checkpoint folder.  Each stored partition is numbered locally with
+``monotonically_increasing_id`` (local position in the low 33 bits), and a per-partition
+offset (one aggregate of ``#partitions`` rows) is added.  Counts and rows are read from the
+same stored files, so they cannot disagree, whatever Spark samples, reuses or runs again.
+A scan-order index numbers a file scan directly.
 """
 
 from __future__ import annotations
@@ -32,33 +31,36 @@ def _number_partitions(df: DataFrame, name: str, start: int) -> DataFrame:
     return out.withColumn(name, rid.cast("long")).drop("_pk_pid", "_pk_mid", "_pk_off")
 
 
+_ORDERED_NODES = {"Project", "Filter", "LocalRelation", "Range"}
+
+
+def _repeats(node) -> bool:
+    """Does reading this plan again give the same rows in the same order?  File scans,
+    checkpointed frames and deterministic row-wise steps on them do."""
+    kind = node.getClass().getSimpleName()
+    if kind == "LogicalRelation":
+        return node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    if kind == "LogicalRDD":
+        return node.rdd().isCheckpointed()
+    children = node.children()
+    return kind in _ORDERED_NODES and all(_repeats(children.apply(i)) for i in range(children.size()))
+
+
 def _stable(df: DataFrame) -> DataFrame:
-    """Numbering relies on re-executed tasks seeing the same rows in the same order.
-    A bare scan guarantees that; the output of a shuffle (join, aggregate, round-robin
-    repartition) does not, so such an input is first written to the shared checkpoint
-    folder (``spark.checkpoint.dir``) and numbered from there."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    shuffled = any(k in plan for k in ("Join", "Aggregate", "Repartition", "Window", "Sort ", "Union", "Sample"))
-    return cut_lineage(df) if shuffled else df
+    """Numbering relies on re-executed tasks seeing the same rows in the same order.  What
+    does not promise that is first written to the shared checkpoint folder
+    (``spark.checkpoint.dir``) and numbered from there."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return df if plan.deterministic() and _repeats(plan) else cut_lineage(df)
+
+
+ROWS_PER_PARTITION = 500_000
 
 
 def _range_partitions(df: DataFrame) -> int:
-    """Range partitions for numbering: about one advisory partition size each (from the
-    optimizer's size estimate), at least the default parallelism, at most
-    ``spark.sql.shuffle.partitions``.  The count is fixed up front because both
-    branches of the numbering must see the same partitions (AQE must not coalesce)."""
-    spark = df.sparkSession
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    floor_ = spark.sparkContext.defaultParallelism
-    advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    a = advisory.strip().lower().rstrip("b")
-    target = int(float(a[:-1]) * units[a[-1]]) if a and a[-1] in units else int(float(a or 67108864))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: use the configured count
-        return cap
-    return max(1, min(cap, max(floor_, -(-size // max(target, 1)))))
+    """Range partitions for numbering: ``ROWS_PER_PARTITION`` rows each, and at least the
+    default parallelism; the number grows with the rows without a cap."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_PARTITION))
 
 
 def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str | Column] | None = None,
@@ -69,7 +71,7 @@ def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str | Col
       the index).
     * ``order_by`` None → scan order (no shuffle at all).
     * otherwise → global order of ``order_by`` (ascending, nulls first) with a
-      scan-order tie-break; one range shuffle.
+      scan-order tie-break; one range shuffle, stored.
     """
     if name in df.columns:
         return df
@@ -78,12 +80,10 @@ def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str | Col
         return _number_partitions(df, name, start)
     n = num_partitions or _range_partitions(df)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    # The counts branch below re-reads the range exchange with only the key columns
-    # (pruned), so the second shuffle is key-only; both see the same sampled bounds.
     tied = df.withColumn("_pk_tie", F.monotonically_increasing_id())
     ordered = (tied.repartitionByRange(n, *keys, F.col("_pk_tie"))
                .sortWithinPartitions(*keys, F.col("_pk_tie")))
-    return _number_partitions(ordered, name, start).drop("_pk_tie")
+    return _number_partitions(cut_lineage(ordered), name, start).drop("_pk_tie")
 
 
 def global_rank(df: DataFrame, col: str, name: str = "rank", num_partitions: int | None = None) -> DataFrame:

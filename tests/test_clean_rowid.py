@@ -45,9 +45,21 @@ def test_row_index_dense_ordered(spark):
 
 def test_global_rank_no_single_partition_window(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
-    r = global_rank(e, "value")
-    plan = r._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan.lower()
+    r = global_rank(e, "value", num_partitions=4)
+    assert r.select("rank", F.spark_partition_id().alias("p")).distinct().groupBy().agg(F.count_distinct("p")).first()[0] == 4
     vals = [x["value"] for x in r.orderBy("rank").collect()]
     assert vals == sorted(vals)
     assert r.agg(F.max("rank")).first()[0] == r.count()
+
+
+def test_row_index_with_payload_does_not_need_exchange_reuse(spark):
+    o = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = with_row_index(o, "rid", order_by=["o_custkey"]).select("rid", "o_custkey").collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert sorted(r["rid"] for r in rows) == list(range(o.count()))
+    keys = [r["o_custkey"] for r in sorted(rows, key=lambda r: r["rid"])]
+    assert keys == sorted(keys)
