@@ -3,8 +3,8 @@
 * M1 prep: vectors ⋈ targets on ``row_id`` → parse y → drop null y / zero-component
   vectors → transform → scale (fitted on all rows by default, as the reference;
   ``fit_on='train'`` fits on the training split only).
-* M2/M3 bootstrap: exactly ``n`` draws with replacement (``spark.range(n)`` + seeded
-  index joined to a dense row index), proportional Gaussian noise on y.
+* M2/M3 bootstrap: exactly ``n`` draws with replacement (``spark.range(n)`` + an index
+  from md5 joined to a dense row index), proportional Gaussian noise on y.
 * M4 split: rows ordered by ``md5(seed:row_id)``; the first ``ceil(n·f)`` are test.
 * M5–M9 models by name; M11–M14 searches; M15 K-fold CV; M16 evaluation with
   inverse scaling then inverse transform; M19 batch scoring.
@@ -12,18 +12,19 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import warnings
 import math
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propkit.functions import transforms as TR
@@ -106,18 +107,31 @@ def fit_target_prep(df: DataFrame, y_col: str = "y", transform: str | None = Non
 
 # ---- M2/M3/M4 ----------------------------------------------------------------------
 
+def _uniform(seed: int, what: str, draw) -> Column:
+    """A number in (0, 1) from md5 of (seed, purpose, draw): the same on every cluster."""
+    h = F.md5(F.concat(F.lit(f"{seed}:{what}:"), draw.cast("string")))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0 ** 52)
+
+
 def bootstrap(df: DataFrame, n_samples: int, noise_percentage: float = 0.0, seed: int = 42,
-              y_col: str = "y") -> DataFrame:
-    """Exactly ``n_samples`` rows drawn with replacement, plus y·N(0, pct/100) noise."""
+              y_col: str = "y", id_col: str = "row_id") -> DataFrame:
+    """Exactly ``n_samples`` rows drawn with replacement, plus y·N(0, pct/100) noise.
+
+    Draws and noise follow from the seed and the draw number alone; rows are numbered in
+    the order of ``id_col`` (scan order if it is absent)."""
     spark = df.sparkSession
-    indexed = with_row_index(df.drop("_bx") if "_bx" in df.columns else df, "_bx")
+    indexed = with_row_index(df.drop("_bx"), "_bx", order_by=[id_col] if id_col in df.columns else None)
     n = indexed.count()
-    draws = spark.range(n_samples).select(F.col("id").alias("draw"),
-                                          F.floor(F.rand(seed) * n).cast("long").alias("_bx"))
+    draw = F.col("draw")
+    draws = spark.range(n_samples).select(F.col("id").alias("draw"))
+    draws = draws.withColumn("_bx", F.least(F.floor(_uniform(seed, "row", draw) * n), F.lit(n - 1)).cast("long"))
+    if noise_percentage:  # Box-Muller
+        radius = F.sqrt(-2.0 * F.ln(_uniform(seed, "radius", draw)))
+        draws = draws.withColumn("_noise", radius * F.cos(2.0 * math.pi * _uniform(seed, "angle", draw)))
     out = draws.join(indexed, "_bx", "inner").drop("_bx")
     if noise_percentage:
-        out = out.withColumn(y_col, F.col(y_col) + F.randn(seed + 1) * (noise_percentage / 100.0) * F.abs(F.col(y_col)))
-    return out
+        out = out.withColumn(y_col, F.col(y_col) + F.col("_noise") * (noise_percentage / 100.0) * F.abs(F.col(y_col)))
+    return out.drop("_noise")
 
 
 def split_train_test(df: DataFrame, test_size: float, seed: int = 42, id_col: str = "row_id") -> DataFrame:
@@ -150,12 +164,20 @@ MODEL_NAMES = ("linear_regression", "ridge", "knn", "rfr", "gbr", "xgboost", "ca
 _KNOWN_PARAMS = {
     "linear_regression": {"fit_intercept", "n_jobs"},
     "ridge": {"alpha", "fit_intercept"},
-    "rfr": {"random_state", "n_estimators", "max_depth", "min_samples_leaf", "n_jobs"},
+    "rfr": {"random_state", "n_estimators", "max_depth", "max_features", "min_samples_leaf", "n_jobs"},
     "gbr": {"random_state", "n_estimators", "iterations", "max_depth", "depth", "learning_rate", "subsample", "n_jobs"},
     "knn": {"n_neighbors", "n_jobs"},
 }
 
 
+SPARK_MAX_DEPTH = 30  # an unset depth means "until leaves are pure"; Spark's trees end here
+
+
+def _feature_subset(value) -> str:
+    """Features tried per split: all unless told otherwise (a count, a fraction, ``sqrt``, ``log2``)."""
+    return "all" if value is None or value == 1.0 and isinstance(value, float) else str(value)
+
+
 def make_estimator(name: str, params: dict | None = None, n_rows: int | None = None, y_std_pop: float | None = None,
                    features: str = "features", label: str = "y", seed: int = 42):
     p = dict(params or {})
@@ -174,7 +196,8 @@ def make_estimator(name: str, params: dict | None = None, n_rows: int | None = N
     if name == "rfr":
         return RandomForestRegressor(featuresCol=features, labelCol=label, seed=int(p.get("random_state", seed)),
                                      numTrees=int(p.get("n_estimators", 100)),
-                                     maxDepth=int(p.get("max_depth") or 10),
+                                     maxDepth=int(p.get("max_depth") or SPARK_MAX_DEPTH),
+                                     featureSubsetStrategy=_feature_subset(p.get("max_features")),
                                      minInstancesPerNode=int(p.get("min_samples_leaf", 1)))
     if name in ("gbr", "xgboost", "catboost", "lgbm"):
         return GBTRegressor(featuresCol=features, labelCol=label, seed=int(p.get("random_state", seed)),
@@ -200,7 +223,9 @@ class KNNRegressor:
 
     def transform(self, df: DataFrame) -> DataFrame:
         from propkit.operators.neighbors import knn_regress
-        pred = knn_regress(self.train, df, k=self.k).withColumnRenamed("y_pred", "prediction")
+        # a row may stand in both splits: each id is asked once
+        asked = df.select("row_id", "vector").dropDuplicates(["row_id"])
+        pred = knn_regress(self.train, asked, k=self.k).withColumnRenamed("y_pred", "prediction")
         return df.join(pred, "row_id", "inner")
 
 
@@ -219,28 +244,39 @@ class TrainResult:
     extras: dict = field(default_factory=dict)
 
 
+def _fit(model: str, params: dict | None, train: DataFrame, label: str, seed: int):
+    """One fit; ridge's α is scaled by the rows it is fitted on."""
+    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
+    est = make_estimator(model, params, stats["n"], stats["s"], label=label, seed=seed)
+    return est.fit(train.select("row_id", "vector", F.col(label).alias("y")) if isinstance(est, KNNRegressor) else train)
+
+
 def train_and_evaluate(data: DataFrame, model: str = "linear_regression", params: dict | None = None,
                        test_size: float = 0.2, transform: str | None = None,
                        scaling: str | None = "StandardScaler", seed: int = 42, inverse_scaling: bool = True,
-                       inverse_transform: bool = True, fit_on: str = "all") -> TrainResult:
-    """M1 → M4 → fit → M16 evaluation on both splits (inverse scale, then inverse transform)."""
+                       inverse_transform: bool = True, fit_on: str = "all", tune: dict | None = None) -> TrainResult:
+    """M1 → M4 → fit → M16 evaluation on both splits (inverse scale, then inverse transform).
+
+    ``tune`` holds the arguments of :func:`search_scores` (``grid``, ``method``, …): the
+    candidates are compared on the training split and the prepared target, on top of
+    ``params``, and the best one is fitted on the whole training split."""
     split = split_train_test(data, test_size, seed).persist()
-    basis = split.where(F.col("split") == "train") if fit_on == "train" else data
-    prep = fit_target_prep(basis, "y", transform, scaling)
+    one_copy = split.where(F.col("split") == "train") if fit_on == "train" or test_size <= 0 else split
+    prep = fit_target_prep(one_copy, "y", transform, scaling)
     prepared = _with_features(split.withColumn("y_t", prep.forward("y")))
     train = prepared.where(F.col("split") == "train")
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y_t").alias("s")).first()
-    est = make_estimator(model, params, stats["n"], stats["s"], label="y_t", seed=seed)
-    if isinstance(est, KNNRegressor):
-        fitted = est.fit(train.select("row_id", "vector", F.col("y_t").alias("y")))
-    else:
-        fitted = est.fit(train)
+    extras = {"params": dict(params or {})}
+    if tune:
+        best, extras["search_results"] = search_scores(train, model, params=params, label="y_t", seed=seed, **tune)
+        extras["params"] |= best
+        extras["best_params"] = best
+    fitted = _fit(model, extras["params"], train, "y_t", seed)
     scored = fitted.transform(prepared)
     inv = lambda c: prep.inverse(c, inverse_scaling, inverse_transform)
     pred = scored.select("split", "row_id", inv("y_t").alias("y_true"), inv("prediction").alias("y_pred"))
     pred = with_linear_fit(pred, "y_true", "y_pred", by=["split"])
     metrics = regression_metrics(pred, "y_true", "y_pred", by=["split"])
-    return TrainResult(fitted, prep, pred, metrics)
+    return TrainResult(fitted, prep, pred, metrics, extras)
 
 
 # ---- M15 ------------------------------------------------------------------------
@@ -253,130 +289,134 @@ def cross_validate(data: DataFrame, model: str = "linear_regression", params: di
     rows = []
     for f in range(folds):
         tr, te = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
-        st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("s")).first()
-        est = make_estimator(model, params, st["n"], st["s"], seed=seed)
-        fitted = est.fit(tr.select("row_id", "vector", "y") if isinstance(est, KNNRegressor) else tr)
-        m = regression_metrics(fitted.transform(te), "y", "prediction").first()
+        m = regression_metrics(_fit(model, params, tr, "y", seed).transform(te), "y", "prediction").first()
         rows.append((f, m["r2"]))
     d.unpersist()
     return data.sparkSession.createDataFrame(rows, "fold int, r2 double")
 
 
-# ---- M11–M14 ------------------------------------------------------------------------
+def cv_summary(scores: DataFrame) -> DataFrame:
+    """M15's summary: mean R² and twice its standard deviation over the folds (one row)."""
+    return scores.agg(F.avg("r2").alias("cv_mean"), (2 * F.stddev_pop("r2")).alias("cv_two_std"), F.count("r2").alias("folds"))
 
-_PARAM_MAP = {"n_estimators": ("numTrees", "maxIter"), "max_depth": ("maxDepth",), "learning_rate": ("stepSize",),
-              "alpha": ("regParam",), "min_samples_leaf": ("minInstancesPerNode",)}
 
+# ---- M11–M14 ------------------------------------------------------------------------
 
-def _grid(est, grid: dict, alpha_scale: float = 1.0) -> list:
-    """Param maps; ridge's ``alpha`` is rescaled to Spark's regParam (α·σ_pop(y)/n) as in
-    :func:`make_estimator`, so a grid means the same as a single fit."""
-    b = ParamGridBuilder()
-    for k, values in grid.items():
-        names = _PARAM_MAP.get(k, (k,))
-        param = next((est.getParam(n) for n in names if est.hasParam(n)), None)
-        if param is None:
-            raise ValueError(f"parameter {k!r} has no Spark equivalent for {type(est).__name__}")
-        vals = [v * alpha_scale for v in values] if k == "alpha" else list(values)
-        b = b.addGrid(param, vals)
-    return b.build()
+def _candidates(model: str, grid: dict, pick: int | None, seed: int) -> list[dict]:
+    known = _KNOWN_PARAMS.get("gbr" if model in ("xgboost", "catboost", "lgbm") else model, set())
+    for k in grid:
+        if k not in known:
+            raise ValueError(f"parameter {k!r} has no Spark equivalent for {model}")
+    found = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    return random.Random(seed).sample(found, pick) if pick is not None and pick < len(found) else found
 
 
-def _alpha_scale(data: DataFrame, model: str) -> float:
-    if model != "ridge":
-        return 1.0
-    r = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("s")).first()
-    return (r["s"] or 1.0) / max(r["n"], 1)
+def _cv_scores(data: DataFrame, model: str, candidates: list[dict], folds: int, seed: int, parallelism: int,
+               params: dict | None, label: str, fraction: float = 1.0) -> list[list[float]]:
+    """R² of every candidate on every hashed fold, fits of a fold side by side."""
+    d = _with_features(data)
+    if fraction < 1.0:
+        d = d.where(F.pmod(F.xxhash64(F.lit(seed + 7), "row_id"), F.lit(1000000)) < int(fraction * 1000000))
+    d = d.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds))).persist()
+    scores: list[list[float]] = [[] for _ in candidates]
+    for f in range(folds):
+        tr, te = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
 
+        def one(c: dict) -> float:
+            fitted = _fit(model, {**(params or {}), **c}, tr, label, seed)
+            r2 = regression_metrics(fitted.transform(te), label, "prediction").first()["r2"]
+            return -math.inf if r2 is None else float(r2)
 
-def _cross_validate_maps(data: DataFrame, est, maps: list, folds: int, seed: int, parallelism: int,
-                         sample_fraction: float = 1.0):
-    """One CrossValidator over an explicit list of param maps (R² on hashed folds)."""
-    d = _with_features(data)
-    if sample_fraction < 1.0:
-        d = d.where(F.pmod(F.xxhash64(F.lit(seed + 7), "row_id"), F.lit(1000000)) < int(sample_fraction * 1000000))
-    d = d.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds)).cast("int"))
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, foldCol="fold", seed=seed, parallelism=parallelism,
-                        evaluator=RegressionEvaluator(labelCol="y", metricName="r2"))
-    return cv.fit(d)
+        with ThreadPool(parallelism) as pool:
+            for i, r2 in enumerate(pool.map(one, candidates)):
+                scores[i].append(r2)
+    d.unpersist()
+    return scores
 
 
-def _results_frame(spark, maps, avg, std) -> DataFrame:
+def _results_frame(spark, candidates: list[dict], scores: list[list[float]]) -> DataFrame:
     from pyspark.sql import Window
-    std = std or [None] * len(maps)
-    rows = [(i, json.dumps({p.name: v for p, v in m.items()}), float(a), float(s) if s is not None else None)
-            for i, (m, a, s) in enumerate(zip(maps, avg, std))]
+    rows = [(i, json.dumps(c), float(np.mean(s)), float(np.std(s))) for i, (c, s) in enumerate(zip(candidates, scores))]
     res = spark.createDataFrame(rows, "candidate int, params string, mean_test_score double, std_test_score double")
     return res.withColumn("rank_test_score", F.rank().over(Window.orderBy(F.desc("mean_test_score"))))  # W3: tiny
 
 
-def _estimator_for_search(model: str, seed: int):
-    est = make_estimator(model, {}, seed=seed)
-    if isinstance(est, KNNRegressor):
-        raise ValueError("searches run on Spark ML estimators; tune knn with cross_validate")
-    return est
-
-
-def grid_search(data: DataFrame, model: str, grid: dict, folds: int = 5, seed: int = 42, n_iter: int | None = None,
-                parallelism: int = 4, sample_fraction: float = 1.0):
-    """M11 (all candidates) / M12 (``n_iter`` seeded candidates): CrossValidator with R².
-
-    Returns (best_model, results DF: candidate, params, mean_test_score,
-    std_test_score, rank_test_score).
-    """
-    est = _estimator_for_search(model, seed)
-    maps = _grid(est, grid, _alpha_scale(data, model))
-    if n_iter is not None and n_iter < len(maps):
-        maps = random.Random(seed).sample(maps, n_iter)
-    fitted = _cross_validate_maps(data, est, maps, folds, seed, parallelism, sample_fraction)
-    return fitted.bestModel, _results_frame(data.sparkSession, maps, fitted.avgMetrics, fitted.stdMetrics)
+def grid_scores(data: DataFrame, model: str, grid: dict, folds: int = 5, seed: int = 42, n_iter: int | None = None,
+                parallelism: int = 4, sample_fraction: float = 1.0, params: dict | None = None,
+                label: str = "y") -> tuple[dict, DataFrame]:
+    """M11 (all candidates) / M12 (``n_iter`` seeded candidates): (best candidate, results DF:
+    candidate, params, mean_test_score, std_test_score, rank_test_score)."""
+    candidates = _candidates(model, grid, n_iter, seed)
+    scores = _cv_scores(data, model, candidates, folds, seed, parallelism, params, label, sample_fraction)
+    best = max(range(len(candidates)), key=lambda i: (np.mean(scores[i]), -i))
+    return candidates[best], _results_frame(data.sparkSession, candidates, scores)
 
 
-def halving_search(data: DataFrame, model: str, grid: dict, factor: int = 3, folds: int = 5, seed: int = 42,
-                   n_candidates: int | None = None, parallelism: int = 4):
-    """Successive halving — every round scores all surviving candidates in ONE
+def halving_scores(data: DataFrame, model: str, grid: dict, factor: int = 3, folds: int = 5, seed: int = 42,
+                   n_candidates: int | None = None, parallelism: int = 4, params: dict | None = None,
+                   label: str = "y") -> tuple[dict, DataFrame]:
+    """Successive halving — every round scores all surviving candidates in one
     cross-validation on a hashed sample, keeps the top 1/factor, grows the sample ×factor."""
-    est = _estimator_for_search(model, seed)
-    maps = _grid(est, grid, _alpha_scale(data, model))
-    if n_candidates is not None and n_candidates < len(maps):
-        maps = random.Random(seed).sample(maps, n_candidates)
-    rounds = max(1, math.ceil(math.log(max(len(maps), 1), factor)))
+    left = _candidates(model, grid, n_candidates, seed)
+    rounds = max(1, math.ceil(math.log(max(len(left), 1), factor)))
     frac = 1.0 / factor ** (rounds - 1)
     history = []
     it = 0
     while True:
-        fitted = _cross_validate_maps(data, est, maps, folds, seed, parallelism, min(frac, 1.0))
-        scored = sorted(zip(fitted.avgMetrics, range(len(maps))), key=lambda x: (-x[0], x[1]))
-        for score_, i in scored:
-            history.append((it, json.dumps({p.name: v for p, v in maps[i].items()}), min(frac, 1.0), float(score_)))
-        if len(maps) <= 1 or frac >= 1.0:
+        scores = [float(np.mean(s)) for s in _cv_scores(data, model, left, folds, seed, parallelism, params, label, min(frac, 1.0))]
+        order = sorted(range(len(left)), key=lambda i: (-scores[i], i))
+        history += [(it, json.dumps(left[i]), min(frac, 1.0), scores[i]) for i in order]
+        if len(left) <= 1 or frac >= 1.0:
             break
-        maps = [maps[i] for _, i in scored[:max(1, math.ceil(len(maps) / factor))]]
+        left = [left[i] for i in order[:max(1, math.ceil(len(left) / factor))]]
         frac *= factor
         it += 1
     hist = data.sparkSession.createDataFrame(history, "iteration int, params string, fraction double, "
                                                       "mean_test_score double")
-    return fitted.bestModel, hist
+    return left[order[0]], hist
+
+
+def grid_search(data: DataFrame, model: str, grid: dict, folds: int = 5, seed: int = 42, params: dict | None = None,
+                label: str = "y", **how):
+    """:func:`grid_scores`, and the best candidate fitted on all of ``data``: (model, results)."""
+    best, table = grid_scores(data, model, grid, folds, seed, params=params, label=label, **how)
+    return _fit(model, {**(params or {}), **best}, _with_features(data), label, seed), table
+
+
+def halving_search(data: DataFrame, model: str, grid: dict, factor: int = 3, folds: int = 5, seed: int = 42,
+                   params: dict | None = None, label: str = "y", **how):
+    """:func:`halving_scores`, and the best candidate fitted on all of ``data``: (model, history)."""
+    best, table = halving_scores(data, model, grid, factor, folds, seed, params=params, label=label, **how)
+    return _fit(model, {**(params or {}), **best}, _with_features(data), label, seed), table
 
 
 SEARCH_METHODS = ("GridSearchCV", "RandomizedSearchCV", "HalvingGridSearchCV", "HalvingRandomSearchCV",
                   "DaskGridSearchCV", "DaskRandomizedSearchCV")
 
 
-def search(data: DataFrame, model: str, grid: dict, method: str = "GridSearchCV", folds: int = 5, seed: int = 42,
-           n_iter: int | None = None, factor: int = 3):
-    """Searches by the reference's names; the Dask variants run the same Spark search."""
+def search_scores(data: DataFrame, model: str, grid: dict, method: str = "GridSearchCV", folds: int = 5, seed: int = 42,
+                  n_iter: int | None = None, factor: int = 3, params: dict | None = None,
+                  label: str = "y") -> tuple[dict, DataFrame]:
+    """(best candidate, results) by the reference's method names; the Dask variants run the same search."""
+    how = {"folds": folds, "seed": seed, "params": params, "label": label}
     if method in ("GridSearchCV", "DaskGridSearchCV"):
-        return grid_search(data, model, grid, folds, seed)
+        return grid_scores(data, model, grid, **how)
     if method in ("RandomizedSearchCV", "DaskRandomizedSearchCV"):
-        return grid_search(data, model, grid, folds, seed, n_iter=n_iter or 10)
+        return grid_scores(data, model, grid, n_iter=n_iter or 10, **how)
     if method == "HalvingGridSearchCV":
-        return halving_search(data, model, grid, factor, folds, seed)
+        return halving_scores(data, model, grid, factor, **how)
     if method == "HalvingRandomSearchCV":
-        return halving_search(data, model, grid, factor, folds, seed, n_candidates=n_iter)
+        return halving_scores(data, model, grid, factor, n_candidates=n_iter, **how)
     raise ValueError(f"unknown search method {method!r}; choose one of {SEARCH_METHODS}")
 
 
+def search(data: DataFrame, model: str, grid: dict, method: str = "GridSearchCV", folds: int = 5, seed: int = 42,
+           n_iter: int | None = None, factor: int = 3, params: dict | None = None, label: str = "y"):
+    """:func:`search_scores` with the best candidate fitted on all of ``data``: (model, results)."""
+    best, table = search_scores(data, model, grid, method, folds, seed, n_iter, factor, params, label)
+    return _fit(model, {**(params or {}), **best}, _with_features(data), label, seed), table
+
+
 # ---- M19 ------------------------------------------------------------------------
 
 def score(model, prep: TargetPrep, vectors: DataFrame, invert_transform: bool = True) -> DataFrame:
@@ -400,20 +440,29 @@ def predict_from_strings(embedder, model, prep: TargetPrep, df: DataFrame, col:
 
 
 def save_trained(result: TrainResult, path: str) -> str:
-    """PipelineModel + target-prep sidecar."""
+    """The model (a PipelineModel; for knn its training rows and k), the target-prep
+    sidecar and the record of the parameters it was trained with."""
     from propkit.sources.sinks import write_sidecar
-    m = result.model
-    pm = m if isinstance(m, PipelineModel) else PipelineModel(stages=[m])
-    pm.write().overwrite().save(f"{path}/model")
-    write_sidecar(result.predictions.sparkSession, f"{path}/target_prep", json.loads(result.prep.to_json()))
+    m, spark = result.model, result.predictions.sparkSession
+    prep = json.loads(result.prep.to_json())
+    if isinstance(m, KNNRegressor):
+        m.train.write.mode("overwrite").parquet(f"{path}/model")
+        prep["knn"] = m.k
+    else:
+        pm = m if isinstance(m, PipelineModel) else PipelineModel(stages=[m])
+        pm.write().overwrite().save(f"{path}/model")
+    write_sidecar(spark, f"{path}/target_prep", prep)
+    write_sidecar(spark, f"{path}/parameters", result.extras.get("params", {}))
     return path
 
 
 def load_trained(spark, path: str):
     from propkit.sources.sinks import read_sidecar
-    model = PipelineModel.load(f"{path}/model")
-    prep = TargetPrep.from_json(json.dumps(read_sidecar(spark, f"{path}/target_prep")))
-    return model, prep
+    record = read_sidecar(spark, f"{path}/target_prep")
+    prep = TargetPrep.from_json(json.dumps(record))
+    if "knn" in record:
+        return KNNRegressor(record["knn"]).fit(spark.read.parquet(f"{path}/model")), prep
+    return PipelineModel.load(f"{path}/model"), prep
 
 
 __all__ = ["training_set", "fit_target_prep", "bootstrap", "split_train_test", "make_estimator", "train_and_evaluate",

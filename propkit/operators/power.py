@@ -31,9 +31,6 @@ class _Family:
     done: bool = False
 
 
-LAMBDA_LIMIT = 50.0
-
-
 def _family_transform(name: str, y, lam):
     """Transform with λ as a Column (one generated expression for every candidate)."""
     eps = F.lit(TR.EPS)
@@ -44,15 +41,11 @@ def _family_transform(name: str, y, lam):
     return F.when(y >= 0, pos).otherwise(neg)
 
 
-def _search(y: DataFrame, fams: list[_Family], n: int, grid: int = 33, tol: float = 1e-4,
-            max_passes: int = 40) -> None:
+def _search(y: DataFrame, fams: list[_Family], n: int, grid: int = 33, tol: float = 1e-4) -> None:
     """Joint grid-refine search.  Every pass is ONE aggregate: each cached value is
     paired with the pass's candidate λ list by ``explode`` (a generator feeding a
     map-side partial aggregate in the same stage), grouped by (family, candidate)."""
-    for _ in range(max_passes):
-        active = [f for f in fams if not f.done]
-        if not active:
-            break
+    while active := [f for f in fams if not f.done]:
         cands = []
         lams = {}
         for fi, f in enumerate(active):
@@ -79,15 +72,16 @@ def _search(y: DataFrame, fams: list[_Family], n: int, grid: int = 33, tol: floa
             k = max(range(grid), key=lambda i: (scores[i], -i))
             f.best = ls[k]
             if k == 0 or k == grid - 1:
-                if abs(f.best) >= LAMBDA_LIMIT:  # the maximum runs off to infinity: stop at the limit
-                    f.done = True
-                    continue
                 # the maximum lies outside the bracket: re-centre on the edge and widen ×2
                 width = f.hi - f.lo
+                if not width < 1e9:
+                    raise ValueError(f"{f.name}: the likelihood has no maximum at a finite lambda")
                 f.lo, f.hi = f.best - width, f.best + width
                 continue
             f.lo, f.hi = ls[k - 1], ls[k + 1]
             if f.hi - f.lo < tol * max(1.0, abs(f.best)):
+                if not (math.isfinite(scores[k - 1]) and math.isfinite(scores[k + 1])):
+                    raise ValueError(f"{f.name}: the likelihood grows until the transform overflows")
                 # smooth near the maximum: finish with the parabola through the best three
                 a, b, c = scores[k - 1], scores[k], scores[k + 1]
                 den = a - 2.0 * b + c
@@ -97,16 +91,11 @@ def _search(y: DataFrame, fams: list[_Family], n: int, grid: int = 33, tol: floa
                 f.done = True
 
 
-def _spread(y: DataFrame) -> DataFrame:
-    """A multi-pass column read from few files would run every pass on few cores:
-    round-robin it to at least the default parallelism before caching."""
-    par = y.sparkSession.sparkContext.defaultParallelism
-    return y.repartition(par) if y.rdd.getNumPartitions() < par else y
-
-
-def fit_lambdas(df: DataFrame, col: str, methods: list[str], **kw) -> dict[str, float]:
-    """F6/F7 λ by maximum likelihood for any of ``boxcox`` / ``yeo_johnson`` at once."""
-    y = _spread(values(df, col)).persist(StorageLevel.MEMORY_AND_DISK)
+def fit_lambdas(df: DataFrame, col: str, methods: list[str], partitions: int | None = None, **kw) -> dict[str, float]:
+    """F6/F7 λ by maximum likelihood for any of ``boxcox`` / ``yeo_johnson`` at once.
+    ``partitions`` deals the column anew before its passes (a table of few, small files)."""
+    y = values(df, col)
+    y = (y.repartition(partitions) if partitions else y).persist(StorageLevel.MEMORY_AND_DISK)
     r = y.agg(F.count("y").alias("n"), F.min("y").alias("mn"),
               F.sum(F.when(F.col("y") > 0, F.ln("y"))).alias("sl"),
               F.sum(F.signum("y") * F.log1p(F.abs("y"))).alias("sy")).first()

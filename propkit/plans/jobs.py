@@ -56,7 +56,8 @@ def distribution_report(df: DataFrame, col: str, auto: bool = False, transform:
     out["box_plot"] = {"min": mo.min, "q1": q1, "median": q2, "q3": q3, "max": mo.max}
     out["histogram"] = stats.histogram(y, "y")
     out["qq_plot"] = stats.qq_points(y, "y", ranked)
-    stat = stats.anderson_darling_statistic(ranked.df, mo.n, mo.mean, mo.std).first()["statistic"]
+    # a constant (or single-value) sample has no defined statistic
+    stat = stats.anderson_darling_statistic(ranked.df, mo.n, mo.mean, mo.std).first()["statistic"] if mo.std else None
     out["anderson_darling_test"] = {"statistic": stat, "significance_levels": stats.AD_SIGNIFICANCE,
                                     "critical_values": stats.ad_critical_values(mo.n)}
     out["skewness"], out["kurtosis"] = mo.skew_unbiased, mo.kurt_unbiased
@@ -75,8 +76,13 @@ def filter_target_job(spark: SparkSession, path: str, col: str, lo=None, hi=None
 
 def dedup_job(df: DataFrame, col: str, out_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Duplicate check job: index rows (scan order) if needed, split kept/dropped."""
-    indexed = with_row_index(df, "row_id")
-    kept, dropped = clean.dedup_lower(indexed, col)
+    # an existing row_id need not be unique: the first row in scan order is told by an id of its own
+    own = with_row_index(df, "_first")
+    kept, dropped = clean.dedup_lower(own, col, "_first")
+    if "row_id" in df.columns:
+        kept, dropped = kept.drop("_first"), dropped.drop("_first")
+    else:
+        kept, dropped = (x.withColumnRenamed("_first", "row_id") for x in (kept, dropped))
     if out_dir:
         write_table(kept, f"{out_dir}/deduplicated")
         write_table(dropped, f"{out_dir}/duplicates")
@@ -167,26 +173,30 @@ def train_job(vectors: DataFrame, targets: DataFrame, y_col: str, model: str = "
         data = M.bootstrap(data, int(bootstrap_nsamples), float(noise_percentage), seed) \
             .drop("row_id").withColumnRenamed("draw", "row_id")
     out = {"bootstrap": bootstrap, "n_rows": data.count()}
-    params = dict(parameters or {})
+    params, tune = dict(parameters or {}), None
     if fine_tune_model:
         gp = grid_search_parameters or {}
-        best, table = M.search(data, model, fine_tuned_hyperparameters or {}, grid_search_method, cv_fold, seed,
-                               n_iter=gp.get("n_iter"), factor=int(gp.get("factor", 3)))
-        out["search_results"] = table
-        best_params = {p.name: v for p, v in best.extractParamMap().items()
-                       if p.name in ("regParam", "numTrees", "maxDepth", "maxIter", "stepSize", "minInstancesPerNode")}
-        out["best_params"] = best_params
-        for k, v in (fine_tuned_hyperparameters or {}).items():
-            params.setdefault(k, v[0] if isinstance(v, (list, tuple)) else v)
+        grid = {k: list(v) if isinstance(v, (list, tuple)) else [v] for k, v in (fine_tuned_hyperparameters or {}).items()}
+        tune = {"grid": grid, "method": grid_search_method, "folds": cv_fold, "n_iter": gp.get("n_iter"),
+                "factor": int(gp.get("factor", 3))}
     res = M.train_and_evaluate(data, model, params, test_size, ytransformation, yscaling, seed,
-                               inverse_scaling, inverse_transform)
+                               inverse_scaling, inverse_transform, tune=tune)
+    if tune:
+        out["search_results"], out["best_candidate"] = res.extras["search_results"], res.extras["best_params"]
+        # the fitted model's own names for what the search may set
+        out["best_params"] = {p.name: v for p, v in res.model.extractParamMap().items() if p.name in (
+            "regParam", "numTrees", "maxDepth", "maxIter", "stepSize", "minInstancesPerNode")} if hasattr(res.model, "extractParamMap") else {}
+        params = res.extras["params"]
     out["predictions"], out["metrics"] = res.predictions, res.metrics
     out["result"] = res
     if cross_validation and not fine_tune_model and test_size > 0:
         out["cv_scores"] = M.cross_validate(data, model, params, cv_fold, seed)
+        out["cv_summary"] = M.cv_summary(out["cv_scores"])
     if save_to:
         M.save_trained(res, f"{save_to}/model")
         write_results(res.predictions, res.metrics, f"{save_to}/results")
+        if tune:
+            write_table(out["search_results"], f"{save_to}/search_results")
     return out
 
 
@@ -223,6 +233,21 @@ def word2vec_job(spark: SparkSession, df: DataFrame, col: str, out_dir: str, rad
     return model
 
 
+def embedding_job(spark: SparkSession, df: DataFrame, col: str, embedder, out_dir: str, id_col: str = "row_id") -> dict:
+    """E11 as a job: the embedding is written once; vectors of valid rows (S9), the invalid
+    rows (P14) and a lineage record are written from it."""
+    from propkit.operators.embed import embed_job
+    from propkit.sources.sinks import write_vectors
+    vectors, _ = embed_job(embedder, with_row_index(df, id_col), col, id_col)
+    write_table(vectors, f"{out_dir}/embedded")
+    got = spark.read.parquet(f"{out_dir}/embedded")
+    write_vectors(got.where("is_valid"), f"{out_dir}/vectors", vec_col="vector")
+    write_table(got.where("NOT is_valid").select("row_id", col), f"{out_dir}/invalid")
+    counts = clean.validity_counts(got).first().asDict()
+    write_sidecar(spark, f"{out_dir}/metadata", {"column": col, "index_column": id_col, **counts})
+    return {"embedded": got, "counts": counts}
+
+
 def predict_job(spark: SparkSession, df: DataFrame, col: str, model_dir: str, embedder, out: str | None = None,
                 pca_pipeline=None, invert_transform: bool = True, id_col: str = "row_id") -> DataFrame:
     """M19 as a job: saved model + target preparation → ``predicted_value`` for every

@@ -47,3 +47,11 @@ def test_clear_errors(spark):
     for m in SCALERS[:5]:
         with pytest.raises(ValueError, match="no non-null values"):
             fit_scaler(empty, "v", m)
+
+
+def test_constant_column_report_and_repeated_ids(spark):
+    from propkit.plans import jobs
+    r = jobs.distribution_report(spark.createDataFrame(FRAMES["constant"], "v double"), "v")
+    assert r["anderson_darling_test"]["statistic"] is None
+    kept, dropped = jobs.dedup_job(spark.createDataFrame([(1, "a"), (1, "A"), (2, "b")], "row_id long, s string"), "s")
+    assert kept.count() == 2 and dropped.count() == 1

@@ -61,3 +61,9 @@ def test_auto_transform_picks_min_abs_skew(spark):
     assert set(ch.scores) == {"original", "log1p", "sqrt", "reciprocal", "boxcox", "yeo_johnson"}
     finite = {m: s for m, s in ch.scores.items() if s is not None}
     assert ch.best == min(finite, key=lambda m: abs(finite[m]))
+
+
+def test_lambda_far_outside_the_first_bracket(spark):
+    u = [(((i + 0.5) / 400) ** (1 / 400),) for i in range(400)]
+    lam = boxcox_lambda(spark.createDataFrame(u, "v double"), "v")
+    assert 270 < lam < 296
