@@ -19,7 +19,8 @@ linked, and every connected component keeps its smallest ``doc_id``.
    with the bucket's other members, so no candidate of the bands is left out.  A pair
    becomes a row once, in the first bucket it shares, and only if an odd sketch (parities
    of hashed shingles, which give the size of the symmetric difference of similar sets
-   closely) does not rule it out.
+   closely) does not rule it out.  Of every two components the closest pair is confirmed
+   first; then all pairs whose components are still apart are.
 
 Nulls and texts without a word have an empty set and are linked with nothing.  Rows that
 repeat a ``doc_id`` each keep a row of the result.  A null ``doc_id`` is never the smallest
@@ -141,13 +142,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, n_bands, BAND).astype(np.uint64)
+        k = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, n_bands, BAND).astype(np.uint64)
         h = np.broadcast_to(salt, k.shape[:2]).copy()
         for i in range(BAND):
             h = T.mix(h * _STEP + k[:, :, i])
         flat = pa.array(h.reshape(-1).view(np.int64))
         offs = pa.array(np.arange(0, len(flat) + 1, n_bands, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offs, flat)], names=["cid", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, flat)], names=["cid", "n", "bands"])
 
 
 def joint_estimate(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -213,11 +214,12 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, width: int = 2
     classes = stored(s.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("odd").alias("odd"))
         .withColumn("cid", F.monotonically_increasing_id()))
-    bands = stored(classes.select("cid", "sketch").mapInArrow(_bands, "cid long, bands array<long>"))
-    member = bands.select("cid", F.explode("bands").alias("key"))
-    least = member.groupBy("key").agg(F.min("cid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = stored(member.join(least, "key"))  # seats in buckets with company
-    tried = shared.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
+    bands = stored(classes.select("cid", "n", "sketch").mapInArrow(_bands, "cid long, n long, bands array<long>"))
+    member = bands.select("cid", "n", F.explode("bands").alias("key"))
+    least = member.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("f"), F.count(F.lit(1)).alias("seats")).where("seats > 1")
+    shared = stored(member.join(least.select("key", F.col("f.cid").alias("first"), F.col("f.n").alias("first_n")), "key"))  # buckets with company
+    near_size = 100 * F.least("n", "first_n") >= threshold_percent * F.greatest("n", "first_n")
+    tried = shared.where((F.col("cid") != F.col("first")) & near_size).select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("cid").alias(x), F.col("doc_id").alias(f"id{x}"),
@@ -237,11 +239,11 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, width: int = 2
     roots = components(links)
     # second round: buckets with several components
     seat = shared.join(roots, shared["cid"] == roots["node"], "left").select(
-        "key", "cid", "first", F.coalesce("root", "cid").alias("root"))
+        "key", "cid", "n", "first", F.coalesce("root", "cid").alias("root"))
     mixed = seat.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                     F.max(F.when(F.col("cid") == F.col("first"), F.col("root"))).alias("main"))
     mixed = mixed.where("lo <> hi").select("key", "main")
-    seats = seat.join(mixed, "key").join(bands, "cid").join(classes.select("cid", "n", "odd"), "cid")
+    seats = seat.join(mixed, "key").join(bands.select("cid", "bands"), "cid").join(classes.select("cid", "odd"), "cid")
     seats = stored(seats.select("key", "cid", "root", "main", "n", "odd", "bands"))
     left = seats.where("root <> main").select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"),
                                               F.col("odd").alias("ob"), F.col("bands").alias("bb"))
@@ -254,12 +256,25 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, width: int = 2
             & (100 * F.least("na", "nb") >= threshold_percent * F.greatest("na", "nb"))
             & (differing <= odd_limit(F.col("na"), F.col("nb"), threshold_percent))
             & (F.size(common) >= ROUND_TWO_MATCHES) & (F.element_at(common, 1) == left["key"]))
-    more = left.join(right, cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = left.join(right, cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), differing.alias("far")).distinct()
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        found = stored(confirmed(more))
+    # the closest pair of every two components first: its link spares the others of the two
+    for closest in (True, False):
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+            "a", "b", "far", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+        more = stored(more.select("a", "b", "far", F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("s")))
+        take = more
+        if closest:
+            take = stored(more.groupBy("r", "s").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b"))
+            more = more.join(take, ["a", "b"], "left_anti")
+        if not take.limit(1).count():
+            break
+        found = stored(confirmed(take.select("a", "b")))
         if found.limit(1).count():
-            roots = components(links.unionByName(found))
+            links = links.unionByName(found)
+            roots = components(links)
+        more = more.select("a", "b", "far")
     member_of = classes.select("cid", "cls", "doc_id").join(roots, classes["cid"] == roots["node"], "left").select(
         "cls", "doc_id", F.coalesce("root", "cid").alias("root"))
     smallest = member_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
