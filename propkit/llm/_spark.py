@@ -99,11 +99,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         nxt = stored(small.where("u <> v").distinct())
         # finished when every node hangs on one root that hangs on nothing
-        roots = nxt.select(F.col("v").alias("u")).distinct()
-        open_ = nxt.join(roots, "u", "left_semi").limit(1).count()
-        many = nxt.groupBy("u").count().where("count > 1").limit(1).count() if not open_ else 1
+        ends = nxt.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            nxt.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         e = nxt
-        if not open_ and not many:
+        if not ends.where("up > 1 or (up = 1 and down = 1)").limit(1).count():
             break
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -205,6 +205,13 @@ def _confirm(percent: int, width: int):
     return run
 
 
+def _moved(df: DataFrame, col: str, to: DataFrame) -> DataFrame:
+    """``df`` with the nodes in ``col`` replaced by their roots in ``to``, where they have one."""
+    to = to.select(F.col("node").alias("_pk_node"), F.col("root").alias("_pk_root"))
+    out = df.join(to, df[col] == F.col("_pk_node"), "left")
+    return out.withColumn(col, F.coalesce("_pk_root", col)).drop("_pk_node", "_pk_root")
+
+
 def near_duplicates(docs: DataFrame, threshold_percent: int = 80, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, cls, root)`` for every row of ``docs``; ``cls`` is
     the digest of the row's set of ``width``-word shingles and ``root`` numbers its component
@@ -256,27 +263,28 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, width: int = 2
             & (100 * F.least("na", "nb") >= threshold_percent * F.greatest("na", "nb"))
             & (differing <= odd_limit(F.col("na"), F.col("nb"), threshold_percent))
             & (F.size(common) >= ROUND_TWO_MATCHES) & (F.element_at(common, 1) == left["key"]))
-    more = left.join(right, cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), differing.alias("far")).distinct()
+    more = left.join(right, cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), differing.alias("far"),
+                                         F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("s")).distinct()
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
+    moves = []  # components of components, from the links of this round
     # the closest pair of every two components first: its link spares the others of the two
     for closest in (True, False):
-        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-            "a", "b", "far", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-        more = stored(more.select("a", "b", "far", F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("s")))
         take = more
         if closest:
-            take = stored(more.groupBy("r", "s").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b"))
-            more = more.join(take, ["a", "b"], "left_anti")
+            take = stored(more.groupBy("r", "s").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b", "r", "s"))
+            more = more.join(take.select("a", "b"), ["a", "b"], "left_anti")
         if not take.limit(1).count():
             break
-        found = stored(confirmed(take.select("a", "b")))
+        found = stored(confirmed(take.select("a", "b")).join(take, ["a", "b"]).select("r", "s"))
         if found.limit(1).count():
-            links = links.unionByName(found)
-            roots = components(links)
-        more = more.select("a", "b", "far")
+            moves.append(components(found, "r", "s"))
+            more = _moved(_moved(more, "r", moves[-1]), "s", moves[-1]).where("r <> s")
+        if closest:
+            more = stored(more)
     member_of = classes.select("cid", "cls", "doc_id").join(roots, classes["cid"] == roots["node"], "left").select(
         "cls", "doc_id", F.coalesce("root", "cid").alias("root"))
+    for m in moves:
+        member_of = _moved(member_of, "root", m)
     smallest = member_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     answer = member_of.join(smallest, "root").select("cls", "component_id", "root")
     out = s.select("doc_id", "n_shingles", "cls").join(answer, "cls", "left")
