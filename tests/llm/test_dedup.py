@@ -174,6 +174,30 @@ def test_passages(spark, odd, none):
     assert {(r.doc_id, r.other_id) for r in passages.repeated_passages(odd).collect()} >= {(2, 1), (3, 1), (4, 1)}
 
 
+def test_every_shared_window_is_in_a_passage(spark):
+    rng = random.Random(21)
+    shared, early = words(rng, 60).split(), words(rng, 70).split()
+    around = lambda w, n=40: " ".join([words(rng, n), *w, words(rng, n)])
+    # parts of the passage stand in earlier texts; its seeds have several first holders
+    texts = [around(shared[:18]), around(shared[14:34]), around(shared[30:48]), around(shared[42:]), around(shared), around(shared)]
+    texts += [around(["de"] * 120), around(["DE"] * 70), " ".join(["de"] * 300), " ".join(["der", "die", "das"] * 40), around(["der", "die", "das"] * 30)]
+    texts += [around(early + words(rng, 30).split() + early), around(early), around(early + early)]
+    rows = [*enumerate(texts), (5, texts[5]), (6, texts[6]), (40, texts[8]), (None, around(shared)), (41, words(rng, 200))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    held, split = {}, {i: re.findall(r"[^ \t-\r]+", t.translate(LOWER)) for i, t in rows}
+    for i, w in split.items():
+        for p in range(len(w) - 49):
+            held.setdefault(tuple(w[p: p + 50]), set()).add(i)
+    for i, w in split.items():
+        own = [(r.start_word, r.stop_word) for r in got if r.doc_id == i]
+        for p in range(len(w) - 49):
+            others = {tuple(split[j]) for j in held[tuple(w[p: p + 50])]} - {tuple(w)}
+            assert not others or any(a <= p and p + 50 <= b for a, b in own) or i == 40, (i, p)  # 40 is a whole copy of 8
+    for r in got:
+        if r.matched_words == r.stop_word - r.start_word == r.other_stop - r.other_start and not r.copy:
+            assert split[r.doc_id][r.start_word: r.stop_word] == split[r.other_id][r.other_start: r.other_stop]
+
+
 def test_chaining_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
