@@ -1,6 +1,6 @@
 """Quality by the log-likelihood ratio of hashed n-grams (operator 8).
 
-Words (lower-cased A-Z) and pairs of neighbours are hashed to ``BUCKETS`` buckets.  One
+Words (lower-cased A-Z) and pairs of neighbours are hashed to buckets.  One
 pass over the whole corpus counts the buckets twice: over every document (the raw corpus)
 and over the trusted target documents.  Both are smoothed multinomials; a document's
 value is the mean over its n-grams of ``log(target / raw)``, so it does not grow with its
@@ -8,9 +8,10 @@ length, and the document is kept when the value is at least ``threshold`` and th
 rules (at least 10 words, at most 20% of them in repeated five-word windows) hold.
 
 Tasks add their counts up before anything is shuffled, so what is moved is at most one
-row per bucket and task; the driver sees the ``BUCKETS`` ratios only.  The trusted
-target is a bounded sample of labelled documents (``TRUSTED_ROWS`` ids, broadcast); every
-document is counted and scored.
+row per bucket and task; the driver sees the ratios only.  The trusted target is every
+document labelled good; every document is counted and scored.  The number of buckets is at
+least ``BUCKETS`` and grows with the square root of the corpus, as distinct n-grams do
+(1,048,576 at 30 GB of text, 4 MB of ratios).
 
 Null and empty texts have no words and fail the base rules.  A text of one word is judged
 by that word.  Without trusted documents every ratio is 0.  Repeated rows are counted and
@@ -29,53 +30,63 @@ from pyspark.sql import functions as F
 from propkit.llm import _text as T
 from propkit.llm._signals import repeated_windows, signals
 
-BUCKETS, TRUSTED_ROWS, THRESHOLD = 1 << 16, 20000, -0.06
+BUCKETS, BUCKET_BYTES, THRESHOLD = 1 << 16, 1 << 28, -0.06  # bytes of text up to which BUCKETS do
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
-def bucket_ids(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_count(text_bytes: int) -> int:
+    """A power of two, at least ``BUCKETS``, that grows with the square root of the corpus."""
+    n = BUCKETS
+    while (n // BUCKETS) ** 2 * BUCKET_BYTES < text_bytes:
+        n *= 2
+    return n
+
+
+def bucket_ids(buf: np.ndarray, ends: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """N-gram buckets of a block and the text of each."""
     s, e, bounds = T.words(buf, ends)
     h, own = T.span_hash(T.LOWER[buf], s, e), T.owner(bounds)
     pair = own[1:] == own[:-1]
     two = T.mix(h[:-1] * _GOLD + h[1:])[pair]
-    return (np.concatenate([h, two]) >> _SHIFT).astype(np.int64), np.concatenate([own, own[:-1][pair]])
+    return (np.concatenate([h, two]) >> np.uint64(65 - buckets.bit_length())).astype(np.int64), np.concatenate([own, own[:-1][pair]])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for first, buf, ends in T.blocks(batch.column(0)):
-            k, own = bucket_ids(buf, ends)
-            raw += np.bincount(k, minlength=BUCKETS)
-            target += np.bincount(k[trusted[first + own]], minlength=BUCKETS)
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+def _count(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for batch in batches:
+            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, buf, ends in T.blocks(batch.column(0)):
+                k, own = bucket_ids(buf, ends, buckets)
+                raw += np.bincount(k, minlength=buckets)
+                target += np.bincount(k[trusted[first + own]], minlength=buckets)
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+    return run
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
     """``log(target / raw)`` by bucket, from counts over all documents."""
     t = trusted_ids.select(F.col("doc_id").alias("_trusted")).distinct()
     x = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    x = x.join(F.broadcast(t), F.col("_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("trusted"))
-    got = x.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    buckets = bucket_count(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    x = x.join(t, F.col("_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("trusted"))
+    got = x.mapInArrow(_count(buckets), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for b, r, q in got:
         raw[b], target[b] = r, q
     if not target.sum():
-        return np.zeros(BUCKETS, np.float32)
+        return np.zeros(buckets, np.float32)
     # both smoothed towards the raw corpus: an unseen bucket says little, a frequent one much
-    share = (raw + 1) / (raw.sum() + BUCKETS)
-    prior = max(1.0, target.sum() / BUCKETS) * BUCKETS
+    share = (raw + 1) / (raw.sum() + buckets)
+    prior = max(1.0, target.sum() / buckets) * buckets
     return np.log((target + prior * share) / (target.sum() + prior) / share).astype(np.float32)
 
 
-def trusted_sample(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` ids of documents labelled good, in a fixed hash order."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled good (by every label they have)."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    return good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows).select("doc_id")
+    return good.select("doc_id")
 
 
 def _judge(ratio: np.ndarray, threshold: float):
@@ -83,7 +94,7 @@ def _judge(ratio: np.ndarray, threshold: float):
         for batch in batches:
             for first, buf, ends in T.blocks(batch.column(1)):
                 x = signals(buf, ends)
-                k, own = bucket_ids(buf, ends)
+                k, own = bucket_ids(buf, ends, len(ratio))
                 n = np.bincount(own, minlength=len(ends))
                 value = np.bincount(own, weights=ratio[k], minlength=len(ends)) / np.maximum(n, 1)
                 failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
@@ -102,7 +113,7 @@ def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, text
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return judge(docs, log_ratios(docs, trusted_sample(labels)), threshold)
+    return judge(docs, log_ratios(docs, trusted(labels)), threshold)
 
 
-__all__ = ["bucket_ids", "judge", "log_ratios", "quality_rules", "repeated_windows", "trusted_sample"]
+__all__ = ["bucket_count", "bucket_ids", "judge", "log_ratios", "quality_rules", "repeated_windows", "trusted"]

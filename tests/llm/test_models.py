@@ -110,6 +110,17 @@ def test_rule_counts(spark, odd, odd_labels, none, no_labels):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == rules(text[r.doc_id])
 
 
+def test_every_trusted_document_counts(spark):
+    lab = spark.range(25000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    docs = spark.range(30000).selectExpr("id as doc_id", "if(id < 25000, 'good', 'other') as text")
+    ratio = quality_rules.log_ratios(docs, quality_rules.trusted(lab))
+    (_, buf, ends), = T.blocks(pa.array(["good"]))
+    (k,), _ = quality_rules.bucket_ids(buf, ends, len(ratio))
+    share, buckets = 25001 / (30000 + len(ratio)), len(ratio)
+    assert abs(ratio[k] - np.log((25000 + buckets * share) / (25000 + buckets) / share)) < 1e-5
+    assert quality_rules.bucket_count(1 << 20) == quality_rules.BUCKETS < quality_rules.bucket_count(1 << 30) < quality_rules.bucket_count(1 << 35)
+
+
 def test_lines_and_windows_of_blocks():
     texts = ["a\na\n\n \nb\na", "", "x y z x y z x y z x y z", "\n"]
     (_, buf, ends), = T.blocks(pa.array(texts))
