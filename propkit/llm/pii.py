@@ -3,8 +3,10 @@
 Base spans are the strict matches of four kinds (email, ip, card, phone) and always count.
 High-recall generators propose further, overlapping spans in looser formats; gradient
 boosted trees over format and context features (trained in the JVM on a bounded sample of
-candidates, labelled by whether they are base spans) score them, and a threshold per
-kind, calibrated on candidates that were not trained on, selects what is added.
+candidates, labelled by what they hold: an address after undoing "at" and "dot", octets, a
+Luhn number, a phone number's digits with a plus or a cue before them, or a base span)
+score them, and a threshold per kind, calibrated on candidates that were not trained on,
+selects what is added.
 
 The trees are turned into column expressions, so a text's spans come from one projection:
 no shuffle, no row per candidate.  Matches and their places come from splitting a text at
@@ -13,7 +15,7 @@ are the contract's, written so that Java's matcher neither recurses over long ru
 starts anew inside a run that cannot match.
 
 Null texts are empty; an empty text has no spans.  Repeated rows have equal results.  A
-sample without both kinds of candidates adds nothing to the base spans.
+sample without good candidates adds nothing to the base spans.
 """
 
 from __future__ import annotations
@@ -41,14 +43,18 @@ BASE = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}  # a character without which there is no match
 # generators: (kind proposed, pattern); they overlap each other and the base patterns
 LOOSE = (
-    ("email", rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]++"),
+    ("email", rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9.])[0-9]{1,4}+\x20?\.\x20?[0-9]{1,4}+\x20?\.\x20?[0-9]{1,4}+\x20?\.\x20?[0-9]{1,4}+"),
-    ("card", r"(?<![0-9])[0-9][0-9\x20.-]{11,28}+(?<=[0-9])"),
+    ("card", r"(?<![0-9])[0-9][0-9\x20.-]{11,28}(?<=[0-9])(?![0-9])"),
     ("phone", r"(?<![0-9])[+(]{0,2}+[0-9][\x20().0-9-]{7,22}(?<=[0-9])(?![0-9])"),
 )
 SPAN = "struct<kind:int,start:bigint,stop:bigint>"
 FEATURES = ("kind", "length", "digits", "dots", "dashes", "blanks", "parens", "plus", "at", "letters", "groups", "luhn", "octets",
-            "left_alnum", "right_alnum", "cue")
+            "left_alnum", "right_alnum", "cue", "phone_cue")
+_AT = r"\x20?(?:@|\(at\)|\[at\])\x20?"
+_DOT = r"\x20?(?:\(dot\)|\[dot\])\x20?|\x20\.\x20"
+_ADDRESS = r"^[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)(?:[A-Za-z0-9-]+\.)*[A-Za-z][A-Za-z0-9-]*$"
+_PHONE_CUE = r"(?i)(tel|phone|call|fax|mobil|contact)[^\n]*$"
 _CUE = r"(?i)(mail|contact|tel|phone|call|fax|card|visa|pay|ip|host|server|addr)[^\n]*$"
 
 
@@ -74,6 +80,20 @@ def _octets(t: str) -> str:
     return f"forall(split({t}, '[.]', -1), p -> length({short}) <= 3 and coalesce(try_cast({short} as int), 999) <= 255)"
 
 
+def _holds(kind: str, t: str, left: str) -> str:
+    """Whether a proposal is of its kind once loose notation is undone; ``left`` is the text before it."""
+    d = _digits(t)
+    if kind == "email":  # blanks stand on both sides of a dot or on none, else it ends a sentence
+        at = f"regexp_replace({t}, {_quoted(_AT)}, '@')"
+        dot = f"regexp_replace({at}, {_quoted(_DOT)}, '.')"
+        return f"{dot} rlike {_quoted(_ADDRESS)}"
+    if kind == "ip":
+        return _octets(f"replace({t}, ' ', '')")
+    if kind == "card":
+        return _valid(kind, t)
+    return f"{_valid(kind, t)} and ({t} like '+%' or {left} rlike {_quoted(_PHONE_CUE)})"
+
+
 def _valid(kind: str, t: str) -> str:
     return {"email": "true", "ip": _octets(t), "card": f"if(length({_digits(t)}) between 13 and 19, {_luhn(_digits(t))}, false)",
             "phone": f"length({_digits(t)}) between 9 and 15"}[kind]
@@ -115,8 +135,8 @@ def with_base(df: DataFrame) -> DataFrame:
     return df.select(*keep, F.expr(f"concat({', '.join(parts)})").alias("base"))
 
 
-def with_candidates(df: DataFrame) -> DataFrame:
-    """Add ``candidates``: all proposals with their features."""
+def with_candidates(df: DataFrame, labels: bool = False) -> DataFrame:
+    """Add ``candidates``: all proposals with their features, and whether each ``holds`` what it looks like."""
     keep, parts = df.columns, []
     some = lambda c: f"(length(x.text) - length(replace(x.text, '{c}', '')))"
     d, left = _digits("x.text"), f"substring(text, cast(greatest(x.start - {CONTEXT} + 1, 1) as int), cast(least(x.start, {CONTEXT}) as int))"
@@ -129,8 +149,8 @@ def with_candidates(df: DataFrame) -> DataFrame:
                   "letters": "length(regexp_replace(x.text, '[^A-Za-z]', ''))", "groups": "size(split(x.text, '[^0-9]+'))",
                   "luhn": flag(f"if(length({d}) between 13 and 19, {_luhn(d)}, false)"), "octets": flag(_octets("replace(x.text, ' ', '')")),
                   "left_alnum": flag(f"{left} rlike '[A-Za-z0-9]$'"), "right_alnum": flag("substring(text, cast(x.stop + 1 as int), 1) rlike '[A-Za-z0-9]'"),
-                  "cue": flag(f"{left} rlike {_quoted(_CUE)}")}
-        fields = ", ".join(f"'{k}', double({v})" for k, v in values.items())
+                  "cue": flag(f"{left} rlike {_quoted(_CUE)}"), "phone_cue": flag(f"{left} rlike {_quoted(_PHONE_CUE)}")}
+        fields = ", ".join(f"'{k}', double({v})" for k, v in values.items()) + f", 'holds', coalesce({_holds(kind, 'x.text', left)}, false)" * labels
         parts.append(f"transform(l_{i}, x -> named_struct('start', x.start, 'stop', x.stop, {fields}))")
     return df.select(*keep, F.expr(f"concat({', '.join(parts)})").alias("candidates"))
 
@@ -156,13 +176,15 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"):
     keep = max(1, docs.count() // SAMPLE_DOCS)
     x = docs.where(F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) % keep == 0).select(
         F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).limit(2 * SAMPLE_DOCS)
-    x = with_candidates(with_base(x)).select("id", "base", F.explode("candidates").alias("c")).limit(SAMPLE_CANDIDATES)
-    hit = "exists(base, s -> s.kind = c.kind and s.start = c.start and s.stop = c.stop)"
+    x = with_candidates(with_base(x), labels=True).select("id", "base", F.explode("candidates").alias("c")).limit(SAMPLE_CANDIDATES)
+    hit = "c.holds or exists(base, s -> s.kind = c.kind and s.start = c.start and s.stop = c.stop)"
     x = stored(x.select(F.expr(f"double({hit})").alias("label"), F.expr("xxhash64(id, c.start, c.stop) % 4 = 0").alias("test"), "c.*"))
     x = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(x)
     both = x.where(~F.col("test")).agg(F.min("label"), F.max("label")).first()
-    if both[0] is None or both[0] == both[1]:
+    if not both[1]:
         return None
+    if both[0] == both[1]:  # nothing to tell apart
+        return "1D", {i: 0.0 for i in range(len(KINDS))}
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=32).fit(x.where(~F.col("test")).select("label", "features"))
     sql = margin(model)
     bins = x.where("test").groupBy("kind", F.floor(F.expr(margin(model, "")) * 4).alias("bin")).agg(F.sum("label").alias("hit"), F.count(F.lit(1)).alias("n"))

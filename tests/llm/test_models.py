@@ -166,3 +166,23 @@ def test_personal_data(spark, odd):
     assert pii.personal_data(odd).count() == len(odd_rows())
     safe = {r.doc_id: r.text for r in pii.redacted(pii.find(odd)).collect()}
     assert safe[14] == "mail <email> or <phone>, <ip>"
+
+
+LOOSE = ("anna (at) mail.example (dot) org", "bob.k @ host.example.net", "4111.1111.1111.1111", "10 . 20 . 30 . 40", "020 7946 0958 12")
+
+
+@pytest.mark.parametrize("every", [2, 40])
+def test_loose_forms_are_found(spark, every):
+    plain = ("strict a.b@c-d.example.org end", "ip 10.1.2.3 and 10 . 999 . 3 . 4", "card 4111 1111 1111 1111 or 4111.1111.1111.1112", "nothing of 1234567 here. Go",
+             "order 555 123 4567 89 was @ noon. Then", "phone +1 (234) 567-8901 now")
+    rows = [(i, f"{plain[i % 6]} number {i}" if i % every else f"words phone: {LOOSE[i // every % 5]} , more") for i in range(4000)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [0] * 5
+    for r in got:
+        if r.doc_id % every == 0:
+            n = r.doc_id // every % 5
+            span = f"13:{13 + len(LOOSE[n])}"
+            found[n] += f"{('email', 'email', 'card', 'ip', 'phone')[n]}:{span}" in r.spans.split(",")
+        else:
+            assert "ip:23" not in r.spans or r.doc_id % 6 != 1
+    assert min(found) >= 0.95 * (4000 // every // 5), found
