@@ -2,14 +2,14 @@
 
 Base spans are the strict matches of four kinds (email, ip, card, phone) and always count.
 High-recall generators propose further, overlapping spans in looser formats; gradient
-boosted trees over format and context features (trained in the JVM on a bounded sample of
-candidates, labelled by what they hold: an address after undoing "at" and "dot", octets, a
-Luhn number, a phone number's digits with a plus or a cue before them, or a base span)
-score them, and a threshold per kind, calibrated on candidates that were not trained on,
+boosted trees over format and context features (trained in the JVM on at most
+``SAMPLE_CANDIDATES`` candidates of each kind, by hash, labelled by what they hold: an address after undoing "at" and "dot", octets, a
+Luhn number, or a phone number's digits with a plus or a cue before them)
+score them, and a threshold per kind, calibrated on the candidates of all documents,
 selects what is added.
 
 The trees are turned into column expressions, so a text's spans come from one projection:
-no shuffle, no row per candidate.  Matches and their places come from splitting a text at
+no shuffle, no row per candidate (the fit stores one).  Matches and their places come from splitting a text at
 the matches: places are running sums of the pieces' lengths in code points.  The patterns
 are the contract's, written so that Java's matcher neither recurses over long runs nor
 starts anew inside a run that cannot match.
@@ -25,10 +25,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propkit.llm._spark import stored
+from propkit.llm._spark import hash_key, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SAMPLE_CANDIDATES, PRECISION = 4000, 20000, 0.95
+SAMPLE_CANDIDATES, PRECISION = 5000, 0.95  # candidates of a kind that the trees see
 TREES, DEPTH, CONTEXT = 12, 3, 16
 
 # a run of label characters, then ".x" again and again, without a loop over a group of varying length
@@ -171,34 +171,65 @@ def margin(model, of: str = "c.") -> str:
     return " + ".join(f"{float(w)!r}D * {_tree(t._call_java('rootNode'), of)}" for w, t in zip(model.treeWeights, model.trees))
 
 
+def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``label``, an evenly spread ``key`` and the features of every candidate that may be added, of all documents.
+
+    Candidates over a base span of their kind are never added, so they teach nothing and
+    lend no threshold their precision.
+    """
+    x = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    x = with_candidates(with_base(x), labels=True).select("id", "base", F.explode("candidates").alias("c"))
+    x = x.where("not exists(base, b -> b.kind = c.kind and b.start < c.stop and c.start < b.stop)")
+    key = hash_key(F.col("id"), F.col("c.start"), F.col("c.stop"), F.col("c.kind"))
+    return x.select(F.expr("double(c.holds)").alias("label"), key.alias("key"), *[F.col(f"c.{f}").alias(f) for f in FEATURES])
+
+
+def sampled(x: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
+    """At most ``rows`` candidates of each kind, those of the least keys; equal rows count once."""
+    found = {int(r["kind"]): r["n"] for r in x.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a kind
+    parts = []
+    for kind, n in sorted(found.items()):
+        some = x.where(F.col("kind") == kind)
+        if n > rows:  # few more than needed go on to be ordered
+            some = some.where(F.col("key") < int(min(1.0, 1.5 * rows / n) * (1 << 60)))
+        parts.append(some.dropDuplicates(["key", *FEATURES]).orderBy("key", *FEATURES).limit(rows))
+    out = parts[0] if parts else x
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"):
-    """``(margin SQL, {kind: threshold})`` from a bounded sample of documents, or None."""
-    keep = max(1, docs.count() // SAMPLE_DOCS)
-    x = docs.where(F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) % keep == 0).select(
-        F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).limit(2 * SAMPLE_DOCS)
-    x = with_candidates(with_base(x), labels=True).select("id", "base", F.explode("candidates").alias("c")).limit(SAMPLE_CANDIDATES)
-    hit = "c.holds or exists(base, s -> s.kind = c.kind and s.start = c.start and s.stop = c.stop)"
-    x = stored(x.select(F.expr(f"double({hit})").alias("label"), F.expr("xxhash64(id, c.start, c.stop) % 4 = 0").alias("test"), "c.*"))
-    x = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(x)
-    both = x.where(~F.col("test")).agg(F.min("label"), F.max("label")).first()
-    if not both[1]:
+    """``(margin SQL, {kind: threshold})``, or None without good candidates.
+
+    Every kind has trees of its own, from ``SAMPLE_CANDIDATES`` candidates at most; the thresholds are
+    calibrated on the candidates of all documents.
+    """
+    every = stored(labelled(docs, text_col, id_col))
+    x = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(stored(sampled(every)))
+    margins, limits = {}, {}
+    for r in x.groupBy("kind").agg(F.min("label").alias("low"), F.max("label").alias("high")).collect():  # one row a kind
+        kind = int(r["kind"])
+        if r["low"] == r["high"]:  # nothing to tell apart
+            margins[kind] = lambda of, v=2 * r["high"] - 1: f"{v!r}D"
+        else:
+            model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=32).fit(
+                x.where(F.col("kind") == kind).select("label", "features"))
+            margins[kind] = lambda of, m=model: margin(m, of)
+    if not margins:
         return None
-    if both[0] == both[1]:  # nothing to tell apart
-        return "1D", {i: 0.0 for i in range(len(KINDS))}
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=32).fit(x.where(~F.col("test")).select("label", "features"))
-    sql = margin(model)
-    bins = x.where("test").groupBy("kind", F.floor(F.expr(margin(model, "")) * 4).alias("bin")).agg(F.sum("label").alias("hit"), F.count(F.lit(1)).alias("n"))
+    sql = lambda of: "case " + " ".join(f"when {of}kind = {k} then {m(of)}" for k, m in sorted(margins.items())) + " end"
+    bins = every.groupBy("kind", F.floor(F.expr(sql("")) * 4).alias("bin")).agg(F.sum("label").alias("hit"), F.count(F.lit(1)).alias("n"))
     by_kind: dict[int, list] = {}
     for r in bins.collect():  # a few dozen rows
         by_kind.setdefault(int(r["kind"]), []).append((r["bin"], r["hit"], r["n"]))
-    limits = {}
     for kind, got in by_kind.items():
         hits = n = 0
         for b, h, m in sorted(got, reverse=True):  # the lowest margin above which enough candidates are right
             hits, n = hits + h, n + m
             if hits >= PRECISION * n:
                 limits[kind] = b / 4
-    return sql, limits
+    return f"({sql('c.')})", limits
 
 
 def find(docs: DataFrame, trained=None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

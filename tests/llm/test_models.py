@@ -10,7 +10,7 @@ import pytest
 
 from propkit.llm import _signals, pii, quality_model, quality_rules, toxicity
 from propkit.llm import _text as T
-from propkit.llm._spark import documents, labels
+from propkit.llm._spark import documents, labels, stored
 from tests.llm.conftest import odd_rows
 
 SF = "/root/testdata/sf0.001"
@@ -186,3 +186,13 @@ def test_loose_forms_are_found(spark, every):
         else:
             assert "ip:23" not in r.spans or r.doc_id % 6 != 1
     assert min(found) >= 0.95 * (4000 // every // 5), found
+
+
+def test_a_rare_kind_is_calibrated_beside_a_long_text(spark):
+    rows = [(1, "4111 1111 1111 1112, " * 200)] + [(i, f"nothing of 1234567 here {i}") for i in range(2, 40)] + [(50, "anna (at) mail.example (dot) org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    x = stored(pii.labelled(docs))
+    kinds = {int(r["kind"]): r["count"] for r in pii.sampled(x, 30).groupBy("kind").count().collect()}
+    assert kinds[0] == 1 and kinds[2] == kinds[3] == 30
+    assert {tuple(r) for r in pii.sampled(x.repartition(5), 30).collect()} == {tuple(r) for r in pii.sampled(x, 30).collect()}
+    assert 0 in pii.fit(docs)[1]
