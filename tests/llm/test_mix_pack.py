@@ -1,6 +1,7 @@
 """Mixing and packing: exact shares, round trips and bounds."""
 
 import collections
+import functools
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from propkit.llm import _text as T
-from propkit.llm import mixing, packing
+from propkit.llm import _tokens, mixing, packing
 from propkit.llm.queries import tokenizer_path
 from tests.llm.conftest import odd_rows
 
@@ -68,9 +69,9 @@ ODD_TEXTS = ["", "  a  b\n\n c\n", "it's  don't\tx\r\ny 'tis o'clock", "é é\u0
 
 
 def encoded(texts):
-    tok, out = packing.ChunkTokenizer(tokenizer_path()), []
+    tok, out = _tokens.ChunkTokenizer(tokenizer_path()), []
     for _, buf, ends in T.blocks(pa.array(texts, pa.string())):
-        ids, bounds = tok.encode(buf, ends)
+        ids, bounds = tok.encode(buf, ends, 2)
         out += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
     return out
 
@@ -83,11 +84,39 @@ def test_ids_are_the_tokenizers(tokenizer):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab'st.,!12 \n\t\r  \u0085é×ß日\U0001F600")), max_size=40))
 def test_ids_of_any_text(text):
-    from tokenizers import Tokenizer
-    t = test_ids_of_any_text.__dict__.setdefault("t", Tokenizer.from_file(tokenizer_path()))
-    tok = test_ids_of_any_text.__dict__.setdefault("c", packing.ChunkTokenizer(tokenizer_path()))
+    tok, whole = _tokens.tokenizer(tokenizer_path()), _whole()
     (_, buf, ends), = T.blocks(pa.array([text]))
-    assert tok.encode(buf, ends)[0].tolist() == t.encode(text, add_special_tokens=False).ids + [2]
+    assert tok.encode(buf, ends, 2)[0].tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
+
+
+@functools.cache
+def _whole():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def twins(size):
+    """Two texts of ``size`` letters that a polynomial hash modulo a power of two cannot tell apart."""
+    a = "a"
+    while len(a) < size:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_texts_have_different_hashes(tokenizer):
+    texts = [*twins(1024), *twins(2048), "x" * 9, "x" * 9 + "\0", "", "\0"]
+    (_, buf, ends), = T.blocks(pa.array(texts))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    assert len(set(T.span_hash(buf, starts, ends).tolist())) == len(texts)
+    part = T.span_hash(buf, starts[:1] + 3, starts[:1] + 90)  # the hash does not depend on the place
+    assert part == T.span_hash(buf[3:].copy(), starts[:1], starts[:1] + 87)
+    assert encoded(texts) == [e.ids + [2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_equal_hashes_do_not_share_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(T, "span_hash", lambda buf, s, e: np.full(len(s), 7, np.uint64))
+    texts = ["one two three", "four, five", "one two three"]
+    assert encoded(texts) == [e.ids + [2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def check_plan(counts, capacity):
