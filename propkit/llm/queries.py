@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propkit.llm import exact_dedup, mixing, near_dedup, packing, passages, pii, quality_model, quality_rules, sharding, toxicity
+from propkit.llm import exact_dedup, harmonic, mixing, near_dedup, packing, passages, pii, quality_model, quality_rules, sharding, toxicity
 from propkit.llm._spark import documents, labels
 
 
@@ -56,4 +56,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("raw_sha256")
 
 
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack_documents(documents(spark, sf_dir), tokenizer_path()).drop("ids")
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
