@@ -32,7 +32,7 @@ from propkit.llm import _text as T
 from propkit.llm._tokens import TOKENIZE_BYTES, tokenizer
 
 CAPACITY, END_ID = 2048, 1
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, {ids}sequence_id long, offset long"
 
 
 def cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,15 +74,15 @@ def last_bins(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return order, nth, place
 
 
-def _table(doc_id: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: int) -> pa.Table:
+def _table(doc_id: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: int, with_ids: bool) -> pa.Table:
     sizes = np.diff(bounds)
     doc, start, length = cuts(sizes, capacity)
     raw = memoryview(ids.astype("<u4").tobytes())
     lo = (bounds[:-1][doc] + start) * 4
     parts = [raw[a:b] for a, b in zip(lo.tolist(), (lo + length * 4).tolist())]
-    return pa.table({"doc_id": doc_id.take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length),
-                     "ids_crc32": pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                     "doc_tokens": pa.array(sizes[doc]), "ids": pa.array([bytes(p) for p in parts], pa.binary())})
+    out = {"doc_id": doc_id.take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length),
+           "ids_crc32": pa.array([zlib.crc32(p) for p in parts], pa.int64()), "doc_tokens": pa.array(sizes[doc])}
+    return pa.table(out | {"ids": pa.array([bytes(p) for p in parts], pa.binary())} if with_ids else out)
 
 
 def _filled(capacity: int, tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -110,26 +110,26 @@ def _filled(capacity: int, tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatc
         yield from placed(wait, last_bins(wait["length"].to_numpy(), capacity))
 
 
-def _pack(path: str, capacity: int, end_id: int):
+def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
 
         def tables():
             for batch in batches:
                 for first, buf, ends in T.blocks(batch.column(1), TOKENIZE_BYTES):
-                    yield _table(batch.column(0).slice(first, len(ends)), *tok.encode(buf, ends, end_id), capacity)
+                    yield _table(batch.column(0).slice(first, len(ends)), *tok.encode(buf, ends, end_id), capacity, with_ids)
         yield from _filled(capacity, tables())
     return run
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: ``(doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id,
+                   with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: ``(doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id,
     offset)``; ``ids`` is little-endian uint32.  ``capacity`` is a power of two."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError(f"the capacity must be a power of two, not {capacity}")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_pack(tokenizer_path, capacity, end_id), SCHEMA)
+    return texts.mapInArrow(_pack(tokenizer_path, capacity, end_id, with_ids), SCHEMA.format(ids="ids binary, " * with_ids))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

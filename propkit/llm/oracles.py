@@ -50,4 +50,87 @@ def _jump(shards: int) -> str:
     return f"(WITH {', '.join(steps)} SELECT DISTINCT doc_id, b::INTEGER AS shard FROM j{shards})"
 
 
-ORACLES = {"op1_mixing": OP1, "op7_minhash_near_dedup": OP7, "op9_exact_dedup": OP9}
+
+#: The 256 steps of the CRC-32 with the reversed polynomial 0xEDB88320, as a one-row table.
+CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    ORDER BY i) AS crc_t FROM range(256) r(i))"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 text; ``crc_t`` of ``CRC_TABLE`` has to be in scope."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({text}))), "
+            f"lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)), "
+            "lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+def _best(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _repair_step() -> dict[str, str]:
+    """The cheapest (cost, audit, rows) of each state before a row, from those behind it."""
+    put = lambda cost, edit, line, x: f"{{'c': {x}.c + {cost}, 'a': '{edit}' || {x}.a, 'r': {line}}}"
+    row = lambda role, x: f"list_prepend({role} || ':' || text, {x}.r)"
+    bad = "{'c': 9223372036854775::BIGINT, 'a': '', 'r': []::VARCHAR[]}"
+    delete = lambda x: put(3, "D", f"{x}.r", x)
+    live = lambda x, role: (
+        f"CASE WHEN fault IN ('b', 'd') THEN {bad} ELSE {put('2 + late', 'R', row(repr(role), x), x)} END, "
+        f"CASE WHEN fault IN ('b', 'd') OR ini <> '{role[0]}' THEN {bad} ELSE {put('late', 'K', row('role', x), x)} END")
+    system = f"CASE WHEN fault IN ('b', 'd') OR ini <> 's' THEN {bad} ELSE {put('late', 'K', row('role', 'x1'), 'x1')} END"
+    base = {"b0": _best(delete("x0"), live("x2", "user"), system), "b1": _best(delete("x1"), live("x2", "user")),
+            "b2": _best(delete("x2"), live("x3", "assistant")), "b3": _best(delete("x3"), live("x2", "user"))}
+    add = lambda role, x: put(2, "I", f"list_prepend('{role}:', {x}.r)", x)
+    m2 = _best("b2", add("assistant", "b3"))
+    return base | {"m2": m2, "m3": _best("b3", add("user", "b2")), "m0": _best("b0", add("user", "m2")), "m1": _best("b1", add("user", "m2"))}
+
+
+_S = _repair_step()
+OP11 = f"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+m AS (SELECT o.*, {crc32("k")} % 20 AS m FROM o, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN m = 3 THEN [1, 2] ELSE [1] END) AS copy FROM m WHERE m <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen FROM d),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS prev FROM n),
+s AS (SELECT conv_id, (max(turn) - min(turn) + 1 - count(DISTINCT turn))::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS len FROM f GROUP BY conv_id),
+g AS (SELECT f.*, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS late FROM f),
+dp(conv_id, p, x0, x1, x2, x3) AS (
+  SELECT conv_id, len + 1, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}}, {{'c': 4::BIGINT, 'a': 'II', 'r': ['user:', 'assistant:']}},
+    {{'c': 2::BIGINT, 'a': 'I', 'r': ['assistant:']}}, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} FROM s
+  UNION ALL
+  SELECT conv_id, p, m0, m1, m2, m3 FROM (SELECT *, {_S["m0"]} AS m0, {_S["m1"]} AS m1 FROM (SELECT *, {_S["m2"]} AS m2, {_S["m3"]} AS m3 FROM (
+    SELECT dp.conv_id, g.p, {_S["b0"]} AS b0, {_S["b1"]} AS b1, {_S["b2"]} AS b2, {_S["b3"]} AS b3
+    FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.p = dp.p - 1)))),
+e AS (SELECT conv_id, x0 FROM dp WHERE p = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(e.x0.c, 0) AS cost, coalesce(e.x0.a, '') AS audit, sha256(coalesce(array_to_string(e.x0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+OP12 = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM documents),
+c AS (SELECT doc_id, {ASCII_LOWER.format("w")} AS w, count(*) AS k FROM r WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT c.*, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM c, crc_table),
+f AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM f WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+y AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM x),
+p AS (SELECT a.word, b.word AS o, b.n AS m FROM y a JOIN y b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM y a JOIN v b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM y a JOIN v b ON a.d = b.word),
+g AS (SELECT word, count(*) AS n_near, list_sort(list({{'m': -m, 'w': o}}))[1] AS best FROM p GROUP BY word),
+z AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * v.n THEN best.w END AS form, CASE WHEN -best.m >= 10 * v.n THEN -best.m END AS form_n
+  FROM v LEFT JOIN g USING (word)),
+t(word, root, step) AS (SELECT word, word, 0 FROM z UNION ALL SELECT t.word, z.form, step + 1 FROM t JOIN z ON z.word = t.root WHERE z.form IS NOT NULL)
+SELECT z.word, form, arg_max(root, step) AS root, n, n_near, form_n FROM z JOIN t USING (word) GROUP BY z.word, form, n, n_near, form_n
+"""
+
+
+ORACLES = {"op1_mixing": OP1, "op7_minhash_near_dedup": OP7, "op9_exact_dedup": OP9, "op11_conversation_repair": OP11, "op12_spelling_variants": OP12}

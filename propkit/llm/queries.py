@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propkit.llm import exact_dedup, harmonic, mixing, near_dedup, packing, passages, pii, quality_model, quality_rules, sharding, toxicity
+from propkit.llm import conversations, exact_dedup, harmonic, mixing, near_dedup, packing, passages, pii, quality_model, quality_rules, sharding, spelling, toxicity
 from propkit.llm._spark import documents, labels
 
 
@@ -56,8 +56,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("raw_sha256")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir), slip=spelling.SLIP)
+
+
 def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harmonic.pack_documents(documents(spark, sf_dir), tokenizer_path()).drop("ids")
+    return harmonic.pack_documents(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
 
 
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
