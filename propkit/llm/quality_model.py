@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """Fit on at most ``rows`` labelled documents; None when there are none."""
     sample = label_sample(labels, label, rows)
     d = docs.select(F.col("doc_id").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    got = d.join(F.broadcast(sample), F.col("_id") == F.col("doc_id")).select(F.col("_label").alias("y"), "text")
+    got = d.join(F.broadcast(sample), F.col("_id") == F.col("doc_id")).select("doc_id", F.col("_label").alias("y"), "text")
+    got = got.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text").limit(rows).select("y", "text")  # repeated ids
     got = got.mapInArrow(_features, "y int, x array<double>").collect()
     if not got:
         return None

@@ -1,17 +1,23 @@
 """Toxicity by a bidirectional gated recurrent network over words and characters (operator 3).
 
-A text is lower-cased (A-Z) and cut into runs of letters, digits and non-ASCII characters.
+A text is lower-cased (A-Z) and cut into words (runs of letters, digits and non-ASCII characters)
+and runs of symbols; a word that repeats the one before it becomes a sign of repetition.
 Overlapping windows of ``WINDOW`` words, ``STRIDE`` apart, cover the whole text.  In each
 window a GRU runs in both directions over word inputs (an embedding of the word, if the
 vocabulary has it) and character inputs (the sum of embeddings of the word's hashed
 character 4-grams, so unseen words with known stems count); attention pools the states
-into one logit.  The score of a text is that of its highest window.
-
-The network is trained in numpy on a bounded sample (``TRAIN_ROWS`` labelled rows of up to
-``TRAIN_CHARS`` characters): every round scores all windows of the sample and then
-learns from the highest window of each text.  Embeddings start from the smoothed
-log-odds of words and 4-grams in the sample.  Scoring is one pass over the texts in
-Arrow tasks; nothing is shuffled.
+into one logit.
+
+The network is trained in numpy on a bounded sample: ``TRAIN_ROWS`` labelled rows in hash order,
+whole texts of at most ``TRAIN_BYTES`` bytes each.  Embeddings start from the smoothed log-odds of
+words and 4-grams in the sample.  Every round picks the most telling window of each text,
+in the first round by its highest log-odds (a network that knows nothing yet would pick windows
+at random and learn from them), later by the network, and learns from those windows; word
+embeddings are dropped at random, so that the characters count too, and gradients are
+clipped.  ``RESTARTS`` networks are trained from different starts and their logits averaged.  A
+logistic curve, fitted to texts that they have not learnt, maps the highest windows of a text
+to its score.  One task trains, and only the finished arrays (about 1 MB) reach the driver.  Scoring
+is one pass over the texts in Arrow tasks; nothing is shuffled.
 
 Null and empty texts have one empty window and get its score.  Without labelled rows every
 score is 0.  Repeated rows are scored alike.  Labels of a repeated ``doc_id`` count as
@@ -20,6 +26,7 @@ their maximum.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +37,18 @@ from pyspark.sql import functions as F
 from propkit.llm import _text as T
 
 WINDOW, STRIDE = 32, 24
-TRAIN_ROWS, TRAIN_CHARS, VOCABULARY, GRAMS = 3000, 20000, 8192, 1 << 14
+TRAIN_ROWS, TRAIN_BYTES, VOCABULARY, GRAMS = 3000, 1 << 16, 8192, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 4, 8, 8
+CHAR_SCALE = 6.0  # of the mean of a word's character embeddings
+TOP, LIMIT, APART = 4, 8.0, 6  # windows that a text is judged by, bound of their logits, one text in so many is kept for the curve
+RESTARTS = 2  # networks that are averaged
+MISSED = 4.0  # weight of a missed toxic text against a false alarm
+DROP, CLIP, LEAST = 0.1, 0.5, 3  # dropped word embeddings, largest gradient, texts that a word of the vocabulary is in
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?'\"()-"]] = True
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,12 +66,21 @@ def label_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
 # ---- inputs -------------------------------------------------------------------
 
 def tokens(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(lower-cased buffer, starts, stops, bounds)`` of the words of a block."""
+    """``(lower-cased buffer, starts, stops, bounds)`` of the inputs of a block: words, runs of
+    symbols other than a single common mark, and, for a word that repeats the one before it,
+    the sign of repetition that stands behind the texts."""
     buf = T.LOWER[buf]
-    inside = _WORD_BYTE[buf]
-    s = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
-    e = np.flatnonzero(~inside & np.concatenate(([False], inside[:-1])))
-    return buf, s, e, np.concatenate(([0], np.searchsorted(s, ends)))
+    kind = np.where(_WORD_BYTE[buf], 2, np.where(T.SPACE[buf], 0, 1)).astype(np.int8)
+    edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))
+    s, e = edge[:-1], edge[1:]
+    what = kind[s]
+    keep = (what == 2) | ((what == 1) & ((e - s > 1) | ~_MARK[buf[s]]))
+    s, e = s[keep], e[keep]
+    bounds = np.concatenate(([0], np.searchsorted(s, ends)))
+    h = T.span_hash(buf, s, e)
+    again = np.flatnonzero((h[1:] == h[:-1]) & (np.diff(T.owner(bounds)) == 0)) + 1
+    s[again], e[again] = len(buf), len(buf) + 1
+    return np.append(buf, np.uint8(1)), s, e, bounds
 
 
 def grams(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +208,13 @@ def _log_odds(hit: np.ndarray, seen: np.ndarray, share: float, prior: float = 10
     return np.log(p / (1 - p)) - np.log(share / (1 - share))
 
 
-def train(texts: list[str | None], y: np.ndarray, rounds: int = 4, passes: int = 4, batch: int = 128, seed: int = 5) -> dict:
-    """The model fitted to texts and labels; float32 arrays ready for ``score_block``."""
-    rng = np.random.default_rng(seed)
+def train(texts: list[str | None], y: np.ndarray, rounds: int = 4, passes: int = 1, batch: int = 128, seed: int = 5,
+          restarts: int = RESTARTS) -> dict:
+    """The model fitted to texts and labels: arrays ready for ``score_block``, of several
+    networks whose logits are averaged."""
     y = np.asarray(y, float)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    learnt = np.arange(len(y)) % APART != 0 if len(y) >= 10 * APART else np.ones(len(y), bool)
     words, doc, raw_s, raw_e, bufs, shift, counts = [], [], [], [], [], 0, []
     for first, buf, ends in T.blocks(pa.array(texts, pa.string())):
         low, s, e, bounds = tokens(buf, ends)
@@ -204,10 +229,11 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 4, passes: int =
     s, e, bounds = np.concatenate(raw_s), np.concatenate(raw_e), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
     uniq, at, inv = np.unique(h, return_index=True, return_inverse=True)
     pairs = np.unique(inv * len(texts) + doc)
-    seen = np.bincount(pairs // len(texts), minlength=len(uniq))
-    hit = np.bincount(pairs // len(texts), weights=y[pairs % len(texts)], minlength=len(uniq))
+    pairs_in = pairs[learnt[pairs % len(texts)]]
+    seen = np.bincount(pairs_in // len(texts), minlength=len(uniq))
+    hit = np.bincount(pairs_in // len(texts), weights=y[pairs_in % len(texts)], minlength=len(uniq))
     odds = _log_odds(hit, seen, share)
-    pick = np.flatnonzero(seen >= 3)
+    pick = np.flatnonzero(seen >= LEAST)
     pick = np.sort(pick[np.lexsort((pick, -np.abs(odds[pick]) * np.log1p(seen[pick])))][:VOCABULARY])
     word_id = np.zeros(len(uniq), np.int64)
     word_id[pick] = 1 + np.arange(len(pick))
@@ -217,53 +243,68 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 4, passes: int =
     n = np.diff(gb)[pairs // len(texts)]
     gi = np.repeat(gb[pairs // len(texts)] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     gp = np.unique(gram[gi] * len(texts) + np.repeat(pairs % len(texts), n))
+    gp = gp[learnt[gp % len(texts)]]
     g_seen = np.bincount(gp // len(texts), minlength=GRAMS)
     g_hit = np.bincount(gp // len(texts), weights=y[gp % len(texts)], minlength=GRAMS)
-    p = new_parameters(rng, len(pick))
-    p["E"][1:, 0] = 0.5 * odds[pick]
-    p["C"][:, 0] = 0.5 * _log_odds(g_hit, g_seen, share)
-    adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-    steps = 0
+    start = 0.5 * odds[pick], 0.5 * _log_odds(g_hit, g_seen, share)
     first, length, wb = windows(bounds)
-    for rnd in range(rounds):
-        logit = _logits(_frozen(p), uniq, word_id, gram, gb, inv, first, length)
-        top = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(wb[:-1], wb[1:])])
-        rate = 0.01 if rnd < rounds - 2 else 0.003
-        for _ in range(passes):
-            order = rng.permutation(len(top))
-            for i in range(0, len(order), batch):
-                rows = order[i: i + batch]
-                index, mask = _steps(first[top[rows]], length[top[rows]], inv, len(uniq))
-                used, back = np.unique(index, return_inverse=True)
-                back = back.reshape(index.shape)
-                real = used < len(uniq)
-                wid = np.zeros(len(used), np.int64)
-                wid[real] = word_id[used[real]]
-                sel = np.isin(gw, used[real]) if len(gw) < 1000 else _members(gb, used[real])
-                own = np.repeat(np.arange(len(used))[real], np.diff(gb)[used[real]])
-                char = np.zeros((len(used), CHAR_DIM))
-                np.add.at(char, own, p["C"][gram[sel]])
-                table = np.concatenate([p["E"][wid], char], 1)
-                x = table[back].transpose(0, 2, 1)
-                _, g, dx = loss_and_gradients(p, x, mask, y[rows])
-                dt = np.zeros_like(table)
-                np.add.at(dt, back, dx.transpose(0, 2, 1))
-                g["E"], g["C"] = np.zeros_like(p["E"]), np.zeros_like(p["C"])
-                np.add.at(g["E"], wid, dt[:, :WORD_DIM])
-                np.add.at(g["C"], gram[sel], dt[own, WORD_DIM:])
-                g["E"][0] = 0
-                steps += 1
-                for k, v in p.items():
-                    m1, m2 = adam[k]
-                    m1 += 0.1 * (g[k] - m1)
-                    m2 += 0.001 * (g[k] ** 2 - m2)
-                    v -= rate * (m1 / (1 - 0.9 ** steps)) / (np.sqrt(m2 / (1 - 0.999 ** steps)) + 1e-8)
-    model = _frozen(p)
+
+    def network(rng: np.random.Generator) -> dict:
+        p = new_parameters(rng, len(pick))
+        p["E"][1:, 0], p["C"][:, 0] = start
+        adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
+        steps = 0
+        for rnd in range(rounds):
+            if rnd:
+                logit = _one(_frozen(p), uniq, word_id, gram, gb, inv, first, length)
+            else:  # an untrained network cannot tell: the window with the most telling word
+                told = np.append(p["E"][word_id, 0] + CHAR_SCALE * np.add.reduceat(p["C"][gram, 0], gb[:-1]) / np.diff(gb), -1e9)
+                logit = np.concatenate([told[_steps(first[i: i + 4096], length[i: i + 4096], inv, len(uniq))[0]].max(0) for i in range(0, len(first), 4096)])
+            top = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(wb[:-1], wb[1:])])
+            rate = 0.01 if rnd < rounds - 2 else 0.003
+            for _ in range(passes):
+                order = rng.permutation(np.flatnonzero(learnt))
+                for i in range(0, len(order), batch):
+                    rows = order[i: i + batch]
+                    index, mask = _steps(first[top[rows]], length[top[rows]], inv, len(uniq))
+                    used, back = np.unique(index, return_inverse=True)
+                    back = back.reshape(index.shape)
+                    real = used < len(uniq)
+                    wid = np.zeros(len(used), np.int64)
+                    wid[real] = word_id[used[real]]
+                    sel = np.isin(gw, used[real]) if len(gw) < 1000 else _members(gb, used[real])
+                    own = np.repeat(np.arange(len(used))[real], np.diff(gb)[used[real]])
+                    char = np.zeros((len(used), CHAR_DIM))
+                    np.add.at(char, own, p["C"][gram[sel]])
+                    many = np.maximum(np.bincount(own, minlength=len(used)), 1)[:, None]
+                    char *= CHAR_SCALE / many
+                    wid[rng.random(len(used)) < DROP] = 0
+                    table = np.concatenate([p["E"][wid], char], 1)
+                    x = table[back].transpose(0, 2, 1)
+                    _, g, dx = loss_and_gradients(p, x, mask, y[rows])
+                    dt = np.zeros_like(table)
+                    np.add.at(dt, back, dx.transpose(0, 2, 1))
+                    g["E"], g["C"] = np.zeros_like(p["E"]), np.zeros_like(p["C"])
+                    np.add.at(g["E"], wid, dt[:, :WORD_DIM])
+                    np.add.at(g["C"], gram[sel], (dt[:, WORD_DIM:] * CHAR_SCALE / many)[own])
+                    g["E"][0] = 0
+                    norm = np.sqrt(sum(float((v ** 2).sum()) for v in g.values()))
+                    g = {k: v * min(1.0, CLIP / max(norm, 1e-12)) for k, v in g.items()}
+                    steps += 1
+                    for k, v in p.items():
+                        m1, m2 = adam[k]
+                        m1 += 0.1 * (g[k] - m1)
+                        m2 += 0.001 * (g[k] ** 2 - m2)
+                        v -= rate * (m1 / (1 - 0.9 ** steps)) / (np.sqrt(m2 / (1 - 0.999 ** steps)) + 1e-8)
+        return _frozen(p)
+
+    nets = [network(np.random.default_rng([seed, i])) for i in range(restarts)]
+    model = {f"{k}{i}": v for i, net in enumerate(nets) for k, v in net.items()} | {"nets": np.array(restarts)}
     model["keys"], model["ids"] = uniq[pick], word_id[pick]
-    # one more logistic step: the highest window of a text against its label
-    logit = _logits(model, uniq, word_id, gram, gb, inv, first, length)
-    best = np.maximum.reduceat(logit, wb[:-1]).astype(float)
-    model["scale"] = _platt(best, y)
+    # a curve from the windows of a text to its label, from texts that the network has not learnt
+    apart = ~learnt if len(set(y[~learnt].tolist())) == 2 else np.ones(len(y), bool)
+    told = summaries(_logits(model, uniq, word_id, gram, gb, inv, first, length), wb)
+    model["curve"] = _curve(told[apart], y[apart])
     return model
 
 
@@ -272,17 +313,30 @@ def _members(gb: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.repeat(gb[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through the scores (slightly regularised)."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        r, w = q - y, np.maximum(q * (1 - q), 1e-6)
-        g = np.array([(r * x).sum() + 0.5 * (a - 1), r.sum() + 0.1 * b])
-        hess = np.array([[(w * x * x).sum() + 0.5, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
-        da, db = np.linalg.solve(hess, g)
-        a, b = a - np.clip(da, -1, 1), b - np.clip(db, -3, 3)
-    return float(max(a, 1e-3)), float(b)
+def summaries(logit: np.ndarray, wb: np.ndarray) -> np.ndarray:
+    """What a text's windows say together: its ``TOP`` highest logits (the lowest value where it has
+    fewer windows) and the logarithm of their number."""
+    n = np.diff(wb)
+    text = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((-logit, text))
+    out = np.full((len(n), TOP + 1), -1.0)
+    nth = np.arange(len(order)) - wb[text]
+    first = nth < TOP
+    out[text[first], nth[first]] = np.clip(logit[order[first]], -LIMIT, LIMIT) / LIMIT
+    out[:, TOP] = np.log(n)
+    return out
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and offset of a logistic curve through the summaries (slightly regularised)."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, 0.1), 1e-3)
+    weight = np.where(y > 0, MISSED, 1.0)
+    for _ in range(60):
+        q = _sigmoid(np.clip(x @ w, -30, 30))
+        step = np.linalg.solve((x * (weight * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (q - y)) + ridge * w)
+        w -= np.clip(step, -2, 2)
+    return w
 
 
 def _frozen(p: dict) -> dict:
@@ -295,6 +349,7 @@ def _projected(m: dict, wid: np.ndarray, gram: np.ndarray, gb: np.ndarray) -> np
     if len(wid):
         for d in range(CHAR_DIM):
             char[:, d] = np.add.reduceat(m["C"][:, d].take(gram), gb[:-1])
+        char *= np.float32(CHAR_SCALE) / np.diff(gb)[:, None].astype(np.float32)
     W, B = np.concatenate([m["Wf"], m["Wb"]]), np.concatenate([m["Bf"], m["Bb"]])
     return np.concatenate([W[:, :WORD_DIM] @ m["E"][wid].T + W[:, WORD_DIM:] @ char.T + B, B], 1)
 
@@ -306,7 +361,13 @@ def _steps(first: np.ndarray, length: np.ndarray, inv: np.ndarray, blank: int) -
     return np.where(mask, inv[at] if len(inv) else blank, blank), mask.astype(np.float32)
 
 
-def _logits(m: dict, uniq, word_id, gram, gb, inv, first, length, batch: int = 4096) -> np.ndarray:
+def _logits(m: dict, *inputs) -> np.ndarray:
+    nets = int(m["nets"])
+    own = [{k: m[f"{k}{i}"] for k in ("E", "C", "Wa", "ba", "v", "w", "b", "Wf", "Uf", "Bf", "Wb", "Ub", "Bb")} for i in range(nets)]
+    return sum(_one(net, *inputs) for net in own) / np.float32(nets)
+
+
+def _one(m: dict, uniq, word_id, gram, gb, inv, first, length, batch: int = 4096) -> np.ndarray:
     proj = _projected(m, word_id, gram, gb)
     out = np.empty(len(first), np.float32)
     for i in range(0, len(first), batch):
@@ -325,21 +386,32 @@ def score_block(m: dict, buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
     gram, gb = grams(low, s[at], e[at])
     first, length, wb = windows(bounds)
     logit = _logits(m, uniq, wid, gram, gb, inv, first, length)
-    a, b = m["scale"]
-    return 1 / (1 + np.exp(-np.clip(a * np.maximum.reduceat(logit, wb[:-1]).astype(float) + b, -60, 60)))
+    return _sigmoid(summaries(logit, wb) @ m["curve"][:-1] + m["curve"][-1])
 
 
 # ---- Spark ----------------------------------------------------------------------
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, text_col: str = "text") -> dict | None:
-    """Train on at most ``rows`` labelled documents; None when there are none."""
+def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(t, y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    if any(t for t, _ in got):
+        out = io.BytesIO()
+        np.savez(out, **train([t for t, _ in got], np.array([y for _, y in got])))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES,
+        text_col: str = "text") -> dict | None:
+    """Train on at most ``rows`` labelled documents of up to ``text_bytes`` bytes; None when there are none."""
     sample = label_sample(labels, label, rows)
-    d = docs.select(F.col("doc_id").alias("_id"), F.substring(F.col(text_col).cast("string"), 1, TRAIN_CHARS).alias("_text"))
+    d = docs.select(F.col("doc_id").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    d = d.where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= text_bytes)
     got = d.join(F.broadcast(sample), F.col("_id") == F.col("doc_id")).select("doc_id", "_text", "_label")
-    got = got.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "_text").limit(rows).collect()
-    if not got or not any(r["_text"] for r in got):
+    got = got.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "_text").limit(rows).select("_text", "_label")
+    model = got.coalesce(1).mapInArrow(_trainer, "model binary").first()
+    if model is None:
         return None
-    return train([r["_text"] for r in got], np.array([r["_label"] for r in got]))
+    with np.load(io.BytesIO(model[0])) as arrays:
+        return dict(arrays)
 
 
 def _scorer(model: dict | None, threshold: float):
