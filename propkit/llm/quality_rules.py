@@ -7,11 +7,13 @@ value is the mean over its n-grams of ``log(target / raw)``, so it does not grow
 length, and the document is kept when the value is at least ``threshold`` and the base
 rules (at least 10 words, at most 20% of them in repeated five-word windows) hold.
 
-Tasks add their counts up before anything is shuffled, so what is moved is at most one
-row per bucket and task; the driver sees the ratios only.  The trusted target is every
-document labelled good; every document is counted and scored.  The number of buckets is at
-least ``BUCKETS`` and grows with the square root of the corpus, as distinct n-grams do
-(1,048,576 at 30 GB of text, 4 MB of ratios).
+The raw corpus is counted in one pass over all documents, without a join.  The target is every
+document labelled good: in a second pass a Bloom filter of their ids (``FILTER_BITS`` bits, the same
+at every size) lets through the texts that may be theirs, and a join on the id makes it
+exact, so hardly more than the target's texts is moved.  Tasks add their counts up before
+anything is shuffled, so the counts are at most one row per bucket and task; the driver
+sees one number per bucket and corpus.  The number of buckets is fixed (``BUCKETS``), so a
+document's verdict does not hang on the size of the corpus but for its counts.
 
 Null and empty texts have no words and fail the base rules.  A text of one word is judged
 by that word.  Without trusted documents every ratio is 0.  Repeated rows are counted and
@@ -24,24 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propkit.llm import _text as T
 from propkit.llm._signals import repeated_windows, signals
 
-BUCKETS, BUCKET_BYTES, THRESHOLD = 1 << 16, 1 << 28, -0.06  # bytes of text up to which BUCKETS do
+BUCKETS, THRESHOLD = 1 << 18, -0.06
+FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bucket_count(text_bytes: int) -> int:
-    """A power of two, at least ``BUCKETS``, that grows with the square root of the corpus."""
-    n = BUCKETS
-    while (n // BUCKETS) ** 2 * BUCKET_BYTES < text_bytes:
-        n *= 2
-    return n
-
-
 def bucket_ids(buf: np.ndarray, ends: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """N-gram buckets of a block and the text of each."""
     s, e, bounds = T.words(buf, ends)
@@ -53,28 +48,56 @@ def bucket_ids(buf: np.ndarray, ends: np.ndarray, buckets: int = BUCKETS) -> tup
 
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        n = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for _, buf, ends in T.blocks(batch.column(0)):
+                n += np.bincount(bucket_ids(buf, ends, buckets)[0], minlength=buckets)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+    return run
+
+
+def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """N-grams of all texts (one column) by bucket."""
+    got = texts.mapInArrow(_count(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(buckets)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _places(id_: Column) -> list[Column]:
+    return [F.shiftrightunsigned(F.xxhash64(F.lit(i), id_), 65 - FILTER_BITS.bit_length()) for i in range(FILTER_HASHES)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of the column ``doc_id`` as 64-bit words, made by tasks word by word."""
+    at = ids.select(F.explode(F.array(*_places(F.col("doc_id").cast("long")))).alias("at"))
+    got = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _passing(words: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, buf, ends in T.blocks(batch.column(0)):
-                k, own = bucket_ids(buf, ends, buckets)
-                raw += np.bincount(k, minlength=buckets)
-                target += np.bincount(k[trusted[first + own]], minlength=buckets)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+            ok = np.ones(batch.num_rows, bool)
+            for i in range(FILTER_HASHES):
+                at = batch.column(2 + i).to_numpy()
+                ok &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok)).columns[:2], names=["_id", "text"])
     return run
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: int = BUCKETS) -> np.ndarray:
     """``log(target / raw)`` by bucket, from counts over all documents."""
-    t = trusted_ids.select(F.col("doc_id").alias("_trusted")).distinct()
-    x = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = bucket_count(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    x = x.join(t, F.col("_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("trusted"))
-    got = x.mapInArrow(_count(buckets), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for b, r, q in got:
-        raw[b], target[b] = r, q
+    text = F.col(text_col).cast("string").alias("text")
+    raw = bucket_counts(docs.select(text), buckets)
+    good = trusted_ids.select(F.col("doc_id").cast("long").alias("_trusted"))
+    id_ = F.col(id_col).cast("long")
+    passed = docs.select(id_.alias("_id"), text, *[c.alias(f"_at{i}") for i, c in enumerate(_places(id_))])
+    passed = passed.mapInArrow(_passing(id_filter(trusted_ids)), "_id long, text string")
+    target = bucket_counts(passed.join(good.hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi").select("text"), buckets)
     if not target.sum():
         return np.zeros(buckets, np.float32)
     # both smoothed towards the raw corpus: an unseen bucket says little, a frequent one much
@@ -116,4 +139,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return judge(docs, log_ratios(docs, trusted(labels)), threshold)
 
 
-__all__ = ["bucket_count", "bucket_ids", "judge", "log_ratios", "quality_rules", "repeated_windows", "trusted"]
+__all__ = ["bucket_counts", "bucket_ids", "judge", "log_ratios", "quality_rules", "repeated_windows", "trusted"]

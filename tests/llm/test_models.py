@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from propkit.llm import _signals, pii, quality_model, quality_rules, toxicity
 from propkit.llm import _text as T
@@ -171,7 +172,14 @@ def test_every_trusted_document_counts(spark):
     (k,), _ = quality_rules.bucket_ids(buf, ends, len(ratio))
     share, buckets = 25001 / (30000 + len(ratio)), len(ratio)
     assert abs(ratio[k] - np.log((25000 + buckets * share) / (25000 + buckets) / share)) < 1e-5
-    assert quality_rules.bucket_count(1 << 20) == quality_rules.BUCKETS < quality_rules.bucket_count(1 << 30) < quality_rules.bucket_count(1 << 35)
+    lab = labels(spark, SF)
+    ids = quality_rules.trusted(lab)
+    words, good = quality_rules.id_filter(ids), {r.doc_id for r in ids.collect()}
+    assert len(good) * 2 < sum(bin(int(w)).count("1") for w in words) <= 3 * len(good)
+    at = documents(spark, SF).select("doc_id", "text", *quality_rules._places(F.col("doc_id")))
+    left = {r[0] for r in at.mapInArrow(quality_rules._passing(words), "_id long, text string").collect()}
+    everything = {r.doc_id for r in documents(spark, SF).collect()}
+    assert good & everything <= left and len(left - good) < 3
 
 
 def test_lines_and_windows_of_blocks():
