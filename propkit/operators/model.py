@@ -31,6 +31,7 @@ from propkit.functions import transforms as TR
 from propkit.functions.parse import parse_number_or_range
 from propkit.operators import clean
 from propkit.operators.evaluate import regression_metrics, with_linear_fit
+from propkit.operators.order_stats import order_statistics
 from propkit.operators.power import PowerFit, fit_power
 from propkit.operators.rowid import with_row_index
 from propkit.operators.scalers import FittedScaler, fit_scaler
@@ -137,21 +138,24 @@ def bootstrap(df: DataFrame, n_samples: int, noise_percentage: float = 0.0, seed
 def split_train_test(df: DataFrame, test_size: float, seed: int = 42, id_col: str = "row_id") -> DataFrame:
     """Adds ``split`` ('train'/'test'); ``test_size = 0`` → all rows are both (two copies).
 
-    Exactly ``ceil(n·f)`` test rows: the ``(md5(seed:row_id), row_id)`` pairs are ranked
-    (a narrow range sort — full rows are never shuffled), the pair at the cut is read
-    back, and every row is labelled by comparing its own pair with it.
+    Exactly ``ceil(n·f)`` test rows in the order of ``(md5(seed:row_id), row_id)``: the cut is
+    found by selection over the first 60 bits of the hashes, and every row is labelled by
+    comparing its own pair with it.  Rows are neither sorted nor moved.
     """
     if test_size <= 0:
         return df.withColumn("split", F.lit("train")).unionByName(df.withColumn("split", F.lit("test")))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    pairs = df.select(key.alias("_h"), F.col(id_col).alias("_i"))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    pairs = df.select(h.alias("_h"), F.col(id_col).alias("_i"), F.conv(F.substring(h, 1, 15), 16, 10).cast("long").alias("_k"))
     n = df.count()
     n_test = math.ceil(test_size * n)
     if n_test >= n:
         return df.withColumn("split", F.lit("test"))
-    ranked = with_row_index(pairs, "_r", order_by=["_h", "_i"])
-    cut = ranked.where(F.col("_r") == n_test - 1).first()
-    h = key
+    key, below = order_statistics(pairs.select("_k"), [n_test - 1])[n_test - 1]
+    # the ids whose hashes share these 60 bits: one, but for chance
+    for cut in pairs.where(F.col("_k") == key).groupBy("_h", "_i").count().orderBy("_h", "_i").collect():
+        below += cut["count"]
+        if below >= n_test:
+            break
     is_test = (h < F.lit(cut["_h"])) | ((h == F.lit(cut["_h"])) & (F.col(id_col) <= F.lit(cut["_i"])))
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 

@@ -2,7 +2,7 @@
 
 Parameters follow scikit-learn's definitions (population std; a zero scale is
 replaced by 1) rather than Spark ML's scalers (sample std; 0.5 for constant
-columns).  Quantiles are exact (distributed ranking).
+columns).  Quantiles are exact (selection by bracket counts).
 """
 
 from __future__ import annotations
@@ -93,18 +93,16 @@ def fit_scaler(df: DataFrame, col: str, method: str, n_quantiles: int = 1000) ->
         r = y.agg(F.max(F.abs("y")).alias("a")).first()
         return FittedScaler(method, {"scale": _nz(_need(r["a"], method))})
     if method == "RobustScaler":
-        q1, med, q3 = Ranked(y, cache=False).quantiles([0.25, 0.5, 0.75])
+        q1, med, q3 = Ranked(y).quantiles([0.25, 0.5, 0.75])
         _need(med, method)
         return FittedScaler(method, {"center": med, "scale": _nz(q3 - q1)})
     if method == "QuantileTransformer":
         rk = Ranked(y)
         if rk.n == 0:
-            rk.release()
             raise ValueError(f"{method}: no non-null values to fit")
         nq = max(1, min(n_quantiles, rk.n))
         refs = np.linspace(0, 1, nq).tolist()
         qs = rk.quantiles(refs)
-        rk.release()
         return FittedScaler(method, {"quantiles": qs, "references": refs})
     if method == "PowerTransformer":
         return FittedScaler(method, fit_power(df, col, "yeo_johnson").to_dict())

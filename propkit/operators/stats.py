@@ -1,7 +1,7 @@
 """Distribution analysis of one numeric column.
 
-Moments come from one aggregate; exact quantiles, the Q-Q points and the
-Anderson-Darling statistic come from one distributed ranking (W2); the histogram
+Moments come from one aggregate; exact quantiles come from selection by bracket counts, the
+Q-Q points and the Anderson-Darling statistic from ranks by distinct values; the histogram
 and the KDE are single aggregates once pass-1 scalars are known.  Only bounded
 scalars (counts, a handful of quantile rows) ever reach the driver.
 """
@@ -11,14 +11,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propkit.functions.normal import log_cdf_stages, ppf_stages
 from propkit.functions.parse import nan_to_null
 from propkit.functions.staged import apply_stages
-from propkit.operators.rowid import global_rank
+from propkit.operators import order_stats
 
 
 def values(df: DataFrame, col: str) -> DataFrame:
@@ -80,35 +79,23 @@ def moments(y: DataFrame) -> Moments:
 
 
 class Ranked:
-    """A cached global ranking of ``y`` used by quantiles, Q-Q and A²."""
+    """Ranks of ``y`` by distinct values, used by quantiles, Q-Q and A²."""
 
-    def __init__(self, y: DataFrame, n: int | None = None, cache: bool = True):
-        ranked = global_rank(y, "y")
-        self.cached = cache
-        self.df = ranked.persist(StorageLevel.MEMORY_AND_DISK) if cache else ranked
-        self.n = n if n is not None else self.df.count()
+    def __init__(self, y: DataFrame, n: int | None = None):
+        self.y = y
+        self.n = n if n is not None else y.count()
 
     def quantiles(self, probs: list[float]) -> list[float | None]:
         """Exact quantiles, linear interpolation between order statistics (NumPy default)."""
-        n = self.n
-        if n == 0:
-            return [None] * len(probs)
-        pos = {}
-        for p in probs:
-            h = p * (n - 1)
-            pos[p] = (math.floor(h), math.ceil(h), h - math.floor(h))
-        need = sorted({k + 1 for lo, hi, _ in pos.values() for k in (lo, hi)})
-        got = {r["rank"]: r["y"] for r in self.df.where(F.col("rank").isin(need)).collect()}
-        out = []
-        for p in probs:
-            lo, hi, t = pos[p]
-            a, b = got[lo + 1], got[hi + 1]
-            out.append(a + (b - a) * t)
-        return out
-
-    def release(self):
-        if self.cached:
-            self.df.unpersist()
+        return order_stats.quantiles(self.y, self.n, probs)
+
+    @property
+    def distinct(self) -> DataFrame:
+        return order_stats.distinct_ranks(self.y, self.n)
+
+    @property
+    def df(self) -> DataFrame:
+        return order_stats.expanded(self.distinct)
 
 
 def describe(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
@@ -121,7 +108,7 @@ def describe(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     if approx:
         q = y.agg(F.percentile_approx("y", [0.25, 0.5, 0.75], 100000).alias("q")).first()["q"] or [None] * 3
     else:
-        q = Ranked(y, m.n, cache=False).quantiles([0.25, 0.5, 0.75])
+        q = Ranked(y, m.n).quantiles([0.25, 0.5, 0.75])
     spark = df.sparkSession
     row = [(m.n, m.mean, m.std, m.min, q[0], q[1], q[2], m.max)]
     return spark.createDataFrame(
@@ -172,7 +159,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, approx: bool = F
         if approx:  # IQR only sets the bin width; percentile_approx avoids the global sort
             q1, q3 = y.agg(F.percentile_approx("y", [0.25, 0.75], 100000).alias("q")).first()["q"]
         else:
-            q1, q3 = Ranked(y, m.n, cache=False).quantiles([0.25, 0.75])
+            q1, q3 = Ranked(y, m.n).quantiles([0.25, 0.75])
         nb, first, last = auto_bins(m.n, m.min, m.max, q1, q3)
     else:
         nb, first, last = bins, m.min, m.max
@@ -230,7 +217,6 @@ def qq_points(df: DataFrame, col: str, ranked: Ranked | None = None) -> DataFram
          .otherwise((F.col("rank") - 0.3175) / (n + 0.365)))
     out = apply_stages(r.df.withColumn("_m", m), ppf_stages("_m", "theoretical_quantile"),
                        keep=["theoretical_quantile"])
-    # lazy result: a ranking created here stays cached for it (pass ``ranked`` to share one)
     return out.select(F.col("rank"), "theoretical_quantile", F.col("y").alias("sample_quantile"))
 
 
@@ -243,12 +229,13 @@ def ad_critical_values(n: int) -> list[float]:
     return [round(a / (1.0 + 4.0 / n - 25.0 / n / n), 3) for a in AD_BASE_CRITICAL]
 
 
-def anderson_darling_statistic(ranked_df: DataFrame, n: int, mean: float, std: float) -> DataFrame:
-    """A² as one aggregate over ranked rows (no reversed self-join)."""
-    w = ranked_df.withColumn("_w", (F.col("y") - mean) / std)
+def anderson_darling_statistic(distinct: DataFrame, n: int, mean: float, std: float) -> DataFrame:
+    """A² as one aggregate over distinct values: the weights of the ranks that share a value
+    are added up in closed form."""
+    w = distinct.withColumn("_w", (F.col("y") - mean) / std)
     w = apply_stages(w, log_cdf_stages("_w", "_lc", "_ls"), keep=["_lc", "_ls"])
-    i = F.col("rank").cast("double")
-    term = (2.0 * i - 1.0) * F.col("_lc") + (2.0 * (n - i) + 1.0) * F.col("_ls")
+    many, ends = F.col("n").cast("double"), (2 * F.col("first") + F.col("n") - 1).cast("double")  # first + last rank
+    term = many * (ends - 1.0) * F.col("_lc") + many * (2.0 * n - ends + 1.0) * F.col("_ls")
     return w.agg((-F.lit(float(n)) - F.sum(term) / n).alias("statistic"))
 
 
@@ -262,8 +249,6 @@ def anderson_darling(df: DataFrame, col: str, ranked: Ranked | None = None) -> D
     stat = None
     if m.std:  # a constant (or single-value) sample has no defined statistic
         r = ranked or Ranked(y, m.n)
-        stat = anderson_darling_statistic(r.df, m.n, m.mean, m.std).first()["statistic"]
-        if ranked is None:
-            r.release()
+        stat = anderson_darling_statistic(r.distinct, m.n, m.mean, m.std).first()["statistic"]
     rows = [(s, c, stat) for s, c in zip(AD_SIGNIFICANCE, ad_critical_values(m.n))]
     return df.sparkSession.createDataFrame(rows, schema)

@@ -57,12 +57,12 @@ def distribution_report(df: DataFrame, col: str, auto: bool = False, transform:
     out["histogram"] = stats.histogram(y, "y")
     out["qq_plot"] = stats.qq_points(y, "y", ranked)
     # a constant (or single-value) sample has no defined statistic
-    stat = stats.anderson_darling_statistic(ranked.df, mo.n, mo.mean, mo.std).first()["statistic"] if mo.std else None
+    stat = stats.anderson_darling_statistic(ranked.distinct, mo.n, mo.mean, mo.std).first()["statistic"] if mo.std else None
     out["anderson_darling_test"] = {"statistic": stat, "significance_levels": stats.AD_SIGNIFICANCE,
                                     "critical_values": stats.ad_critical_values(mo.n)}
     out["skewness"], out["kurtosis"] = mo.skew_unbiased, mo.kurt_unbiased
     out["kde"] = stats.kde(y, "y")
-    out["_release"] = lambda: (ranked.release(), y.unpersist())
+    out["_release"] = y.unpersist
     return out
 
 
