@@ -1,10 +1,11 @@
 """Power transforms with maximum-likelihood λ (F6, F7) and automatic choice.
 
-λ search: every pass evaluates the profile log-likelihood at ``grid`` candidate λ
-values in **one** aggregate (one ``var_pop`` per candidate), then narrows the bracket
-around the best candidate; the bracket slides outward when the best candidate sits
-on an edge (the likelihood's maximum may lie outside the starting bracket).  Work
-per pass is one scan of the cached column; only ``grid`` doubles reach the driver.
+λ maximises the profile log-likelihood ``(λ - 1) c - n/2 log var T(y, λ)``.  It is found by a
+safeguarded Newton iteration: each pass is one aggregate that gives the variance of the
+transformed column with its first and second derivative for every family that is still
+open, so the score and its slope are exact.  The zero of the score is kept in a bracket; a
+Newton step that leaves the bracket, or a λ at which the transform overflows, is replaced by
+bisection, and the bracket is opened by doubling steps where no end is known yet.
 """
 
 from __future__ import annotations
@@ -13,106 +14,123 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propkit.functions import transforms as TR
 from propkit.operators.stats import moments, values
 
+NEAR_ZERO = 1e-4  # exponents this close to 0 use the power series
+
+
+def _power(log: Column, lam: float) -> tuple[Column, Column, Column]:
+    """``(x**lam - 1) / lam`` of ``x = exp(log)`` and its first two derivatives by ``lam``."""
+    if abs(lam) < NEAR_ZERO:
+        sq, cu = log * log, log * log * log
+        return log + sq * (lam / 2) + cu * (lam * lam / 6), sq / 2 + cu * (lam / 3), cu / 3 + cu * log * (lam / 4)
+    p = F.exp(log * lam)
+    z = (p - 1.0) / lam
+    z1 = (p * log - z) / lam
+    return z, z1, (p * log * log - 2.0 * z1) / lam
+
+
+def _derivatives(name: str, y: Column, lam: float) -> tuple[Column, Column, Column]:
+    """T(y, lam) and its first two derivatives by lam."""
+    if name == "boxcox":
+        return _power(F.ln(y), lam)
+    pos, neg = _power(F.log1p(y), lam), _power(F.log1p(-y), 2.0 - lam)
+    return tuple(F.when(y >= 0, a).otherwise(b * sign) for a, b, sign in zip(pos, neg, (-1.0, 1.0, -1.0)))
+
 
 @dataclass
-class _Family:
+class _Search:
+    """The bracketed zero of the score of one family; ``c`` is the sum of its Jacobian's logarithms."""
+
     name: str
-    transform: object
-    const: object
-    lo: float = -2.0
-    hi: float = 2.0
+    c: float
+    n: int
+    lam: float = 1.0
+    lo: float = -math.inf
+    hi: float = math.inf
+    step: float = 1.0
+    overflow: bool = False  # an end of the bracket is where the transform leaves the doubles
     best: float | None = None
-    done: bool = False
-
 
-def _family_transform(name: str, y, lam):
-    """Transform with λ as a Column (one generated expression for every candidate)."""
-    eps = F.lit(TR.EPS)
-    if name == "boxcox":
-        return F.when(F.abs(lam) < eps, F.ln(y)).otherwise((F.pow(y, lam) - 1.0) / lam)
-    pos = F.when(F.abs(lam) < eps, F.log1p(y)).otherwise((F.pow(y + 1.0, lam) - 1.0) / lam)
-    neg = F.when(F.abs(lam - 2.0) < eps, -F.log1p(-y)).otherwise(-(F.pow(1.0 - y, 2.0 - lam) - 1.0) / (2.0 - lam))
-    return F.when(y >= 0, pos).otherwise(neg)
-
-
-def _search(y: DataFrame, fams: list[_Family], n: int, grid: int = 33, tol: float = 1e-4) -> None:
-    """Joint grid-refine search.  Every pass is ONE aggregate: each cached value is
-    paired with the pass's candidate λ list by ``explode`` (a generator feeding a
-    map-side partial aggregate in the same stage), grouped by (family, candidate)."""
-    while active := [f for f in fams if not f.done]:
-        cands = []
-        lams = {}
-        for fi, f in enumerate(active):
-            lams[fi] = [f.lo + (f.hi - f.lo) * k / (grid - 1) for k in range(grid)]
-            cands += [F.struct(F.lit(fi).alias("f"), F.lit(k).alias("k"), F.lit(lam).alias("lam"))
-                      for k, lam in enumerate(lams[fi])]
-        ex = y.select("y", F.explode(F.array(*cands)).alias("c")).select("y", "c.f", "c.k", "c.lam")
-        t = None
-        for fi, f in enumerate(active):
-            expr = _family_transform(f.name, F.col("y"), F.col("lam"))
-            t = F.when(F.col("f") == fi, expr) if t is None else t.when(F.col("f") == fi, expr)
-        got = {(r["f"], r["k"]): r["v"] for r in ex.groupBy("f", "k").agg(F.var_pop(t).alias("v")).collect()}
-        for fi, f in enumerate(active):
-            ls = lams[fi]
-            scores = []
-            for k, lam in enumerate(ls):
-                v = got.get((fi, k))
-                ok = v is not None and v > 0 and math.isfinite(v)
-                scores.append(f.const(lam) - n / 2.0 * math.log(v) if ok else -math.inf)
-            if not any(math.isfinite(v) for v in scores):
-                # degenerate sample (e.g. constant): no likelihood to maximise
-                f.best, f.done = 1.0, True
-                continue
-            k = max(range(grid), key=lambda i: (scores[i], -i))
-            f.best = ls[k]
-            if k == 0 or k == grid - 1:
-                # the maximum lies outside the bracket: re-centre on the edge and widen ×2
-                width = f.hi - f.lo
-                if not width < 1e9:
-                    raise ValueError(f"{f.name}: the likelihood has no maximum at a finite lambda")
-                f.lo, f.hi = f.best - width, f.best + width
-                continue
-            f.lo, f.hi = ls[k - 1], ls[k + 1]
-            if f.hi - f.lo < tol * max(1.0, abs(f.best)):
-                if not (math.isfinite(scores[k - 1]) and math.isfinite(scores[k + 1])):
-                    raise ValueError(f"{f.name}: the likelihood grows until the transform overflows")
-                # smooth near the maximum: finish with the parabola through the best three
-                a, b, c = scores[k - 1], scores[k], scores[k + 1]
-                den = a - 2.0 * b + c
-                if math.isfinite(den) and den < 0:
-                    h = ls[k + 1] - ls[k]
-                    f.best = ls[k] + 0.5 * h * (a - c) / den
-                f.done = True
-
-
-def fit_lambdas(df: DataFrame, col: str, methods: list[str], partitions: int | None = None, **kw) -> dict[str, float]:
-    """F6/F7 λ by maximum likelihood for any of ``boxcox`` / ``yeo_johnson`` at once.
-    ``partitions`` deals the column anew before its passes (a table of few, small files)."""
-    y = values(df, col)
-    y = (y.repartition(partitions) if partitions else y).persist(StorageLevel.MEMORY_AND_DISK)
-    r = y.agg(F.count("y").alias("n"), F.min("y").alias("mn"),
-              F.sum(F.when(F.col("y") > 0, F.ln("y"))).alias("sl"),
-              F.sum(F.signum("y") * F.log1p(F.abs("y"))).alias("sy")).first()
-    n = r["n"]
-    fams = []
-    if "boxcox" in methods:
-        if n == 0 or r["mn"] <= 0:
-            y.unpersist()
+    def move(self, v: float | None, v1: float | None, v2: float | None, tol: float) -> None:
+        """Take in the variance and its derivatives at ``lam`` and choose the next one."""
+        if not all(x is not None and math.isfinite(x) for x in (v, v1, v2)) or v <= 0:
+            # the transform over- or underflows: powers nearer to 1 do not
+            self.overflow = True
+            if self.lam >= 1.0:
+                self.hi = min(self.hi, self.lam)
+            else:
+                self.lo = max(self.lo, self.lam)
+            self._next(None, self.lam < 1.0)
+            return
+        score, slope = self.c - self.n / 2 * v1 / v, -self.n / 2 * (v2 / v - (v1 / v) ** 2)
+        if score > 0:
+            self.lo = max(self.lo, self.lam)
+        else:
+            self.hi = min(self.hi, self.lam)
+        newton = self.lam - score / slope if slope < 0 else None
+        if newton is not None and abs(newton - self.lam) <= tol * max(1.0, abs(self.lam)):
+            self.best = newton
+            return
+        self._next(newton, score > 0)
+
+    def _next(self, newton: float | None, up: bool) -> None:
+        closed = math.isfinite(self.lo) and math.isfinite(self.hi)
+        if closed and self.hi - self.lo <= 1e-12 * max(1.0, abs(self.lo)):
+            if self.overflow:
+                raise ValueError(f"{self.name}: the likelihood grows until the transform overflows")
+            self.best = (self.lo + self.hi) / 2
+        elif newton is not None and self.lo < newton < self.hi and (closed or abs(newton - self.lam) <= 8 * self.step):
+            self.lam = newton
+        elif closed:
+            self.lam = (self.lo + self.hi) / 2
+        else:
+            if not self.step < 1e9:
+                raise ValueError(f"{self.name}: the likelihood has no maximum at a finite lambda")
+            self.lam, self.step = self.lam + (self.step if up else -self.step), self.step * 2
+
+
+def _maximise(y: DataFrame, searches: list[_Search], tol: float = 1e-9) -> None:
+    """One aggregate a pass for all open searches."""
+    for _ in range(200):
+        active = [s for s in searches if s.best is None]
+        if not active:
+            return
+        aggs = []
+        for i, s in enumerate(active):
+            z, z1, z2 = _derivatives(s.name, F.col("y"), s.lam)
+            aggs += [F.var_pop(z).alias(f"v{i}"), (2.0 * F.covar_pop(z, z1)).alias(f"a{i}"),
+                     (2.0 * (F.var_pop(z1) + F.covar_pop(z, z2))).alias(f"b{i}")]
+        r = y.agg(*aggs).first()
+        for i, s in enumerate(active):
+            s.move(r[f"v{i}"], r[f"a{i}"], r[f"b{i}"], tol)
+    raise ValueError(f"no lambda found for {[s.name for s in searches if s.best is None]}")
+
+
+def fit_lambdas(df: DataFrame, col: str, methods: list[str], **kw) -> dict[str, float]:
+    """F6/F7 λ by maximum likelihood for any of ``boxcox`` / ``yeo_johnson`` at once.  A constant
+    column has no likelihood to maximise and keeps λ = 1."""
+    y = values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        r = y.agg(F.count("y").alias("n"), F.min("y").alias("mn"), F.max("y").alias("mx"),
+                  F.sum(F.when(F.col("y") > 0, F.ln("y"))).alias("sl"),
+                  F.sum(F.signum("y") * F.log1p(F.abs("y"))).alias("sy")).first()
+        n = r["n"]
+        if "boxcox" in methods and (n == 0 or r["mn"] <= 0):
             raise ValueError("Box-Cox needs strictly positive data")
-        sl = r["sl"]
-        fams.append(_Family("boxcox", TR.boxcox, lambda lm: (lm - 1.0) * sl))
-    if "yeo_johnson" in methods:
-        sy = r["sy"]
-        fams.append(_Family("yeo_johnson", TR.yeo_johnson, lambda lm: (lm - 1.0) * sy))
-    _search(y, fams, n, **kw)
-    y.unpersist()
-    return {f.name: f.best for f in fams}
+        if n and not (math.isfinite(r["mn"]) and math.isfinite(r["mx"])):
+            raise ValueError(f"{col}: infinite values have no likelihood")
+        c = {"boxcox": r["sl"], "yeo_johnson": r["sy"]}
+        constant = n == 0 or r["mn"] == r["mx"]
+        found = [_Search(m, c[m], n, best=1.0 if constant else None) for m in ("boxcox", "yeo_johnson") if m in methods]
+        _maximise(y, found, **kw)
+        return {s.name: s.best for s in found}
+    finally:
+        y.unpersist()
 
 
 def boxcox_lambda(df: DataFrame, col: str, **kw) -> float:

@@ -67,3 +67,44 @@ def test_lambda_far_outside_the_first_bracket(spark):
     u = [(((i + 0.5) / 400) ** (1 / 400),) for i in range(400)]
     lam = boxcox_lambda(spark.createDataFrame(u, "v double"), "v")
     assert 270 < lam < 296
+
+
+def _yj(x, lam):
+    pos = np.log1p(np.abs(x)) if lam == 0 else ((np.abs(x) + 1) ** lam - 1) / lam
+    neg = -np.log1p(np.abs(x)) if lam == 2 else -((np.abs(x) + 1) ** (2 - lam) - 1) / (2 - lam)
+    return np.where(x >= 0, pos, neg)
+
+
+def _peak(llf, lo, hi):
+    """The maximum by dense grids, one inside the other."""
+    while hi - lo > 1e-9:
+        g = np.linspace(lo, hi, 41)
+        k = int(np.argmax([llf(v) for v in g]))
+        lo, hi = g[max(k - 1, 0)], g[min(k + 1, 40)]
+    return (lo + hi) / 2
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "gamma", "normal", "left", "logarithm", "tiny"])
+def test_newton_finds_the_maximum(spark, kind):
+    rng = np.random.default_rng(7)
+    x = {"lognormal": rng.lognormal(0, 1, 3000), "gamma": rng.gamma(2, 3, 3000) + 0.01, "normal": rng.normal(50, 3, 3000), "left": 10 - rng.gamma(2, 1, 3000),
+         "logarithm": np.exp(rng.normal(0, 1e-3, 3000)), "tiny": rng.lognormal(0, 1, 3000) * 1e-8}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    yj = yeo_johnson_lambda(df, "v")
+    llf = lambda lm: (lm - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum() - len(x) / 2 * np.log(_yj(x, lm).var())
+    if kind != "tiny":  # so flat there that a grid cannot tell
+        near = _peak(llf, yj - 1, yj + 1)
+        assert abs(yj - near) < 1e-4 * max(1, abs(near)) and llf(yj) >= llf(near) - 1e-7
+    if x.min() > 0:
+        bc = boxcox_lambda(df, "v")
+        assert _bc_llf(x, bc) >= max(_bc_llf(x, g) for g in np.linspace(bc - 1, bc + 1, 401)) - 1e-7
+
+
+def test_no_likelihood_is_told_apart(spark):
+    same = spark.createDataFrame([(2.0,)] * 5, "v double")
+    assert boxcox_lambda(same, "v") == yeo_johnson_lambda(same, "v") == 1.0
+    huge = spark.createDataFrame([(1e308,), (-1e308,), (0.0,)], "v double")
+    with pytest.raises(ValueError):
+        yeo_johnson_lambda(huge, "v")
+    with pytest.raises(ValueError):
+        boxcox_lambda(spark.createDataFrame([(float("inf"),), (1.0,)], "v double"), "v")
