@@ -1,70 +1,177 @@
-"""Exact k-nearest-neighbour regression (J5 / M7) without pair explosion.
-
-Train and query rows are cut into blocks of at most ``block_rows``.  Each query
-block meets each train block once in a co-grouped ``applyInPandas`` call, which
-computes distances in NumPy and emits only the ``k`` best candidates per query
-(never the pairs).  A final per-query top-k (window over ``k × #train blocks`` rows
-per query, even across keys) keeps the exact neighbours; the prediction is their
-mean target (uniform weights).  Ties break on the train id.
+"""Exact k-nearest-neighbour regression (J5 / M7) by pivot cells.
+
+Train rows are assigned to the nearest of a bounded number of *pivots* (train rows in hash
+order); a cell knows its rows and its radius.  A query first searches the cell of its own
+nearest pivot, which bounds the distance of its ``k``-th neighbour.  It then visits only the
+cells that the triangle inequality cannot rule out: those whose pivot is no farther than that
+bound plus the radius, and whose half-plane against the query's own pivot it can reach.
+
+Cells of more than ``block_rows`` rows are cut into parts, and parts that very many queries
+visit are copied, so no task holds more than ``block_rows`` train rows and a batch of queries,
+however crowded a cell is.  A search emits the ``k`` best rows of a part, never the
+pairs; the best ``k`` over the parts are exact.  Ties break on the train id.  The
+prediction is the mean target (uniform weights).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_CAND = "qid long, tid long, dist double, ty double"
-
-
-def _local_topk(k: int, chunk: int = 512):
-    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"qid": [], "tid": [], "dist": [], "ty": []})
-        Q = np.vstack(q["qv"].to_numpy()).astype(float)
-        X = np.vstack(t["tv"].to_numpy()).astype(float)
-        xx = (X * X).sum(1)
-        tid = t["tid"].to_numpy()
-        ty = t["ty"].to_numpy().astype(float)
-        qid = q["qid"].to_numpy()
-        kk = min(k, X.shape[0])
-        parts = []
-        # queries in chunks: the distance block stays chunk × block_rows doubles
-        for lo in range(0, Q.shape[0], chunk):
-            Qc = Q[lo:lo + chunk]
-            d2 = np.maximum((Qc * Qc).sum(1)[:, None] - 2.0 * Qc @ X.T + xx[None, :], 0.0)
-            # order by (distance, train id) for deterministic ties
-            idx = np.lexsort((np.broadcast_to(tid, d2.shape), d2), axis=1)[:, :kk]
-            rows = np.repeat(np.arange(Qc.shape[0]), kk)
-            cols = idx.ravel()
-            parts.append(pd.DataFrame({"qid": qid[lo:lo + chunk][rows], "tid": tid[cols],
-                                       "dist": d2[rows, cols], "ty": ty[cols]}))
-        return pd.concat(parts, ignore_index=True)
+from propkit.session import cut_lineage
+
+MAX_PIVOTS = 1024  # the pivots are the only thing that every task holds
+QUERY_BATCHES = 16  # queries (in units of block_rows) that one copy of a part answers
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
+
+
+def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] - 2.0 * a @ b.T + (b * b).sum(1)[None, :], 0.0)
+
+
+def pivots_of(train: DataFrame, count: int) -> np.ndarray:
+    """Distinct train vectors, first in the hash order of their ids."""
+    got = train.select("x", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(count).collect()
+    return np.unique(np.array([r["x"] for r in got], float), axis=0) if got else np.zeros((0, 0))
+
+
+def _nearest(pivots: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    d = _square(_matrix(batch.column(1), pivots.shape[1]), pivots)
+    cell = d.argmin(1)
+    return cell.astype(np.int32), np.sqrt(d[np.arange(len(d)), cell])
+
+
+def _assigned(pivots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, far = _nearest(pivots, batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
     return run
 
 
+def _visits(pivots: np.ndarray, radius: np.ndarray, rows: np.ndarray):
+    """The other cells that a query with a bound may find a neighbour in."""
+    between = np.sqrt(_square(pivots, pivots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, own, bound = _matrix(batch.column(1), pivots.shape[1]), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for lo in range(0, len(q), 1024):
+                part = slice(lo, lo + 1024)
+                d2 = _square(q[part], pivots)
+                d, mine = np.sqrt(d2), own[part]
+                slack = 1e-6 * (1.0 + d)  # rounding never loses a neighbour
+                reach = bound[part][:, None] + slack
+                apart = between[mine]
+                plane = (d2 - d2[np.arange(len(mine)), mine][:, None]) / np.where(apart > 0, 2.0 * apart, np.inf)
+                ok = (d - radius[None, :] <= reach) & (plane <= reach) & (rows[None, :] > 0)
+                ok[np.arange(len(mine)), mine] = False
+                i, cell = np.nonzero(ok)
+                at = pa.array(i + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.astype(np.int32))], names=["id", "x", "cell"])
+    return run
+
+
+def _search(k: int, dim: int, chunk: int = 256):
+    """Rows come part by part, the train rows before the queries."""
+    def best(train: list, q: np.ndarray, qid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        X, tid, ty = (np.concatenate(c) for c in zip(*train))
+        kk = min(k, len(X))
+        for lo in range(0, len(q), chunk):
+            d2 = _square(q[lo: lo + chunk], X)
+            if kk < len(X):  # the k-th distance first, then all rows within it
+                limit = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+                row, col = np.nonzero(d2 <= limit[:, None])
+            else:
+                row, col = (x.ravel() for x in np.indices(d2.shape))
+            order = np.lexsort((tid[col], d2[row, col], row))
+            row, col = row[order], col[order]
+            first = np.searchsorted(row, np.arange(len(d2)))
+            keep = np.arange(len(row)) - first[row] < kk
+            row, col = row[keep], col[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(qid[lo: lo + chunk][row]), pa.array(tid[col]), pa.array(d2[row, col]), pa.array(ty[col])],
+                                             names=["qid", "tid", "dist", "ty"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, train = None, []
+        for batch in batches:
+            place = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            kind, ids, x = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _matrix(batch.column(5), dim)
+            y = batch.column(6).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.any(place[1:] != place[:-1], axis=1) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(place)]):
+                if lo == hi:
+                    continue
+                if at != tuple(place[lo]):
+                    at, train = tuple(place[lo]), []
+                if kind[lo] == 0:
+                    train.append((x[lo:hi], ids[lo:hi], y[lo:hi]))
+                elif train:
+                    yield from best(train, x[lo:hi], ids[lo:hi])
+    return run
+
+
+def _searched(train: DataFrame, queries: DataFrame, k: int, dim: int, block_rows: int, rows: dict[int, int]) -> DataFrame:
+    """The ``k`` best rows of every visited part for ``queries`` (id, x, cell)."""
+    spark = train.sparkSession
+    asked = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}  # at most MAX_PIVOTS rows
+    shape = spark.createDataFrame([(c, math.ceil(n / block_rows), max(1, math.ceil(asked[c] / (QUERY_BATCHES * block_rows))))
+                                   for c, n in rows.items() if c in asked], "c int, parts int, copies int")
+    on = lambda df: df.join(F.broadcast(shape), F.col("cell") == F.col("c"))
+    range_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    t = on(train).select("cell", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), range_("copies").alias("copy"),
+                         F.lit(0).alias("kind"), "id", "x", "y")
+    q = on(queries).select("cell", range_("parts").alias("part"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("copies")).cast("int").alias("copy"),
+                           F.lit(1).alias("kind"), "id", "x", F.lit(None).cast("double").alias("y"))
+    x = t.unionByName(q).repartition("cell", "part", "copy").sortWithinPartitions("cell", "part", "copy", "kind")
+    return x.mapInArrow(_search(k, dim), "qid long, tid long, dist double, ty double")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy("dist", "tid")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+
+
+def nearest(train: DataFrame, query: DataFrame, k: int = 5, id_col: str = "row_id", vec_col: str = "vector",
+            y_col: str = "y", block_rows: int = 4096) -> DataFrame:
+    """``(qid, tid, dist, ty)``: the ``k`` nearest train rows (squared distance) of every query row."""
+    prepared = lambda df, *more: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"), *more)
+    t, q = prepared(train, F.col(y_col).cast("double").alias("y")), prepared(query)
+    n = t.count()
+    pivots = pivots_of(t, min(MAX_PIVOTS, max(1, math.isqrt(n))))
+    empty = train.sparkSession.createDataFrame([], "qid long, tid long, dist double, ty double")
+    if not len(pivots):
+        return empty
+    dim = pivots.shape[1]
+    t = cut_lineage(t.mapInArrow(_assigned(pivots), "id long, x array<double>, y double, cell int, far double"))
+    q = cut_lineage(q.mapInArrow(_assigned(pivots), "id long, x array<double>, cell int, far double"))
+    rows, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in t.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():
+        rows[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    sizes = {int(c): int(rows[c]) for c in np.flatnonzero(rows)}
+    own = cut_lineage(_searched(t, q.select("id", "x", "cell"), k, dim, block_rows, sizes))
+    # the k-th distance in the own cell bounds the search; with fewer rows there, no bound
+    bound = _top(own, k).groupBy("qid").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("d"))
+    bounded = q.join(bound, F.col("id") == F.col("qid"), "left").select(
+        "id", "x", "cell", F.when(F.col("m") >= k, F.sqrt("d")).otherwise(F.lit(float("inf"))).alias("bound"))
+    visits = cut_lineage(bounded.mapInArrow(_visits(pivots, radius, rows), "id long, x array<double>, cell int"))
+    others = _searched(t, visits, k, dim, block_rows, sizes)
+    return _top(own.unionByName(others), k).drop("_r")
+
+
 def knn_regress(train: DataFrame, query: DataFrame, k: int = 5, id_col: str = "row_id",
                 vec_col: str = "vector", y_col: str = "y", block_rows: int = 4096) -> DataFrame:
     """Mean target of the ``k`` nearest train rows (squared Euclidean) for every query row.
 
     Returns (row_id, y_pred).
     """
-    n_t = train.count()
-    n_q = query.count()
-    bt = max(1, math.ceil(n_t / block_rows))
-    bq = max(1, math.ceil(n_q / block_rows))
-    t = train.select(F.col(id_col).alias("tid"), F.col(vec_col).cast("array<double>").alias("tv"),
-                     F.col(y_col).cast("double").alias("ty"))
-    q = query.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qv"))
-    # each row joins every block of the other side once: replication is #blocks, not #rows
-    t = t.withColumn("tb", F.pmod(F.xxhash64("tid"), F.lit(bt))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq))).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(bt - 1))))
-    cand = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(_local_topk(k), _CAND)
-    w = Window.partitionBy("qid").orderBy("dist", "tid")
-    best = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    best = nearest(train, query, k, id_col, vec_col, y_col, block_rows)
     return best.groupBy(F.col("qid").alias(id_col)).agg(F.avg("ty").alias("y_pred"))
