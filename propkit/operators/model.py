@@ -3,8 +3,8 @@
 * M1 prep: vectors ⋈ targets on ``row_id`` → parse y → drop null y / zero-component
   vectors → transform → scale (fitted on all rows by default, as the reference;
   ``fit_on='train'`` fits on the training split only).
-* M2/M3 bootstrap: exactly ``n`` draws with replacement (``spark.range(n)`` + an index
-  from md5 joined to a dense row index), proportional Gaussian noise on y.
+* M2/M3 bootstrap: exactly ``n`` draws with replacement, first a bucket of rows, then a
+  row in it (both from the md5 of the draw), proportional Gaussian noise on y.
 * M4 split: rows ordered by ``md5(seed:row_id)``; the first ``ceil(n·f)`` are test.
 * M5–M9 models by name; M11–M14 searches; M15 K-fold CV; M16 evaluation with
   inverse scaling then inverse transform; M19 batch scoring.
@@ -21,16 +21,18 @@ from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propkit.functions import transforms as TR
 from propkit.functions.parse import parse_number_or_range
 from propkit.operators import clean
 from propkit.operators.evaluate import regression_metrics, with_linear_fit
+from propkit.operators.linear import LINEAR_MODELS, fold_of, fold_scores
 from propkit.operators.order_stats import order_statistics
 from propkit.operators.power import PowerFit, fit_power
 from propkit.operators.rowid import with_row_index
@@ -114,22 +116,54 @@ def _uniform(seed: int, what: str, draw) -> Column:
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0 ** 52)
 
 
+BUCKET_ROWS, BUCKET_BITS = 65536, 20
+
+
+def _numbered(df: DataFrame, key: Column, id_col: str, n: int) -> tuple[DataFrame, np.ndarray, int]:
+    """Rows with ``_b``, the first bits of the md5 in ``key``, and ``_o``, their place in that bucket;
+    the rows below each bucket; and the number of bits."""
+    bits = min(BUCKET_BITS, max(0, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS))))
+    bucket = F.shiftright(F.conv(F.substring(key, 1, 5), 16, 10).cast("int"), 20 - bits)
+    x = df.withColumn("_h", key).withColumn("_b", bucket)
+    sizes = np.zeros(1 << bits, np.int64)
+    for r in x.groupBy("_b").count().collect():
+        sizes[r["_b"]] = r["count"]
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1
+    return x.withColumn("_o", place.cast("long")).drop("_h"), np.cumsum(sizes) - sizes, bits
+
+
 def bootstrap(df: DataFrame, n_samples: int, noise_percentage: float = 0.0, seed: int = 42,
               y_col: str = "y", id_col: str = "row_id") -> DataFrame:
     """Exactly ``n_samples`` rows drawn with replacement, plus y·N(0, pct/100) noise.
 
-    Draws and noise follow from the seed and the draw number alone; rows are numbered in
-    the order of ``id_col`` (scan order if it is absent)."""
+    Rows stand in the order of ``(md5(id), id)`` (scan order's number if ``id_col`` is absent), of
+    which the first bits are their bucket.  A draw is a number below the row count, from the
+    seed and the draw's own number alone: the buckets' sizes turn it into a bucket and a
+    place there, so draws fall on buckets by a multinomial of their sizes and rows are
+    numbered bucket by bucket, without an order over all of them."""
     spark = df.sparkSession
-    indexed = with_row_index(df.drop("_bx"), "_bx", order_by=[id_col] if id_col in df.columns else None)
-    n = indexed.count()
+    own = id_col if id_col in df.columns else "_id"
+    rows = df.drop("_b", "_o", "_h")
+    rows = rows if own == id_col else with_row_index(rows, own)
+    n = rows.count()
+    if not n:
+        raise ValueError("bootstrap: no rows to draw from")
+    numbered, below, _ = _numbered(rows, F.md5(F.col(own).cast("string")), own, n)
     draw = F.col("draw")
     draws = spark.range(n_samples).select(F.col("id").alias("draw"))
-    draws = draws.withColumn("_bx", F.least(F.floor(_uniform(seed, "row", draw) * n), F.lit(n - 1)).cast("long"))
+    draws = draws.withColumn("_x", F.least(F.floor(_uniform(seed, "row", draw) * n), F.lit(n - 1)).cast("long"))
+
+    def placed(batches):
+        for batch in batches:
+            x = batch.column(1).to_numpy()
+            b = np.searchsorted(below, x, side="right") - 1  # the last bucket that begins here is not empty
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b.astype(np.int32)), pa.array(x - below[b])], names=["draw", "_b", "_o"])
+    draws = draws.mapInArrow(placed, "draw long, _b int, _o long")
     if noise_percentage:  # Box-Muller
         radius = F.sqrt(-2.0 * F.ln(_uniform(seed, "radius", draw)))
         draws = draws.withColumn("_noise", radius * F.cos(2.0 * math.pi * _uniform(seed, "angle", draw)))
-    out = draws.join(indexed, "_bx", "inner").drop("_bx")
+    out = draws.join(numbered, ["_b", "_o"], "inner").drop("_b", "_o")
+    out = out if own == id_col else out.drop(own)
     if noise_percentage:
         out = out.withColumn(y_col, F.col(y_col) + F.col("_noise") * (noise_percentage / 100.0) * F.abs(F.col(y_col)))
     return out.drop("_noise")
@@ -289,14 +323,18 @@ def cross_validate(data: DataFrame, model: str = "linear_regression", params: di
                    seed: int = 42) -> DataFrame:
     """K-fold R² on raw y (the reference cross-validates after undoing its y
     transforms).  Folds by hash of (seed, row_id); returns (fold, r2)."""
-    d = _with_features(data.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds)))).persist()
+    schema = "fold int, r2 double"
+    if model in LINEAR_MODELS:
+        scores = fold_scores(data, fold_of(seed, folds), folds, [params or {}], model)[0]
+        return data.sparkSession.createDataFrame(list(enumerate(scores)), schema)
+    d = _with_features(data.withColumn("fold", fold_of(seed, folds))).persist()
     rows = []
     for f in range(folds):
         tr, te = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
         m = regression_metrics(_fit(model, params, tr, "y", seed).transform(te), "y", "prediction").first()
         rows.append((f, m["r2"]))
     d.unpersist()
-    return data.sparkSession.createDataFrame(rows, "fold int, r2 double")
+    return data.sparkSession.createDataFrame(rows, schema)
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -317,11 +355,15 @@ def _candidates(model: str, grid: dict, pick: int | None, seed: int) -> list[dic
 
 def _cv_scores(data: DataFrame, model: str, candidates: list[dict], folds: int, seed: int, parallelism: int,
                params: dict | None, label: str, fraction: float = 1.0) -> list[list[float]]:
-    """R² of every candidate on every hashed fold, fits of a fold side by side."""
-    d = _with_features(data)
+    """R² of every candidate on every hashed fold: linear models from one aggregate, the fits of
+    a fold of others side by side."""
+    d = data
     if fraction < 1.0:
-        d = d.where(F.pmod(F.xxhash64(F.lit(seed + 7), "row_id"), F.lit(1000000)) < int(fraction * 1000000))
-    d = d.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds))).persist()
+        d = d.where(fold_of(seed + 7, 1000000) < int(fraction * 1000000))
+    if model in LINEAR_MODELS:
+        found = fold_scores(d, fold_of(seed, folds), folds, [{**(params or {}), **c} for c in candidates], model, label)
+        return [[-math.inf if r is None else r for r in row] for row in found]
+    d = _with_features(d).withColumn("fold", fold_of(seed, folds)).persist()
     scores: list[list[float]] = [[] for _ in candidates]
     for f in range(folds):
         tr, te = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
@@ -339,7 +381,6 @@ def _cv_scores(data: DataFrame, model: str, candidates: list[dict], folds: int,
 
 
 def _results_frame(spark, candidates: list[dict], scores: list[list[float]]) -> DataFrame:
-    from pyspark.sql import Window
     rows = [(i, json.dumps(c), float(np.mean(s)), float(np.std(s))) for i, (c, s) in enumerate(zip(candidates, scores))]
     res = spark.createDataFrame(rows, "candidate int, params string, mean_test_score double, std_test_score double")
     return res.withColumn("rank_test_score", F.rank().over(Window.orderBy(F.desc("mean_test_score"))))  # W3: tiny
