@@ -4,9 +4,10 @@ Documents become token ids in Arrow tasks (byte-level BPE, then the end token) a
 documents longer than a sequence are cut, the remainder first.  What the packing has to
 know is how many pieces there are of each length: at most ``capacity`` numbers, whatever
 the size of the corpus.  ``plan`` packs these counts: best-fit decreasing gives the
-incumbent; branch and bound then completes bins around the largest remaining piece with
-undominated fillings, takes each filling as often as the counts allow, and prunes a branch
-whose waste cannot beat the incumbent.  Pieces are numbered within their length (a
+incumbent; branch and bound then completes the bin of the largest remaining piece with
+undominated fillings of any number of pieces (a subset-sum table over the counts leads the
+enumeration to fillings that exist), takes each as often as the counts allow, and cuts a
+branch whose waste cannot beat the incumbent.  Pieces are numbered within their length (a
 running count that is spread over all tasks) and look their place up in the plan, so
 tokens and texts are never moved.
 
@@ -91,40 +92,66 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [x for group in open_.values() for x in group]
 
 
-def fillings(room: int, sizes: np.ndarray, counts: dict[int, int], most: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with up to three pieces, fullest first: for each
-    choice of the larger pieces only the largest last piece can be undominated."""
-    fit = sizes[sizes <= room]  # descending
-    if not len(fit):
-        return [()]
-    up = fit[::-1]
-    out = {(int(fit[0]),)}
-
-    def largest(limit: np.ndarray, but: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(up, np.minimum(limit, but), side="right") - 1
-        return np.where(i >= 0, up[i], 0)
-
-    b = largest(room - fit, fit)
-    for x, y in zip(fit.tolist(), b.tolist()):
-        if y and (x != y or counts[x] > 1):
-            out.add((x, y))
-    best = max(sum(f) for f in out)
-    if best < room:
-        small = fit[-200:] if len(fit) > 200 else fit
-        for x in fit[:64].tolist():
-            rest = room - x - small
-            z = largest(rest, small)
-            for y, w in zip(small.tolist(), z.tolist()):
-                if w and x >= y and all(counts[v] >= (x, y, w).count(v) for v in (x, y, w)):
-                    out.add((x, y, w))
-    top = sorted(out, key=lambda f: (-sum(f), len(f), tuple(-v for v in f)))
-    keep: list[tuple[int, ...]] = []
-    for f in top:  # equal sums with fewer, larger pieces dominate; so does a fuller superset
-        if not any(set(f) < set(g) for g in keep):
-            keep.append(f)
-        if len(keep) == most:
-            break
-    return keep
+def reachable(room: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
+    """For every place in ``sizes`` the sums up to ``room`` that the pieces from there on can make,
+    as the set bits of a number."""
+    full, out = (1 << (room + 1)) - 1, [1]
+    for s in reversed(sizes):
+        bits, left, take = out[-1], min(counts[s], room // s), 1
+        while left:  # counts in powers of two, and the rest
+            take = min(take, left)
+            bits |= bits << (s * take)
+            left, take = left - take, take * 2
+        out.append(bits & full)
+    return out[::-1]
+
+
+def dominated(small: dict[int, int], large: dict[int, int]) -> bool:
+    """Whether the pieces of ``small`` fit side by side into the places of the pieces of ``large``."""
+    places = sorted(s for s, n in large.items() for _ in range(n))
+    pieces = sorted((s for s, n in small.items() for _ in range(n)), reverse=True)
+
+    def fit(i: int, room: list[int]) -> bool:
+        if i == len(pieces):
+            return True
+        seen = set()
+        for j, r in enumerate(room):
+            if r >= pieces[i] and r not in seen:
+                seen.add(r)
+                if fit(i + 1, [*room[:j], r - pieces[i], *room[j + 1:]]):
+                    return True
+        return False
+    return sum(pieces) <= sum(places) and fit(0, places)
+
+
+COMPARED = 12  # pieces up to which fillings are compared for dominance
+
+
+def fillings(room: int, counts: dict[int, int], order: str = "large") -> Iterator[dict[int, int]]:
+    """The undominated fillings of ``room`` with any number of pieces, fullest first, and among
+    equally full ones those of the largest pieces (or, by ``order``, of the lengths of which
+    most is left) first."""
+    sizes = sorted((s for s, n in counts.items() if n and s <= room),
+                   key=(lambda s: -s) if order == "large" else (lambda s: (-s * counts[s], -s)))
+    sums = reachable(room, sizes, counts)
+    given: list[dict[int, int]] = []
+    for need in range(room, -1, -1):
+        stack = [(0, need, {})] if sums[0] >> need & 1 else []
+        while stack:  # depth-first, with as many of a length as may be first
+            i, need, fill = stack.pop()
+            if not need:
+                few = sum(fill.values()) <= COMPARED
+                if not (few and any(dominated(fill, f) for f in given)):
+                    if few:
+                        given.append(fill)
+                    yield fill
+                continue
+            while sizes[i] > need:
+                i += 1
+            s = sizes[i]
+            for n in range(min(counts[s], need // s) + 1):
+                if sums[i + 1] >> (need - n * s) & 1:
+                    stack.append((i + 1, need - n * s, fill | {s: n} if n else fill))
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -140,48 +167,49 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 1500) -> list[tuple[dict[int, int], int]]:
-    """Branch and bound over bin completions.
+NODES = 4000  # fillings tried before the best packing so far stands
+ORDERS = ("large", "many")
 
-    A branch is cut when the waste of its bins cannot beat the incumbent.  ``nodes`` bounds
-    the fillings tried, after which the best packing so far stands.
-    """
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[dict[int, int], int]]:
+    """Branch and bound over bin completions, depth-first.
+
+    A node completes the bin of the largest remaining piece with an undominated filling and
+    takes it as often as the counts allow.  A branch is cut when the waste of its bins
+    leaves no packing with fewer bins than the incumbent, at first best-fit decreasing.  Each order
+    of the fillings gets its share of the ``nodes``; what is best then stands."""
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, capacity)
-    best_bins, bound = sum(b for _, b in best), lower_bound(counts, capacity)
+    fewest, bound = sum(b for _, b in best), lower_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
-    stack: list[tuple[dict[int, int], list, int, int]] = [(counts, [], 0, 0)]
-    while stack and nodes > 0 and best_bins > bound:
-        now, made, bins, waste = stack.pop()
-        depth = 0
-        while now and nodes > 0 and waste <= (best_bins - 1) * capacity - total:
-            if depth % 64 == 0:  # what best fit makes of the rest may already be an incumbent
-                rest = best_fit(now, capacity)
-                if bins + sum(b for _, b in rest) < best_bins:
-                    best, best_bins = made + rest, bins + sum(b for _, b in rest)
-                    if best_bins <= bound:
-                        return best
-            nodes, depth = nodes - 1, depth + 1
-            big = max(now)
-            less = now | {big: now[big] - 1}
-            sizes = np.array(sorted((s for s, n in less.items() if n), reverse=True), np.int64)
-            steps = []
-            for f in fillings(capacity - big, sizes, less):
-                fill: dict[int, int] = {big: 1}
-                for s in f:
-                    fill[s] = fill.get(s, 0) + 1
-                times = min(now[s] // n for s, n in fill.items())
-                after = {s: n - times * fill.get(s, 0) for s, n in now.items()}
-                lost = waste + times * (capacity - sum(s * n for s, n in fill.items()))
-                steps.append(({s: n for s, n in after.items() if n}, [*made, (fill, times)], bins + times, lost))
-            stack += steps[:0:-1][-3:]  # other fillings wait; the fullest is followed
-            now, made, bins, waste = steps[0]
-        if not now and bins < best_bins:
-            best, best_bins = made, bins
-        elif now and nodes > 0 and depth:
-            rest = best_fit(now, capacity)
-            if bins + sum(b for _, b in rest) < best_bins:
-                best, best_bins = made + rest, bins + sum(b for _, b in rest)
+
+    def below(now: dict[int, int], order: str) -> Iterator[tuple[dict[int, int], int, int]]:  # filling, bins, free in each
+        big = max(now)
+        for f in fillings(capacity - big, now | {big: now[big] - 1}, order):
+            fill = f | {big: f.get(big, 0) + 1}
+            times = min(now[s] // n for s, n in fill.items())
+            yield fill, times, capacity - sum(s * n for s, n in fill.items())
+
+    for order in ORDERS:
+        left, path = nodes // len(ORDERS), []
+        stack = [(counts, 0, 0, below(counts, order))] if counts else []
+        while stack and left and fewest > bound:
+            now, bins, waste, ways = stack[-1]
+            fill, times, free = next(ways, ({}, 0, 0))
+            del path[len(stack) - 1:]
+            allowed = (fewest - 1) * capacity - total - waste
+            if not fill or free > allowed:  # the fillings that follow leave as much free or more
+                stack.pop()
+                continue
+            left, lost = left - 1, times * free
+            if lost > allowed:
+                continue
+            path.append((fill, times))
+            after = {s: n - times * fill.get(s, 0) for s, n in now.items() if n > times * fill.get(s, 0)}
+            if after:
+                stack.append((after, bins + times, waste + lost, below(after, order)))
+            elif bins + times < fewest:
+                best, fewest = list(path), bins + times
     return best
 
 
@@ -200,7 +228,7 @@ def places(packed: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", nodes: int = 1500) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", nodes: int = NODES) -> DataFrame:
     """Give every row of ``pieces`` (lengths 1 to ``capacity``) a ``sequence_id`` and an ``offset``.
 
     ``pieces`` must give the same rows when read again.  The counts by length (at most

@@ -144,6 +144,37 @@ def test_completion_beats_best_fit():
     assert check_plan(halves, 10) == packing.lower_bound(halves, 10) == 8
 
 
+def test_many_short_pieces_fill_bins():
+    """Bins of four to eight pieces, where best fit leaves gaps: near the bound."""
+    rng = random.Random(3)
+    for sizes, most in (([205, 206, 210, 230, 199, 180], 4167), ([151, 163, 178, 190, 214, 237, 258], 3904), (range(140, 250, 11), 3749), (range(100, 200, 5), 2908)):
+        counts = collections.Counter(rng.choice(list(sizes)) for _ in range(20000))
+        assert check_plan(counts, 1024) <= most
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), min_size=1, max_size=5), st.integers(1, 20), st.sampled_from(packing.ORDERS))
+def test_fillings_are_the_undominated_ones(counts, room, order):
+    def every(sizes, room):
+        if not sizes:
+            yield {}
+            return
+        s, *rest = sizes
+        for n in range(min(counts[s], room // s) + 1):
+            for f in every(rest, room - n * s):
+                yield f | {s: n} if n else f
+    whole = [f for f in every(sorted(counts), room)]
+    got = list(packing.fillings(room, counts, order))
+    free = [room - sum(s * n for s, n in f.items()) for f in got]
+    assert free == sorted(free) and all(f in whole for f in got)
+    few = [f for f in whole if sum(f.values()) <= packing.COMPARED]
+    best = [f for f in few if not any(f != g and packing.dominated(f, g) for g in few)]
+    assert all(f in got for f in best)  # and nothing that another one dominates
+    for f in got:
+        if sum(f.values()) <= packing.COMPARED:
+            assert f in best or not any(packing.dominated(f, g) for g in got if g != f and sum(g.values()) <= packing.COMPARED)
+
+
 def test_packed_pieces(spark, odd, none, tokenizer):
     got = packing.pack_documents(odd, tokenizer_path(), with_ids=True).collect()
     text = {}
