@@ -6,7 +6,8 @@ source in nearly its share.  Slots are ranked per source.  A source's documents
 shuffled order on a tape of words that is cut into blocks of ``block_words`` words; the
 slot of rank ``r`` takes block ``r`` of the tape, repeated up to ``most_repeats`` times and
 ended at the target.  Where the discrepancy leaves a source some slots short, they follow
-at the end of the schedule, so every source yields its target to the word.
+at the end of the schedule, so every source yields its target to the word.  Every taken piece
+keeps its slot, so the mix can be read in an order in which each stretch holds the shares.
 
 Target of a source: ``weight / sum of weights`` of ``share`` times all words, at most
 ``most_repeats`` times the source's words; the excess goes to the others by weight.
@@ -26,7 +27,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propkit.llm._spark import WORD, hash_key, running_sums, stored
+from propkit.llm._spark import WORD, hash_key, running_sums, stored, tmp
 from propkit.operators.rowid import with_row_index
 
 PHI31 = 1327217885  # 2**31 / golden ratio, odd: a permutation of the 31-bit residues
@@ -73,38 +74,50 @@ def schedule(src: DataFrame, words: int, block_words: int) -> DataFrame:
     need = src.select("src", F.ceil(F.col("words") / block_words).alias("need"))
     have = taken.groupBy("src").agg(F.count(F.lit(1)).alias("have"))
     short = need.join(have, "src", "left").where("need > coalesce(have, 0)").select(
-        "src", F.explode(F.sequence(F.coalesce("have", F.lit(0).cast("long")), F.col("need") - 1)).alias("rank"))
+        "src", F.explode(F.sequence(F.coalesce("have", F.lit(0).cast("long")), F.col("need") - 1)).alias("rank"), F.coalesce("have", F.lit(0)).alias("have"))
     ranked = ranked.join(need, "src").where("rank < need").select("slot", "src", "rank")
-    return ranked.unionByName(short.select(F.lit(None).cast("long").alias("slot"), "src", "rank"))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most_repeats: int = 2,
-        block_words: int = 256, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    behind = (F.lit(slots) + (F.col("rank") - F.col("have")) * n_src + F.col("src")).cast("long")
+    return ranked.unionByName(short.select(behind.alias("slot"), "src", "rank"))
+
+
+class Mix:
+    """A mix of ``docs``: ``tape`` has a row per document, ``pieces`` one per block that a document is
+    taken into: ``(row, turn, slot, part)``, ``part`` words in the mix's block number ``slot``.
+
+    ``rows`` are the documents with their number ``row`` (under the free name ``number``)."""
+
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most_repeats: int = 2,
+                 block_words: int = 256, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+        self.number = tmp(docs, "row")
+        self.rows = with_row_index(docs, self.number)
+        text = F.col(text_col).cast("string")
+        sizes = self.rows.select(F.col(self.number).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                                 F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                                 F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc"))
+        sizes = stored(sizes.withColumn("key", hash_key(F.lit(seed), F.col("doc_id"))))
+        src, words = source_targets(sizes, weights, share, most_repeats)
+        named = sizes.join(src.select("source", "src", "source_size", "target", "words").withColumnRenamed("source", "_s"),
+                           F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        tape = running_sums(named, ["src"], F.col("key"), ["doc_id", "size", "text_crc", "row"], {"at": F.col("size")}, sizes.count())
+        self.tape = stored(tape.drop("key"))
+        lo = F.col("at") + F.col("turn") * F.col("source_size")
+        turn = self.tape.select("row", "src", "at", "size", "source_size", "words", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("turn"))
+        turn = turn.select("row", "src", "turn", lo.alias("lo"), F.least(lo + F.col("size"), F.col("words")).alias("hi")).where("hi > lo")
+        piece = turn.withColumn("block", F.explode(F.sequence(F.expr(f"lo div {block_words}"), F.expr(f"(hi - 1) div {block_words}"))))
+        part = F.least("hi", (F.col("block") + 1) * block_words) - F.greatest("lo", F.col("block") * block_words)
+        piece = piece.select("row", "turn", "src", "block", part.alias("part"))
+        slots = schedule(src, words, block_words).select("src", F.col("rank").alias("block"), "slot")
+        self.pieces = piece.join(slots, ["src", "block"]).select("row", "turn", "slot", "part")
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
     """``(doc_id, text_crc, size, source, source_size, target, taken)`` for every row of ``docs``.
 
-    ``weights`` go to the sources in code-point order, null last, and repeat.
-    """
-    text = F.col(text_col).cast("string")
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc"))
-    sizes = stored(sizes.withColumn("key", hash_key(F.lit(seed), F.col("doc_id"))))
-    src, words = source_targets(sizes, weights, share, most_repeats)
-    n = sizes.count()
-    named = sizes.join(src.select("source", "src", "source_size", "target", "words").withColumnRenamed("source", "_s"),
-                       F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    tape = running_sums(named, ["src"], F.col("key"), ["doc_id", "size", "text_crc"], {"at": F.col("size")}, n)
-    tape = tape.withColumn("row", F.monotonically_increasing_id()).drop("key")
-    tape = stored(tape)
-    lo = F.col("at") + F.col("turn") * F.col("source_size")
-    turn = tape.select("row", "src", "at", "size", "source_size", "words", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("turn"))
-    turn = turn.select("row", "src", lo.alias("lo"), F.least(lo + F.col("size"), F.col("words")).alias("hi")).where("hi > lo")
-    piece = turn.withColumn("block", F.explode(F.sequence(F.expr(f"lo div {block_words}"), F.expr(f"(hi - 1) div {block_words}"))))
-    part = F.least("hi", (F.col("block") + 1) * block_words) - F.greatest("lo", F.col("block") * block_words)
-    piece = piece.select("row", "src", "block", part.alias("part"))
-    slots = schedule(src, words, block_words).select("src", F.col("rank").alias("block"))
-    got = piece.join(slots, ["src", "block"]).groupBy("row").agg(F.sum("part").alias("taken"))
-    return tape.join(got, "row", "left").select(
+    ``weights`` go to the sources in code-point order, null last, and repeat; for the other
+    arguments see ``Mix``."""
+    m = Mix(docs, **how)
+    got = m.pieces.groupBy("row").agg(F.sum("part").alias("taken"))
+    return m.tape.join(got, "row", "left").select(
         "doc_id", "text_crc", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
@@ -114,24 +127,19 @@ def first_words(text, n):
     return F.array_join(F.slice(cut, F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, text_col: str = "text", slot_col: str | None = None, **how) -> DataFrame:
     """The documents of the mix with all their columns: a row for each time a document is
-    taken; the last one ends where the taken words end."""
-    got = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("taken > 0")
-    got = got.select(F.col("doc_id").alias("_mx_id"), F.col("source").alias("_mx_source"), F.col("text_crc").alias("_mx_crc"),
-                     F.col("size").alias("_mx_size"), F.col("taken").alias("_mx_taken"))
-    # equal rows are interchangeable: together they take the sum
-    got = got.groupBy("_mx_id", "_mx_source", "_mx_crc", "_mx_size").agg(F.sort_array(F.collect_list("_mx_taken")).alias("_mx_all"))
+    taken; the last one of a source ends where the taken words end.
+
+    ``slot_col`` adds the block of the mix in which the row begins; in its order every stretch
+    of the mix holds the sources in nearly their shares.  Repeated rows stay rows of their own.
+    Documents without words are not taken; without words at all nothing is."""
+    m = Mix(docs, text_col=text_col, **how)
+    names = [tmp(m.rows, n) for n in ("taken_row", "words", "slot", "size")]
+    row, words, slot, size = names
+    got = m.pieces.groupBy("row", "turn").agg(F.sum("part").alias(words), F.min("slot").alias(slot))
+    got = got.join(m.tape.select("row", "size"), "row").select(F.col("row").alias(row), words, slot, F.col("size").alias(size))
     text = F.col(text_col).cast("string")
-    x = docs.withColumn("_mx_c", F.coalesce(F.crc32(text), F.lit(0)).cast("long"))
-    n_same = x.groupBy(F.col(id_col).alias("_mx_i2"), F.col(source_col).cast("string").alias("_mx_s2"), F.col("_mx_c").alias("_mx_c2")) \
-        .agg(F.count(F.lit(1)).alias("_mx_n")).where("_mx_n > 1").limit(1).count()
-    if n_same:
-        x = x.dropDuplicates([id_col, source_col, "_mx_c"])
-    x = x.join(got, x[id_col].eqNullSafe(F.col("_mx_id")) & x[source_col].cast("string").eqNullSafe(F.col("_mx_source")) & (F.col("_mx_c") == F.col("_mx_crc")))
-    parts = F.flatten(F.transform("_mx_all", lambda t: F.concat(
-        F.array_repeat(F.col("_mx_size"), F.floor(t / F.col("_mx_size")).cast("int")),
-        F.when(t % F.col("_mx_size") > 0, F.array(t % F.col("_mx_size"))).otherwise(F.array().cast("array<bigint>")))))
-    x = x.withColumn("_mx_words", F.explode(parts))
-    part = F.when(F.col("_mx_words") == F.col("_mx_size"), text).otherwise(first_words(text, F.col("_mx_words")))
-    return x.withColumn(text_col, part).select(*docs.columns)
+    x = m.rows.join(got, F.col(m.number) == F.col(row))
+    x = x.withColumn(text_col, F.when(F.col(words) == F.col(size), text).otherwise(first_words(text, F.col(words))))
+    return x.select(*docs.columns, *([F.col(slot).alias(slot_col)] if slot_col else []))

@@ -54,9 +54,39 @@ def test_mixed_rows(odd, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_pieces_follow_the_schedule(spark):
+    """Each slot holds one block of one source, and every stretch of slots nearly the shares."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 90))), rng.choice("aabbbc")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mixing.Mix(docs, block_words=32)
+    source = {r["row"]: (r.source, r.target) for r in m.tape.collect()}
+    slots = collections.defaultdict(list)
+    for r in m.pieces.collect():
+        slots[r.slot].append((source[r["row"]][0], r.part))
+    target = dict(source.values())
+    seen, total, done = collections.Counter(), sum(target.values()), 0
+    for slot in sorted(slots):
+        (name,) = {s for s, _ in slots[slot]}
+        words = sum(p for _, p in slots[slot])
+        assert words <= 32
+        seen[name] += words
+        done += words
+        assert all(abs(seen[k] - done * t / total) < 32 * 5 for k, t in target.items())
+    assert all(abs(seen[k] - t) <= 1 for k, t in target.items())
+    out = mixing.mixed_documents(docs, block_words=32, slot_col="at").collect()
+    assert {r.at for r in out} <= set(slots) and sum(len(r.text.split()) for r in out) == done
+
+
+def test_repeated_rows_keep_their_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "en"), (1, "a b c", "x", "de"), (1, "a b c", "x", "de")], "doc_id long, text string, source string, lang string")
+    got = collections.Counter(r.lang for r in mixing.mixed_documents(docs).collect() if r.text == "a b c")
+    assert set(got) == {"en", "de"}
+
+
 def test_schedule_is_even(spark):
     src = spark.createDataFrame([(0, 3000), (1, 1000), (2, 2000), (3, 0), (4, 7)], "src long, words long")
-    got = sorted((r.slot, r["src"], r["rank"]) for r in mixing.schedule(src, 6007, 10).collect() if r.slot is not None)
+    got = sorted((r.slot, r["src"], r["rank"]) for r in mixing.schedule(src, 6007, 10).collect() if r.slot < 601)
     seen = collections.Counter()
     for i, (_, s, rank) in enumerate(got, 1):
         assert rank == seen[s]
