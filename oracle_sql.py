@@ -54,7 +54,7 @@ def profile_sql() -> str:
     mv = list(G.MASSES.values())
     hcount = (f"CASE WHEN regexp_extract(x, '{G.BRACKET_H_RE}', 1) = '' THEN 0 "
               f"WHEN regexp_extract(x, '{G.BRACKET_H_RE}', 1) = 'H' THEN 1 "
-              f"ELSE TRY_CAST(substr(regexp_extract(x, '{G.BRACKET_H_RE}', 1), 2, 4) AS INTEGER) END")
+              f"ELSE CAST(substr(regexp_extract(x, '{G.BRACKET_H_RE}', 1), 2) AS DOUBLE) END")
     mass = f"(list_extract(CAST({_list(mv)} AS DOUBLE[]), list_position({_list(mk)}, {_cap('x')})) + ({hcount}) * {G.H_MASS!r})"
     return f"""
 WITH src AS ({STRUCT_SRC}),
@@ -316,14 +316,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rk FR
     q["corpus_structures"] = f"""
 WITH src AS ({STRUCT_SRC}), t AS (SELECT row_id, {tok_s} AS toks FROM src),
 s AS (SELECT row_id, CASE WHEN len(toks) > 0 THEN flatten(list_transform(range(1, len(toks) + 1), lambda i:
-        list_transform(range(0, 2), lambda r: array_to_string(toks[greatest(1, i - r):least(len(toks), i + r)], ''))))
+        [toks[i], '1|' || coalesce(CASE WHEN i > 1 THEN toks[i - 1] END, '') || '|' || toks[i] || '|' || coalesce(CASE WHEN i < len(toks) THEN toks[i + 1] END, '')]))
         ELSE [] END AS sentence FROM t)
 SELECT row_id, CAST(len(sentence) AS BIGINT) AS n_ids, array_to_string(sentence, ' ') AS sentence FROM s"""
     tok_d = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 0)"
     q["corpus_documents"] = f"""
 WITH t AS (SELECT doc_id, {tok_d} AS toks FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(toks) > 0 THEN flatten(list_transform(range(1, len(toks) + 1), lambda i:
-        list_transform(range(0, 2), lambda r: array_to_string(toks[greatest(1, i - r):least(len(toks), i + r)], ''))))
+        [toks[i], '1|' || coalesce(CASE WHEN i > 1 THEN toks[i - 1] END, '') || '|' || toks[i] || '|' || coalesce(CASE WHEN i < len(toks) THEN toks[i + 1] END, '')]))
         ELSE [] END AS sentence FROM t)
 SELECT doc_id, CAST(len(sentence) AS BIGINT) AS n_ids, md5(array_to_string(sentence, ' ')) AS sentence_md5 FROM s"""
     q["embed_given_vectors"] = f"""

@@ -47,7 +47,7 @@ MASSES = {
 }
 H_MASS = MASSES["H"]
 
-# Element category by atomic number, as the reference's first-match rule resolves:
+# Element category by atomic number, as the first-match rule resolves:
 # Z 3-10 and 19-85 "Metal"; 11 and 87 "Alkali Metal"; 1, 2 and 14-17 "Non-metal";
 # everything else "Other" (its Lanthanide branch is unreachable).
 CATEGORY_RULES = [
@@ -127,8 +127,8 @@ def profile_stages(col: str):
 
 def _bracket_h(tok: Column) -> Column:
     g = F.regexp_extract(tok, BRACKET_H_RE, 1)
-    return (F.when(g == "", F.lit(0)).when(g == "H", F.lit(1))
-            .otherwise(F.substring(g, 2, 4).try_cast("int"))).cast("double")
+    return (F.when(g == "", F.lit("0")).when(g == "H", F.lit("1"))
+            .otherwise(F.substring(g, 2, 2**31 - 1)).cast("double"))
 
 
 HELPERS = ("_s", "_all", "_labels", "_toks", "_syms", "_zs", "_aromatic")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from propkit.operators.rowid import free_name, with_scan_number
 
 
-def dedup_lower(df: DataFrame, col: str, row_id: str = "row_id", hash_key: bool = True) -> tuple[DataFrame, DataFrame]:
-    """W1 + J3: keep the first row (smallest ``row_id``) of each lower-cased ``col``.
+def dedup_lower(df: DataFrame, col: str, row_id: str | None = "row_id", hash_key: bool = True) -> tuple[DataFrame, DataFrame]:
+    """W1 + J3: keep the first row of each lower-cased ``col``: the one of the smallest ``row_id``
+    (nulls first), of equal ones the first in scan order; without a ``row_id`` column, the
+    first in scan order.
 
-    Returns (kept, dropped).  Skew-safe: the per-key minimum is a partial (map-side
+    Returns (kept, dropped).  Rows are told apart by a scan-order number of their own, so an
+    id may repeat.  Skew-safe: the per-key minimum is a partial (map-side
     combined) aggregate, so a key holding a third of the table collapses to one row
-    per map task; the rows are then matched on the unique ``row_id`` — evenly hashed —
+    per map task; the rows are then matched on the unique number — evenly hashed —
     instead of being windowed per key.  NULL keys form one group.  ``hash_key`` groups on
     SHA-256 of the lower-cased key (a collision between different keys is practically
     impossible); ``hash_key=False`` groups on the key itself.
@@ -20,9 +24,13 @@ def dedup_lower(df: DataFrame, col: str, row_id: str = "row_id", hash_key: bool
     # group on a 32-byte digest of the lower-cased key, not on the key itself: long
     # texts are never shuffled as grouping keys (NULL keys still form one group)
     key = F.sha2(F.lower(F.col(col).cast("string")), 256) if hash_key else F.lower(F.col(col))
-    firsts = df.groupBy(key.alias("_k")).agg(F.min(row_id).alias(row_id)).select(row_id)
-    kept = df.join(firsts, row_id, "left_semi")
-    dropped = df.join(firsts, row_id, "left_anti")
+    number = free_name(df, "_number")
+    own = with_scan_number(df, number)
+    order = [F.col(row_id)] if row_id and row_id in df.columns else []
+    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(number).alias("n")))
+    firsts = own.groupBy(key.alias("_k")).agg(first.alias("f")).select(F.col("f.n").alias(number))
+    kept = own.join(firsts, number, "left_semi").select(*df.columns)
+    dropped = own.join(firsts, number, "left_anti").select(*df.columns)
     return kept, dropped
 
 

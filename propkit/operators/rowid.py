@@ -19,6 +19,14 @@ from propkit.session import cut_lineage
 _LOW33 = (1 << 33) - 1
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (compared as Spark does, without case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def _number_partitions(df: DataFrame, name: str, start: int) -> DataFrame:
     local = df.withColumn("_pk_pid", F.spark_partition_id()).withColumn(
         "_pk_mid", F.monotonically_increasing_id())
@@ -54,6 +62,12 @@ def _stable(df: DataFrame) -> DataFrame:
     return df if plan.deterministic() and _repeats(plan) else cut_lineage(df)
 
 
+def with_scan_number(df: DataFrame, name: str) -> DataFrame:
+    """A unique number in scan order, with gaps: no pass over the data, the same whenever the
+    frame is read again."""
+    return _stable(df).withColumn(name, F.monotonically_increasing_id())
+
+
 ROWS_PER_PARTITION = 500_000
 
 

@@ -76,13 +76,8 @@ def filter_target_job(spark: SparkSession, path: str, col: str, lo=None, hi=None
 
 def dedup_job(df: DataFrame, col: str, out_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Duplicate check job: index rows (scan order) if needed, split kept/dropped."""
-    # an existing row_id need not be unique: the first row in scan order is told by an id of its own
-    own = with_row_index(df, "_first")
-    kept, dropped = clean.dedup_lower(own, col, "_first")
-    if "row_id" in df.columns:
-        kept, dropped = kept.drop("_first"), dropped.drop("_first")
-    else:
-        kept, dropped = (x.withColumnRenamed("_first", "row_id") for x in (kept, dropped))
+    # an existing row_id need not be in order: the first row is told by the scan order
+    kept, dropped = clean.dedup_lower(with_row_index(df, "row_id"), col, None)
     if out_dir:
         write_table(kept, f"{out_dir}/deduplicated")
         write_table(dropped, f"{out_dir}/duplicates")

@@ -63,3 +63,22 @@ def test_row_index_with_payload_does_not_need_exchange_reuse(spark):
     assert sorted(r["rid"] for r in rows) == list(range(o.count()))
     keys = [r["o_custkey"] for r in sorted(rows, key=lambda r: r["rid"])]
     assert keys == sorted(keys)
+
+
+def test_dedup_with_repeated_ids_and_taken_names(spark):
+    df = spark.createDataFrame([(1, "a", 0), (1, "A", 1), (2, "b", 2), (7, None, 3), (7, None, 4)], "row_id long, _number string, k int")
+    kept, dropped = dedup_lower(df, "_number")
+    assert kept.columns == df.columns
+    assert sorted(r.k for r in kept.collect()) == [0, 2, 3] and sorted(r.k for r in dropped.collect()) == [1, 4]
+    late = spark.createDataFrame([(5, "x", 0), (3, "X", 1)], "row_id long, s string, k int")
+    assert [r.k for r in dedup_lower(late, "s")[0].collect()] == [1]
+    assert [r.k for r in dedup_lower(late, "s", None)[0].collect()] == [0]
+
+
+def test_dedup_job_with_a_first_column(spark):
+    from propkit.plans import jobs
+    df = spark.createDataFrame([(7, "a", 1), (7, "A", 1), (7, "b", 1)], "row_id long, s string, _first int")
+    kept, dropped = jobs.dedup_job(df, "s")
+    assert kept.columns == df.columns and sorted(r.s for r in kept.collect()) == ["a", "b"] and [r.s for r in dropped.collect()] == ["A"]
+    kept, _ = jobs.dedup_job(df.drop("row_id"), "s")
+    assert sorted(r.row_id for r in kept.collect()) == [0, 2]

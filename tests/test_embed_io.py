@@ -20,7 +20,7 @@ def structs(spark):
 def test_sentence_alternates_radii(spark):
     df = spark.createDataFrame([(0, "CCO"), (1, "")], "row_id long, smiles string")
     rows = {r["row_id"]: r["sentence"] for r in corpus(df, "smiles", radius=1).collect()}
-    assert rows[0] == ["C", "CC", "C", "CCO", "O", "CO"]
+    assert rows[0] == ["C", "1||C|C", "C", "1|C|C|O", "O", "1|C|O|"]  # token boundaries and ends are part of an identifier
     assert rows[1] == []
 
 
@@ -72,3 +72,21 @@ def test_results_sink(spark, tmp_path, structs):
                           (F.col("y") * 1.1).alias("y_pred"))
     write_results(pred, regression_metrics(pred, "y_true", "y_pred", by=["split"]), str(tmp_path / "res"))
     assert spark.read.parquet(str(tmp_path / "res/metrics")).first()["n"] == 40
+
+
+def test_identifiers_never_coincide(spark):
+    from pyspark.sql import functions as F
+    from propkit.operators.embed import corpus
+    got = {r.text: r.s for r in corpus(spark.createDataFrame([("in to",), ("into",), ("a b",), ("b a",), ("",)], "text string"), "text", 1, "text", "s").collect()}
+    assert got["in to"] == ["in", "1||in|to", "to", "1|in|to|"] and got["into"] == ["into", "1||into|"]
+    assert not set(got["in to"]) & set(got["into"]) and got[""] == []
+    wide = corpus(spark.createDataFrame([("a b c",)], "text string"), "text", 2, "text", "s").select(F.explode("s")).collect()
+    assert [r[0] for r in wide] == ["a", "1||a|b", "2|||a|b|c", "b", "1|a|b|c", "2||a|b|c|", "c", "1|b|c|", "2|a|b|c||"]
+
+
+def test_bracket_hydrogens_are_read_whole(spark):
+    from propkit.operators.profile import structure_profile
+    got = {r.s: r.molecular_weight for r in structure_profile(spark.createDataFrame([("[CH12345]",), ("[CH4]",), ("[CH]",), ("[CH99999999999]",)], "s string"), "s").collect()}
+    h = 1.00782503223
+    assert abs(got["[CH12345]"] - (12 + 12345 * h)) < 0.1 and abs(got["[CH4]"] - (12 + 4 * h)) < 1e-6 and abs(got["[CH]"] - (12 + h)) < 1e-6
+    assert got["[CH99999999999]"] > 1e11
