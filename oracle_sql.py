@@ -27,6 +27,61 @@ def _list(items) -> str:
     return "[" + ", ".join(_lit(x) if isinstance(x, str) else repr(x) for x in items) + "]"
 
 
+def _bisected(name: str, rows: str, family: str) -> str:
+    """CTE ``name(lam)``: the zero of the score of the power family's likelihood over ``rows`` (y), by bisection."""
+    power = lambda x, k: f"(pow({x}, {k}) - 1) / ({k})"
+    slope = lambda x, k: f"(pow({x}, {k}) * ln({x}) - {power(x, k)}) / ({k})"
+    if family == "boxcox":
+        z, z1, c = power("y", "mid"), slope("y", "mid"), "ln(y)"
+    else:
+        z = f"CASE WHEN y >= 0 THEN {power('(1 + y)', 'mid')} ELSE -({power('(1 - y)', '(2 - mid)')}) END"
+        z1 = f"CASE WHEN y >= 0 THEN {slope('(1 + y)', 'mid')} ELSE {slope('(1 - y)', '(2 - mid)')} END"
+        c = "sign(y) * ln(1 + abs(y))"
+    return f"""{name}_(lo, hi, step) AS (SELECT -5.1::DOUBLE, 5.3::DOUBLE, 0
+  UNION ALL SELECT CASE WHEN sc > 0 THEN mid ELSE lo END, CASE WHEN sc > 0 THEN hi ELSE mid END, step + 1 FROM (
+    SELECT lo, hi, step, mid, sum({c}) - count(*) * covar_pop({z}, {z1}) / var_pop({z}) AS sc
+    FROM (SELECT *, (lo + hi) / 2 AS mid FROM {name}_ WHERE step < 60), ({rows}) GROUP BY lo, hi, step, mid)),
+{name} AS (SELECT (lo + hi) / 2 AS lam FROM {name}_ WHERE step = 60)"""
+
+
+YJ = """CASE WHEN y >= 0 THEN (pow(1 + y, lam) - 1) / lam ELSE -(pow(1 - y, 2 - lam) - 1) / (2 - lam) END"""
+DIMS = 64  # of the embeddings
+
+
+def _solved(rows: str, alphas: list[float]) -> str:
+    """CTEs that solve ridge regression in closed form for every group ``g`` of ``rows`` (g, v, y):
+    ``solved(g, alpha, b0, b)``, by Gauss-Jordan elimination of the centred normal equations."""
+    return f"""
+tr AS ({rows}),
+avgs AS (SELECT g, i, avg(x) AS m FROM (SELECT g, unnest(list_append(v, y)) AS x, unnest(range(1, {DIMS} + 2)) AS i FROM tr) GROUP BY g, i),
+mean AS (SELECT g, list(m ORDER BY i) AS m FROM avgs GROUP BY g),
+cen AS (SELECT tr.g, list_transform(list_append(v, y), lambda x, i: x - mean.m[i]) AS z FROM tr JOIN mean USING (g)),
+prod AS (SELECT g, i, j, sum(z[i] * z[j]) AS s FROM cen, range(1, {DIMS} + 1) a(i), range(1, {DIMS} + 2) b(j) GROUP BY g, i, j),
+line AS (SELECT g, alpha, i, list(s + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j) AS r
+  FROM prod, (SELECT unnest({alphas!r}::DOUBLE[]) AS alpha) GROUP BY g, alpha, i),
+elim(g, alpha, k, m) AS (
+  SELECT g, alpha, 1, list(r ORDER BY i) FROM line GROUP BY g, alpha
+  UNION ALL
+  SELECT g, alpha, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda e: e / m[k][k])
+    ELSE list_transform(r, lambda e, j: e - r[k] * m[k][j] / m[k][k]) END) FROM elim WHERE k <= {DIMS}),
+beta AS (SELECT g, alpha, list_transform(m, lambda r: r[{DIMS} + 1]) AS b FROM elim WHERE k = {DIMS} + 1),
+solved AS (SELECT g, alpha, b, mean.m[{DIMS} + 1] - list_dot_product(b, mean.m[1:{DIMS}]) AS b0 FROM beta JOIN mean USING (g))"""
+
+
+METRICS = """count(*) AS n, round(1 - sum(pow(t - p, 2)) / (var_pop(t) * count(t)), 6) AS r2, round(avg(pow(t - p, 2)), 6) AS mse,
+  round(sqrt(avg(pow(t - p, 2))), 6) AS rmse, round(avg(abs(t - p)), 6) AS mae, round(regr_slope(p, t), 6) AS slope, round(regr_intercept(p, t), 6) AS intercept"""
+
+
+def _folds(folds: int, alphas: list[float], seed: int = 42, half: int = 1000000) -> str:
+    """``r2s(fold, alpha, r2)``: every fold scored by the fit on the others, over a sample of ``half`` in a million."""
+    part = f"('0x' || substr(md5('{seed + 7}:fold:' || vec_id::VARCHAR), 1, 12))::BIGINT % 1000000 < {half}"
+    fold = f"('0x' || substr(md5('{seed}:fold:' || vec_id::VARCHAR), 1, 12))::BIGINT % {folds}"
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label::DOUBLE AS y, {fold} AS fold FROM embeddings WHERE {part}),
+{_solved(f"SELECT f.g, v, y FROM e, range({folds}) f(g) WHERE fold <> f.g", alphas)},
+r2s AS (SELECT fold, alpha, 1 - sum(pow(y - b0 - list_dot_product(b, v), 2)) / (var_pop(y) * count(y)) AS r2
+  FROM e JOIN solved ON g = fold GROUP BY fold, alpha)"""
+
+
 STRUCT_SRC = (f"SELECT p_partkey AS row_id, {_list(STRUCTURES)}[(p_partkey % {len(STRUCTURES)}) + 1] AS smiles, "
               f"p_size FROM part")
 
@@ -312,6 +367,52 @@ d AS (SELECT te.vec_id AS qid, tr.vec_id AS tid, tr.y AS ty,
       FROM (SELECT * FROM e WHERE split = 'test') te, (SELECT * FROM e WHERE split = 'train') tr)
 SELECT qid AS row_id, round(avg(ty), 6) AS y_pred
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rk FROM d) WHERE rk <= 5 GROUP BY qid"""
+    # ---- power transforms by bisection of the score
+    skew = lambda v: f"(avg(pow({v} - m, 3)) / pow(var_pop({v}), 1.5))"
+    q["boxcox_fit"] = f"""WITH RECURSIVE {_bisected("b", Y[1:-1], "boxcox")},
+t AS (SELECT lam, (pow(y, lam) - 1) / lam AS v FROM {Y}, b), k AS (SELECT avg(v) AS m FROM t)
+SELECT round(lam, 6) AS lam, round({skew("v")}, 6) AS skew, count(*) AS n FROM t, k GROUP BY lam"""
+    acct = "SELECT c_acctbal AS y FROM customer WHERE c_acctbal IS NOT NULL AND NOT isnan(c_acctbal)"
+    q["yeo_johnson_fit"] = f"""WITH RECURSIVE {_bisected("b", acct, "yeo_johnson")},
+t AS (SELECT lam, {YJ} AS v FROM ({acct}), b), k AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM t)
+SELECT round(lam, 6) AS lam, round(avg((v - m) / s), 6) + 0.0 AS mean, round(stddev_pop((v - m) / s), 6) AS std FROM t, k GROUP BY lam"""
+    q["auto_transform"] = f"""WITH RECURSIVE {_bisected("b", Y[1:-1], "boxcox")}, {_bisected("j", Y[1:-1], "yeo_johnson")},
+t AS (SELECT 0 AS candidate, 'original' AS method, NULL::DOUBLE AS lam, y AS v FROM {Y}
+  UNION ALL SELECT 1, 'log1p', NULL, ln(1 + y) FROM {Y} UNION ALL SELECT 2, 'sqrt', NULL, sqrt(y) FROM {Y}
+  UNION ALL SELECT 3, 'reciprocal', NULL, 1 / (1 + y) FROM {Y} UNION ALL SELECT 4, 'boxcox', lam, (pow(y, lam) - 1) / lam FROM {Y}, b
+  UNION ALL SELECT 5, 'yeo_johnson', lam, {YJ} FROM {Y}, j),
+k AS (SELECT candidate, avg(v) AS m FROM t GROUP BY candidate),
+s AS (SELECT candidate, method, lam, {skew("v")} AS sk FROM t JOIN k USING (candidate) GROUP BY candidate, method, lam)
+SELECT candidate, method, round(sk, 6) AS skewness, row_number() OVER (ORDER BY abs(sk), candidate) = 1 AS is_best, round(lam, 6) AS lam FROM s"""
+
+    # ---- linear models in closed form, draws
+    parts = f"e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label::DOUBLE AS y, split FROM embeddings JOIN ({split}) USING (vec_id))"
+    q["train_linear"] = f"""WITH RECURSIVE {parts}, {_solved("SELECT 0 AS g, v, y FROM e WHERE split = 'train'", [0.0])},
+s AS (SELECT split, y AS t, b0 + list_dot_product(b, v) AS p FROM e, solved) SELECT split, {METRICS} FROM s GROUP BY split"""
+    q["train_ridge"] = f"""WITH RECURSIVE {parts}, k AS (SELECT min(ln(1 + y)) AS lo, max(ln(1 + y)) - min(ln(1 + y)) AS w FROM e),
+{_solved("SELECT 0 AS g, v, (ln(1 + y) - lo) / w AS y FROM e, k WHERE split = 'train'", [1.0])},
+s AS (SELECT split, y AS t, exp((b0 + list_dot_product(b, v)) * w + lo) - 1 AS p FROM e, k, solved) SELECT split, {METRICS} FROM s GROUP BY split"""
+    q["score_batch"] = f"""WITH RECURSIVE {parts}, {_solved("SELECT 0 AS g, v, sqrt(y) AS y FROM e WHERE split = 'train'", [0.0])}
+SELECT vec_id AS row_id, round(pow(b0 + list_dot_product(b, v), 2), 6) AS predicted_value FROM e, solved"""
+    q["cross_validation"] = f"{_folds(5, [1.0])} SELECT fold::INTEGER AS fold, round(r2, 6) AS r2 FROM r2s"
+    q["grid_search"] = f"""{_folds(3, [0.001, 0.01, 0.1])},
+c AS (SELECT alpha, avg(r2) AS m, stddev_pop(r2) AS s FROM r2s GROUP BY alpha)
+SELECT (row_number() OVER (ORDER BY alpha) - 1)::INTEGER AS candidate, '{{"alpha": ' || alpha::VARCHAR || '}}' AS params, round(m, 6) AS mean_test_score,
+  round(s, 6) AS std_test_score, (rank() OVER (ORDER BY m DESC))::INTEGER AS rank_test_score FROM c"""
+    some = "SELECT fold, alpha, r2 FROM r2s"
+    grid = [0.001, 0.01, 0.1, 1.0]
+    q["halving_search"] = f"""
+WITH a AS (SELECT alpha, avg(r2) AS m FROM ({_folds(3, grid, half=500000)} {some}) GROUP BY alpha),
+b AS (SELECT alpha, avg(r2) AS m FROM ({_folds(3, grid)} {some}) GROUP BY alpha),
+best AS (SELECT alpha FROM a ORDER BY m DESC, alpha LIMIT 2)
+SELECT 0 AS iteration, '{{"alpha": ' || alpha::VARCHAR || '}}' AS params, 0.5::DOUBLE AS fraction, round(m, 6) AS mean_test_score FROM a
+UNION ALL SELECT 1, '{{"alpha": ' || alpha::VARCHAR || '}}', 1.0::DOUBLE, round(m, 6) FROM b WHERE alpha IN (SELECT alpha FROM best)"""
+    u = lambda what: f"(('0x' || substr(md5('7:{what}:' || d.draw::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+    q["bootstrap_sample"] = f"""
+WITH o AS (SELECT vec_id, label::DOUBLE AS y, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings),
+d AS (SELECT range AS draw FROM range(1000))
+SELECT d.draw, vec_id AS row_id, round(y + sqrt(-2.0 * ln({u("radius")})) * cos(2.0 * pi() * {u("angle")}) * 0.05 * abs(y), 6) AS y
+FROM d JOIN o ON o.k = least(floor({u("row")} * o.n), o.n - 1)"""
     tok_s = f"regexp_extract_all(trim(replace(smiles, chr(160), '')), '{G.ATOM_RE}', 1)"
     q["corpus_structures"] = f"""
 WITH src AS ({STRUCT_SRC}), t AS (SELECT row_id, {tok_s} AS toks FROM src),

@@ -201,16 +201,17 @@ def q_power_given_lambda(spark, sf):
 def q_boxcox_fit(spark, sf):
     e = _events(spark, sf)
     fit = PowerFit("boxcox", __import__("propkit.operators.power", fromlist=["boxcox_lambda"]).boxcox_lambda(e, "value"))
-    return e.select("event_id", fit.transform("value").alias("y_boxcox")).agg(
-        F.lit(fit.lam).alias("lam"), F.skewness("y_boxcox").alias("skew"), F.count(F.lit(1)).alias("n"))
+    return _round(e.select("event_id", fit.transform("value").alias("y_boxcox")).agg(
+        F.lit(fit.lam).alias("lam"), F.skewness("y_boxcox").alias("skew"), F.count(F.lit(1)).alias("n")))
 
 
 def q_yeo_johnson_fit(spark, sf):
     c = table(spark, sf, "customer")
     fit = scalers.fit_scaler(c, "c_acctbal", "PowerTransformer")
     p = fit.params
-    return c.select(fit.transform("c_acctbal").alias("z")).agg(
-        F.lit(p["lam"]).alias("lam"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"))
+    out = _round(c.select(fit.transform("c_acctbal").alias("z")).agg(
+        F.lit(p["lam"]).alias("lam"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("std")))
+    return out.withColumn("mean", F.col("mean") + 0.0)  # no negative zero
 
 
 def _scaled(spark, sf, method):
@@ -361,13 +362,13 @@ def q_knn_predict(spark, sf):
 def q_bootstrap_sample(spark, sf):
     from propkit.operators.model import bootstrap
     b = bootstrap(_vectors(spark, sf), 1000, noise_percentage=5.0, seed=7)
-    return b.select("draw", "row_id", "y")
+    return _round(b.select("draw", "row_id", "y"))
 
 
 def _train(spark, sf, model, params=None, transform=None, scaling="StandardScaler"):
     from propkit.operators.model import train_and_evaluate
     res = train_and_evaluate(_vectors(spark, sf), model, params, test_size=0.2, transform=transform, scaling=scaling)
-    return res.metrics
+    return _round(res.metrics)
 
 
 def q_train_linear(spark, sf):
@@ -393,13 +394,13 @@ def q_train_knn(spark, sf):
 
 def q_cross_validation(spark, sf):
     from propkit.operators.model import cross_validate
-    return cross_validate(_vectors(spark, sf), "ridge", {"alpha": 1.0}, folds=5)
+    return _round(cross_validate(_vectors(spark, sf), "ridge", {"alpha": 1.0}, folds=5))
 
 
 def q_grid_search(spark, sf):
     from propkit.operators.model import grid_search
     _, res = grid_search(_vectors(spark, sf), "ridge", {"alpha": [0.001, 0.01, 0.1]}, folds=3)
-    return res
+    return _round(res)
 
 
 def q_random_search(spark, sf):
@@ -412,14 +413,14 @@ def q_random_search(spark, sf):
 def q_halving_search(spark, sf):
     from propkit.operators.model import halving_search
     _, hist = halving_search(_vectors(spark, sf), "ridge", {"alpha": [0.001, 0.01, 0.1, 1.0]}, factor=2, folds=3)
-    return hist
+    return _round(hist)
 
 
 def q_score_batch(spark, sf):
     from propkit.operators.model import score, train_and_evaluate
     v = _vectors(spark, sf)
     res = train_and_evaluate(v, "linear_regression", test_size=0.2, transform="sqrt", scaling="StandardScaler")
-    return score(res.model, res.prep, v.drop("y")).select("row_id", "predicted_value")
+    return _round(score(res.model, res.prep, v.drop("y")).select("row_id", "predicted_value"))
 
 
 def q_corpus_structures(spark, sf):
