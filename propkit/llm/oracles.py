@@ -133,4 +133,15 @@ SELECT z.word, form, arg_max(root, step) AS root, n, n_near, form_n FROM z JOIN
 """
 
 
-ORACLES = {"op1_mixing": OP1, "op7_minhash_near_dedup": OP7, "op9_exact_dedup": OP9, "op11_conversation_repair": OP11, "op12_spelling_variants": OP12}
+OP2 = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, CASE WHEN text IS NULL THEN 0 ELSE {crc32("coalesce(text, '')")} END AS text_crc32,
+  ('0x' || substr(md5(coalesce(doc_id, -1)::VARCHAR), 1, 15))::BIGINT AS k FROM documents, crc_table),
+n AS (SELECT greatest(1, floor(sqrt(count(*))))::BIGINT AS n FROM d),
+s AS (SELECT d.*, a.shard, b.shard AS grown_shard FROM d JOIN {_jump(8)} a ON a.doc_id IS NOT DISTINCT FROM d.doc_id JOIN {_jump(9)} b ON b.doc_id IS NOT DISTINCT FROM d.doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k % n.n, k, coalesce(doc_id, -1), text_crc32, size) - 1 AS slot,
+  grown_shard FROM s, n
+"""
+
+
+ORACLES = {"op1_mixing": OP1, "op2_sharding": OP2, "op7_minhash_near_dedup": OP7, "op9_exact_dedup": OP9, "op11_conversation_repair": OP11, "op12_spelling_variants": OP12}
