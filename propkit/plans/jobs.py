@@ -8,6 +8,9 @@ later stages start from a stored table (which also cuts lineage for recovery).
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from propkit.operators import clean, evaluate, profile, stats
 from propkit.operators.power import auto_transform, fit_power, transform_scores_frame
 from propkit.operators.rowid import with_row_index
 from propkit.sources.readers import read_table
-from propkit.sources.sinks import write_sidecar, write_table
+from propkit.sources.sinks import read_sidecar, write_sidecar, write_table
 
 
 def distribution_report(df: DataFrame, col: str, auto: bool = False, transform: str | None = None) -> dict:
@@ -136,12 +139,26 @@ def make_index_job(spark: SparkSession, path: str, index_column: str, out: str,
     return spark.read.parquet(out) if fmt == "parquet" else read_table(spark, out, fmt)
 
 
-def profile_filter_job(spark: SparkSession, training: DataFrame, out_dir: str, id_col: str = "row_id",
-                       **filters) -> DataFrame:
-    """Filter job on a stored profile, semi-joined back to the training table."""
+def profile_filter_job(spark: SparkSession, training: DataFrame, out_dir: str, id_col: str | None = None,
+                       out: str | None = None, **filters) -> DataFrame:
+    """Filter job on a stored profile, semi-joined back to the training table.
+
+    The profile's metadata says which column indexes it; without metadata the folder is no
+    finished profile and the job stops.  ``out`` gets the filtered profile and the filtered
+    training table side by side, with a record of the filters."""
+    record = read_sidecar(spark, f"{out_dir}/metadata")
+    if "index_column" not in record:
+        raise ValueError(f"{out_dir}/metadata names no index column")
+    own = record["index_column"]
+    id_col = id_col or own
     stored = spark.read.parquet(f"{out_dir}/profile")
     kept = profile.filter_profile(stored, **filters)
-    return profile.semi_join_rows(training, kept.withColumnRenamed("row_id", id_col), id_col)
+    rows = profile.semi_join_rows(training, kept.withColumnRenamed(own, id_col), id_col)
+    if out:
+        write_table(kept, f"{out}/profile")
+        write_table(rows, f"{out}/training")
+        write_sidecar(spark, f"{out}/metadata", {**record, "index_column": own, "training_index_column": id_col, "filters": filters})
+    return rows
 
 
 def prediction_analysis_job(df: DataFrame, column_x: str, column_y: str) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +167,27 @@ def prediction_analysis_job(df: DataFrame, column_x: str, column_y: str) -> tupl
             evaluate.with_linear_fit(df, column_x, column_y))
 
 
+SUMMARY = ("model string, parameters string, input_rows long, n_features int, n_rows long, train_rows long, test_rows long, "
+           "train_mean double, train_std double, train_min double, train_max double, "
+           "test_mean double, test_std double, test_min double, test_max double, train_r2 double, test_r2 double, "
+           "bootstrap boolean, bootstrap_arguments string, best_score double, seconds double")
+
+
+def run_summary(vectors: DataFrame, data: DataFrame, res, model: str, params: dict, bootstrap: dict, best: float | None,
+                seconds: float) -> DataFrame:
+    """One row on a training run: shapes, the target of both splits, arguments, scores, time."""
+    y = F.col("y_true")
+    per = {r["split"]: r for r in res.predictions.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max")).collect()}
+    r2 = {r["split"]: r["r2"] for r in res.metrics.select("split", "r2").collect()}
+    stats = [per[k][c] if k in per else None for k in ("train", "test") for c in ("mean", "std", "min", "max")]
+    one = data.select(F.size("vector")).first()
+    row = (model, json.dumps(params, default=str), vectors.count(), one[0] if one else None, data.count(),
+           *[per[k]["n"] if k in per else 0 for k in ("train", "test")], *stats, r2.get("train"), r2.get("test"),
+           bool(bootstrap), json.dumps(bootstrap), None if best is None else float(best), float(seconds))
+    return data.sparkSession.createDataFrame([row], SUMMARY)
+
+
 def train_job(vectors: DataFrame, targets: DataFrame, y_col: str, model: str = "linear_regression",
               parameters: dict | None = None, test_size: float = 0.2, bootstrap: bool = False,
               bootstrap_nsamples: int = 0, noise_percentage: float = 0.0, ytransformation: str | None = None,
@@ -157,11 +195,15 @@ def train_job(vectors: DataFrame, targets: DataFrame, y_col: str, model: str = "
               fine_tune_model: bool = False, grid_search_method: str = "GridSearchCV",
               fine_tuned_hyperparameters: dict | None = None, grid_search_parameters: dict | None = None,
               cv_fold: int = 5, cross_validation: bool = False, inverse_scaling: bool = True,
-              inverse_transform: bool = True, save_to: str | None = None, seed: int = 42) -> dict:
+              inverse_transform: bool = True, save_to: str | None = None, seed: int = 42, lineage: dict | None = None) -> dict:
     """Training job with the reference's run arguments (M1 → M2/M3 → M4 → fit or search
-    → M16 → M15 → S11/S12).  Returns DataFrames plus a small summary dict."""
+    → M16 → M15 → S11/S12).  Returns DataFrames, among them ``summary``, one row on the run.
+
+    ``lineage`` records how the vectors were made, for scoring from the saved model alone:
+    ``word2vec`` (folder), ``radius``, ``kind`` and, if any, ``pca`` (folder)."""
     from propkit.operators import model as M
     from propkit.sources.sinks import write_results
+    begun = time.monotonic()
     data = M.training_set(vectors, targets, y_col, skip_invalid_y=skip_invalid_y_values)
     if bootstrap:
         # a row drawn twice needs two identities: the draw number is unique and deterministic
@@ -187,9 +229,18 @@ def train_job(vectors: DataFrame, targets: DataFrame, y_col: str, model: str = "
     if cross_validation and not fine_tune_model and test_size > 0:
         out["cv_scores"] = M.cross_validate(data, model, params, cv_fold, seed)
         out["cv_summary"] = M.cv_summary(out["cv_scores"])
+    best = None
+    if tune:
+        best = out["search_results"].agg(F.max("mean_test_score")).first()[0]
+    elif "cv_summary" in out:
+        best = out["cv_summary"].first()["cv_mean"]
+    arguments = {"nsamples": int(bootstrap_nsamples), "noise_percentage": float(noise_percentage)} if bootstrap else {}
+    out["summary"] = run_summary(vectors, data, res, model, params, arguments, best, time.monotonic() - begun)
     if save_to:
         M.save_trained(res, f"{save_to}/model")
-        write_results(res.predictions, res.metrics, f"{save_to}/results")
+        if lineage is not None:
+            write_sidecar(data.sparkSession, f"{save_to}/model/lineage", lineage)
+        write_results(res.predictions, res.metrics, f"{save_to}/results", out["summary"])
         if tune:
             write_table(out["search_results"], f"{save_to}/search_results")
     return out
@@ -243,16 +294,34 @@ def embedding_job(spark: SparkSession, df: DataFrame, col: str, embedder, out_di
     return {"embedded": got, "counts": counts}
 
 
-def predict_job(spark: SparkSession, df: DataFrame, col: str, model_dir: str, embedder, out: str | None = None,
+def saved_embedder(spark: SparkSession, model_dir: str, id_col: str = "row_id"):
+    """``(embedder, pca pipeline or None)`` from the lineage saved beside a model."""
+    from pyspark.ml.feature import Word2VecModel
+    from propkit.operators.embed import word2vec_embedder
+    from propkit.sources.sinks import load_pipeline
+    record = read_sidecar(spark, f"{model_dir}/lineage")
+    if "word2vec" not in record:
+        raise ValueError(f"{model_dir}/lineage names no embedding")
+    model = Word2VecModel.load(record["word2vec"])
+    embedder = word2vec_embedder(model, int(record.get("radius", 1)), record.get("kind", "structure"), id_col)
+    return embedder, load_pipeline(record["pca"]) if record.get("pca") else None
+
+
+def predict_job(spark: SparkSession, df: DataFrame, col: str, model_dir: str, embedder=None, out: str | None = None,
                 pca_pipeline=None, invert_transform: bool = True, id_col: str = "row_id") -> DataFrame:
     """M19 as a job: saved model + target preparation → ``predicted_value`` for every
-    valid input row (input columns kept); invalid rows are written beside it."""
+    valid input row (input columns kept); invalid rows are written beside it.  Without an
+    ``embedder`` the one that the model was trained with is found from its lineage."""
     from propkit.operators.model import load_trained, predict_from_strings
+    trained_with = read_sidecar(spark, f"{model_dir}/parameters")  # a folder without it holds no finished model
     model, prep = load_trained(spark, model_dir)
+    if embedder is None:
+        embedder, pca_pipeline = saved_embedder(spark, model_dir, id_col)
     indexed = with_row_index(df, id_col)
     pred, invalid = predict_from_strings(embedder, model, prep, indexed, col, pca_pipeline, invert_transform, id_col)
     res = indexed.join(pred.select(id_col, "predicted_value"), id_col, "inner")
     if out:
         write_table(res, f"{out}/predictions")
         write_table(invalid, f"{out}/invalid")
+        write_sidecar(spark, f"{out}/metadata", {"model": model_dir, "column": col, "index_column": id_col, "parameters": trained_with})
     return res

@@ -46,10 +46,15 @@ def write_sidecar(spark: SparkSession, path: str, record: dict) -> str:
 
 
 def read_sidecar(spark: SparkSession, path: str) -> dict:
-    rows = spark.read.text(path).collect()
-    if not rows:
+    """The record written by :func:`write_sidecar`; ``FileNotFoundError`` where there is none."""
+    from pyspark.errors import AnalysisException
+    try:
+        row = spark.read.text(path).first()
+    except AnalysisException as exc:
+        raise FileNotFoundError(f"no sidecar at {path}") from exc
+    if row is None:
         raise FileNotFoundError(f"no sidecar at {path}")
-    return json.loads(rows[0][0])
+    return json.loads(row[0])
 
 
 def save_model(model, path: str) -> str:
@@ -63,8 +68,11 @@ def load_pipeline(path: str):
     return PipelineModel.load(path)
 
 
-def write_results(pred: DataFrame, metrics: DataFrame, path: str) -> str:
-    """Per-row (split, row_id, y_true, y_pred, y_linear_fit) + metrics table."""
+def write_results(pred: DataFrame, metrics: DataFrame, path: str, summary: DataFrame | None = None) -> str:
+    """Per-row (split, row_id, y_true, y_pred, y_linear_fit), the metrics table and the
+    one-row summary of the run."""
+    if summary is not None:
+        summary.write.mode("overwrite").parquet(f"{path}/summary")
     pred.write.mode("overwrite").parquet(f"{path}/predictions")
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     return path

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from propkit.operators.model import load_trained, save_trained, score, train_and_evaluate
@@ -111,3 +112,24 @@ def test_reduction_word2vec_and_predict_jobs(spark, tmp_path):
                             out=str(tmp_path / "pred"))
     n_valid = emb(s, "smiles").where("is_valid").count()
     assert pred.count() == n_valid and "predicted_value" in pred.columns and "p_size" in pred.columns
+    one = out["summary"].collect()[0]
+    assert out["summary"].count() == spark.read.parquet(str(tmp_path / "run/results/summary")).count() == 1
+    assert one.n_features == 6 and one.train_rows + one.test_rows == one.n_rows and one.train_min <= one.train_mean <= one.train_max and one.seconds > 0
+    # without a lineage the embedding is unknown, with one it is found
+    with pytest.raises(FileNotFoundError):
+        jobs.predict_job(spark, s.drop("row_id"), "smiles", str(tmp_path / "run/model"))
+    jobs.write_sidecar(spark, str(tmp_path / "run/model/lineage"), {"word2vec": str(tmp_path / "w2v/word2vec"), "radius": 1, "kind": "structure"})
+    again = jobs.predict_job(spark, s.drop("row_id"), "smiles", str(tmp_path / "run/model"))
+    key = lambda df: sorted((r.row_id, round(r.predicted_value, 9)) for r in df.collect())
+    assert key(again) == key(pred)
+
+
+def test_filter_job_reads_the_metadata(spark, tmp_path):
+    part = structures(spark, SF)
+    with pytest.raises(FileNotFoundError):
+        jobs.profile_filter_job(spark, part, str(tmp_path / "none"))
+    jobs.profile_job(spark, part.withColumnRenamed("row_id", "key"), "smiles", str(tmp_path / "prof"), id_col="key")
+    kept = jobs.profile_filter_job(spark, part.withColumnRenamed("row_id", "key"), str(tmp_path / "prof"), out=str(tmp_path / "kept"), min_atoms=3)
+    n = kept.count()
+    assert 0 < n == spark.read.parquet(str(tmp_path / "kept/training")).count() == spark.read.parquet(str(tmp_path / "kept/profile")).count()
+    assert jobs.read_sidecar(spark, str(tmp_path / "kept/metadata"))["filters"] == {"min_atoms": 3}
