@@ -119,10 +119,14 @@ def _search(k: int, dim: int, chunk: int = 256):
     return run
 
 
-def _searched(train: DataFrame, queries: DataFrame, k: int, dim: int, block_rows: int, rows: dict[int, int]) -> DataFrame:
+def _visited(queries: DataFrame) -> dict[int, int]:
+    """Queries of each cell (at most ``MAX_PIVOTS`` rows)."""
+    return {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
+
+
+def _searched(train: DataFrame, queries: DataFrame, k: int, dim: int, block_rows: int, rows: dict[int, int], asked: dict[int, int]) -> DataFrame:
     """The ``k`` best rows of every visited part for ``queries`` (id, x, cell)."""
     spark = train.sparkSession
-    asked = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}  # at most MAX_PIVOTS rows
     shape = spark.createDataFrame([(c, math.ceil(n / block_rows), max(1, math.ceil(asked[c] / (QUERY_BATCHES * block_rows))))
                                    for c, n in rows.items() if c in asked], "c int, parts int, copies int")
     on = lambda df: df.join(F.broadcast(shape), F.col("cell") == F.col("c"))
@@ -157,13 +161,20 @@ def nearest(train: DataFrame, query: DataFrame, k: int = 5, id_col: str = "row_i
     for r in t.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():
         rows[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
     sizes = {int(c): int(rows[c]) for c in np.flatnonzero(rows)}
-    own = cut_lineage(_searched(t, q.select("id", "x", "cell"), k, dim, block_rows, sizes))
+    asked = _visited(q)
+    own = cut_lineage(_searched(t, q.select("id", "x", "cell"), k, dim, block_rows, sizes, asked))
     # the k-th distance in the own cell bounds the search; with fewer rows there, no bound
     bound = _top(own, k).groupBy("qid").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("d"))
     bounded = q.join(bound, F.col("id") == F.col("qid"), "left").select(
         "id", "x", "cell", F.when(F.col("m") >= k, F.sqrt("d")).otherwise(F.lit(float("inf"))).alias("bound"))
-    visits = cut_lineage(bounded.mapInArrow(_visits(pivots, radius, rows), "id long, x array<double>, cell int"))
-    others = _searched(t, visits, k, dim, block_rows, sizes)
+    visits = bounded.mapInArrow(_visits(pivots, radius, rows), "id long, x array<double>, cell int")
+    everyone = sum(asked.values())
+    if everyone <= QUERY_BATCHES * block_rows:  # then no part needs a copy, and visits need not be counted
+        asked = dict.fromkeys(sizes, everyone)
+    else:
+        visits = cut_lineage(visits)
+        asked = _visited(visits)
+    others = _searched(t, visits, k, dim, block_rows, sizes, asked)
     return _top(own.unionByName(others), k).drop("_r")
 
 

@@ -51,9 +51,13 @@ def test_cells_are_pruned(spark, monkeypatch):
     """Far fewer visits than queries times cells."""
     T, Q = data("clusters")
     t, q = frames(spark, T, Q)
+    monkeypatch.setattr(N, "QUERY_BATCHES", 0.01)  # as many copies as very many queries would make
     seen, searched = [], N._searched
     monkeypatch.setattr(N, "_searched", lambda train, queries, *a: seen.append(queries.count()) or searched(train, queries, *a))
-    N.nearest(t, q, k=5).collect()
+    got = {}
+    for r in sorted(N.nearest(t, q, k=5).collect(), key=lambda r: (r.qid, round(r.dist, 9), r.tid)):
+        got.setdefault(r.qid, []).append(r.tid)
+    assert got == brute(T, Q, 5)
     cells = len(N.pivots_of(t.selectExpr("row_id as id", "vector as x"), 30))
     assert seen[0] == len(Q) and sum(seen) < 0.4 * len(Q) * cells
 
