@@ -2,7 +2,12 @@
 target weights and the result is packed into token sequences.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept;
-all but the last return the columns of ``docs``.
+all but the last return the columns of ``docs``, whatever their names.
+
+Null and empty texts are scored like texts without words, are copies of each other (one of them stays
+after exact dedup), have no near copies, take no part in the mix (they have no words) and so
+do not reach the packing.  Repeated rows are exact copies.  Null sources are a source, a null
+``doc_id`` is the least.  An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -57,8 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written once to the shared folder."""
-    docs, top = documents(spark, sf_dir), f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs, top, last = documents(spark, sf_dir), f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if last:  # nothing reads the rows before the last stage's any more
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{last}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
