@@ -407,6 +407,11 @@ b AS (SELECT alpha, avg(r2) AS m FROM ({_folds(3, grid)} {some}) GROUP BY alpha)
 best AS (SELECT alpha FROM a ORDER BY m DESC, alpha LIMIT 2)
 SELECT 0 AS iteration, '{{"alpha": ' || alpha::VARCHAR || '}}' AS params, 0.5::DOUBLE AS fraction, round(m, 6) AS mean_test_score FROM a
 UNION ALL SELECT 1, '{{"alpha": ' || alpha::VARCHAR || '}}', 1.0::DOUBLE, round(m, 6) FROM b WHERE alpha IN (SELECT alpha FROM best)"""
+    q["row_index_scan"] = "SELECT o_orderkey, row_number() OVER () - 1 AS row_id FROM orders"
+    q["train_knn"] = f"""WITH {parts},
+d AS (SELECT a.split, a.vec_id AS qid, a.y AS t, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(range(1, {DIMS} + 1),
+    lambda i: pow(a.v[i] - b.v[i], 2))), b.vec_id) AS rk FROM e a, e b WHERE b.split = 'train'),
+s AS (SELECT split, qid, t, avg(y) AS p FROM d WHERE rk <= 5 GROUP BY split, qid, t) SELECT split, {METRICS} FROM s GROUP BY split"""
     u = lambda what: f"(('0x' || substr(md5('7:{what}:' || d.draw::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
     q["bootstrap_sample"] = f"""
 WITH o AS (SELECT vec_id, label::DOUBLE AS y, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings),
