@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from propkit.functions.parse import normalize_nan
 
@@ -42,20 +47,33 @@ def read_table(spark: SparkSession, path: str, filetype: str | None = None, sche
     return df
 
 
+def _without_header(column: str):
+    """The rows of a text scan, which arrive in order; the first one of a file goes if it is the header."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, header = batch.column(1).to_pylist(), pc.equal(pc.utf8_lower(batch.column(0)), "smiles").to_pylist()
+            keep = []
+            for place, is_header in zip(at, header):
+                # ``place`` tells the file for rows of its first block, and is null beyond it
+                keep.append(not (is_header and place is not None and place != before))
+                before = place
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=[column])
+    return run
+
+
 def read_smi(spark: SparkSession, path: str, column: str = "SMILES") -> DataFrame:
     """One structure per line (first blank-separated token); blank lines skipped;
-    a header line ``smiles`` (any case) is dropped only when it is a file's first line."""
-    raw = spark.read.text(path).select(
-        F.split(F.trim(F.col("value")), r"\s+").getItem(0).alias(column),
-        F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-    ).withColumn("_id", F.monotonically_increasing_id())
-    # one row per input file (bounded by the file count), hence the broadcasts below
-    firsts = raw.where(F.col("_b") == 0).groupBy("_f").agg(F.min("_id").alias("_id"))
-    headers = raw.join(F.broadcast(firsts.select("_id")), "_id", "left_semi").where(
-        F.lower(F.col(column)) == "smiles").select("_id")
-    body = raw.join(F.broadcast(headers), "_id", "left_anti")
-    return body.where(F.length(F.col(column)) > 0).select(column)
+    a header line ``smiles`` (any case) is dropped only when it is a file's first line.
+
+    One scan: the rows of a file's first block come together and in order, so the task that
+    reads them sees which one begins the file."""
+    first_block = F.when(F.col("_metadata.file_block_start") == 0, F.xxhash64(F.col("_metadata.file_path")))
+    raw = spark.read.text(path).select(F.split(F.trim(F.col("value")), r"\s+").getItem(0).alias(column), first_block.alias("_f"))
+    body = raw.mapInArrow(_without_header(column), ST.StructType([ST.StructField(column, ST.StringType())]))
+    return body.where(F.length(F.col(column)) > 0)
 
 
 def preview(df: DataFrame, n: int, where: str = "head", order_by: list[str] | None = None) -> DataFrame:

@@ -55,3 +55,22 @@ def test_smi_reader(spark, tmp_path):
     (tmp_path / "b.smi").write_text("c1ccccc1\nsmiles\n")
     got = sorted(r[0] for r in read_smi(spark, str(tmp_path)).collect())
     assert got == ["C#N", "CCO", "c1ccccc1", "smiles"]
+
+
+def test_smi_is_one_scan(spark, tmp_path):
+    """Headers of several files, a header word further on, blank first lines, a file of a header alone."""
+    texts = {"a": "SMILES name\nC\nsmiles\nCO\n", "b": "CC\nSMILES\n", "c": "smiles\n", "d": "\nSmiles\nN\n", "e": "", "f": "SMILES\nSMILES\nO"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.smi").write_text(text)
+    (tmp_path / "g.smi").write_text("SMILES\n" + "C#N x\n" * 3000)
+    df = read_smi(spark, str(tmp_path))
+    got = sorted(r[0] for r in df.collect())
+    assert got == sorted(["C", "smiles", "CO", "CC", "SMILES", "Smiles", "N", "SMILES", "O"] + ["C#N"] * 3000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # the long file in several blocks
+    try:
+        again = read_smi(spark, str(tmp_path))
+        assert sorted(r[0] for r in again.collect()) == got
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Broadcast" not in plan
