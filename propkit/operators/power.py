@@ -23,9 +23,10 @@ from propkit.operators.stats import moments, values
 NEAR_ZERO = 1e-4  # exponents this close to 0 use the power series
 
 
-def _power(log: Column, lam: float) -> tuple[Column, Column, Column]:
-    """``(x**lam - 1) / lam`` of ``x = exp(log)`` and its first two derivatives by ``lam``."""
-    if abs(lam) < NEAR_ZERO:
+def _power(log: Column, lam) -> tuple[Column, Column, Column]:
+    """``(x**lam - 1) / lam`` of ``x = exp(log)`` and its first two derivatives by ``lam``, a
+    number or a column."""
+    if not isinstance(lam, Column) and abs(lam) < NEAR_ZERO:
         sq, cu = log * log, log * log * log
         return log + sq * (lam / 2) + cu * (lam * lam / 6), sq / 2 + cu * (lam / 3), cu / 3 + cu * log * (lam / 4)
     p = F.exp(log * lam)
@@ -34,12 +35,22 @@ def _power(log: Column, lam: float) -> tuple[Column, Column, Column]:
     return z, z1, (p * log * log - 2.0 * z1) / lam
 
 
-def _derivatives(name: str, y: Column, lam: float) -> tuple[Column, Column, Column]:
-    """T(y, lam) and its first two derivatives by lam."""
+def _derivatives(name: str, lam: float) -> tuple[Column, Column, Column]:
+    """T(y, lam) and its first two derivatives by lam, over the columns of ``_logs``."""
     if name == "boxcox":
-        return _power(F.ln(y), lam)
-    pos, neg = _power(F.log1p(y), lam), _power(F.log1p(-y), 2.0 - lam)
-    return tuple(F.when(y >= 0, a).otherwise(b * sign) for a, b, sign in zip(pos, neg, (-1.0, 1.0, -1.0)))
+        return _power(F.col("ln"), lam)
+    plus, log = F.col("y") >= 0, F.col("ln1")
+    if min(abs(lam), abs(2.0 - lam)) < NEAR_ZERO:
+        pos, neg = _power(log, lam), _power(log, 2.0 - lam)
+        return tuple(F.when(plus, a).otherwise(b * sign) for a, b, sign in zip(pos, neg, (-1.0, 1.0, -1.0)))
+    z, z1, z2 = _power(log, F.when(plus, lam).otherwise(2.0 - lam))  # one expression for both signs
+    sign = F.when(plus, 1.0).otherwise(-1.0)
+    return z * sign, z1, z2 * sign
+
+
+def _logs(y: DataFrame) -> DataFrame:
+    """The logarithms that every pass needs, computed once."""
+    return y.select("y", F.when(F.col("y") > 0, F.ln("y")).alias("ln"), F.log1p(F.abs("y")).alias("ln1"))
 
 
 @dataclass
@@ -102,7 +113,7 @@ def _maximise(y: DataFrame, searches: list[_Search], tol: float = 1e-9) -> None:
             return
         aggs = []
         for i, s in enumerate(active):
-            z, z1, z2 = _derivatives(s.name, F.col("y"), s.lam)
+            z, z1, z2 = _derivatives(s.name, s.lam)
             aggs += [F.var_pop(z).alias(f"v{i}"), (2.0 * F.covar_pop(z, z1)).alias(f"a{i}"),
                      (2.0 * (F.var_pop(z1) + F.covar_pop(z, z2))).alias(f"b{i}")]
         r = y.agg(*aggs).first()
@@ -114,11 +125,10 @@ def _maximise(y: DataFrame, searches: list[_Search], tol: float = 1e-9) -> None:
 def fit_lambdas(df: DataFrame, col: str, methods: list[str], **kw) -> dict[str, float]:
     """F6/F7 λ by maximum likelihood for any of ``boxcox`` / ``yeo_johnson`` at once.  A constant
     column has no likelihood to maximise and keeps λ = 1."""
-    y = values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+    y = _logs(values(df, col)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         r = y.agg(F.count("y").alias("n"), F.min("y").alias("mn"), F.max("y").alias("mx"),
-                  F.sum(F.when(F.col("y") > 0, F.ln("y"))).alias("sl"),
-                  F.sum(F.signum("y") * F.log1p(F.abs("y"))).alias("sy")).first()
+                  F.sum("ln").alias("sl"), F.sum(F.signum("y") * F.col("ln1")).alias("sy")).first()
         n = r["n"]
         if "boxcox" in methods and (n == 0 or r["mn"] <= 0):
             raise ValueError("Box-Cox needs strictly positive data")
