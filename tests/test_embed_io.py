@@ -90,3 +90,12 @@ def test_bracket_hydrogens_are_read_whole(spark):
     h = 1.00782503223
     assert abs(got["[CH12345]"] - (12 + 12345 * h)) < 0.1 and abs(got["[CH4]"] - (12 + 4 * h)) < 1e-6 and abs(got["[CH]"] - (12 + h)) < 1e-6
     assert got["[CH99999999999]"] > 1e11
+
+
+def test_valid_rows_do_not_inline_the_grammar(spark):
+    from propkit.operators.embed import corpus, train_word2vec, word2vec_embedder
+    d = spark.createDataFrame([(1, "CCO"), (2, "c1ccccc1"), (3, "not_a_molecule("), (4, None)], "row_id long, smiles string")
+    emb = word2vec_embedder(train_word2vec(corpus(d, "smiles", 1), vector_size=4, seed=1), 1)
+    valid = emb(d, "smiles").where("is_valid")
+    assert "regexp" not in valid._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["row_id"] for r in valid.collect()) == [1, 2]
