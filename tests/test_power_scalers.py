@@ -108,3 +108,18 @@ def test_no_likelihood_is_told_apart(spark):
         yeo_johnson_lambda(huge, "v")
     with pytest.raises(ValueError):
         boxcox_lambda(spark.createDataFrame([(float("inf"),), (1.0,)], "v double"), "v")
+
+
+def test_boxcox_fit_with_values_outside_its_domain(spark, tmp_path):
+    from propkit.plans.queries import q_boxcox_fit
+    vals = [0.5, 1.0, 2.5, 4.0, 7.5, 20.0, 55.0]
+    rows = [(i, v) for i, v in enumerate([*vals, 0.0, -3.0, None])]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = q_boxcox_fit(spark, str(tmp_path)).first()
+    x = np.array(vals)
+    grid = np.linspace(got["lam"] - 0.01, got["lam"] + 0.01, 201)
+    assert abs(grid[np.argmax([_bc_llf(x, g) for g in grid])] - got["lam"]) <= 1e-4
+    y = np.array([*vals, 0.0] if got["lam"] > 0 else vals)
+    y = (y ** got["lam"] - 1) / got["lam"]
+    assert abs(((y - y.mean()) ** 3).mean() / y.std() ** 3 - got["skew"]) < 1e-4
+    assert got["n"] == 10
