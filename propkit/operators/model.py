@@ -37,6 +37,7 @@ from propkit.operators.order_stats import order_statistics
 from propkit.operators.power import PowerFit, fit_power
 from propkit.operators.rowid import with_row_index
 from propkit.operators.scalers import FittedScaler, fit_scaler
+from propkit.session import cut_lineage
 
 
 # ---- M1: training set --------------------------------------------------------------
@@ -263,7 +264,7 @@ class KNNRegressor:
         from propkit.operators.neighbors import knn_regress
         # a row may stand in both splits: each id is asked once
         asked = df.select("row_id", "vector").dropDuplicates(["row_id"])
-        pred = knn_regress(self.train, asked, k=self.k).withColumnRenamed("y_pred", "prediction")
+        pred = cut_lineage(knn_regress(self.train, asked, k=self.k)).withColumnRenamed("y_pred", "prediction")  # one search for all uses
         return df.join(pred, "row_id", "inner")
 
 

@@ -67,3 +67,31 @@ def test_no_rows(spark):
     assert N.knn_regress(t, q).count() == 0
     t, q = frames(spark, np.ones((2, 2)), np.zeros((0, 2)))
     assert N.knn_regress(t, q).count() == 0
+
+
+def test_visits_do_not_grow_with_the_cells(spark):
+    """Where no cell can be ruled out a query goes to each other group once, in batches of bounded size."""
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    pivots, rows = rng.normal(0, 1, (1000, 3)), np.full(1000, 100)
+    groups = N.groups_of(rows, 4096)
+    assert np.bincount(groups).max() == 40 and (np.diff(groups) >= 0).all() and groups[-1] == 24
+    assert N.groups_of(np.array([5000, 10, 9000, 0, 20]), 4096).tolist() == [0, 1, 2, 3, 3]
+    x = pa.array(rng.normal(0, 1, (2000, 3)).tolist(), pa.list_(pa.float64()))
+    own = np.arange(2000, dtype=np.int32) % 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), x, pa.array(own), pa.array(np.full(2000, np.inf))], names=["id", "x", "cell", "bound"])
+    got = list(N._visits(pivots, np.ones(1000), rows, groups)(iter([batch])))
+    assert sum(b.num_rows for b in got) == 2000 * 24 and max(b.num_rows for b in got) <= 4096
+
+
+def test_search_in_groups_of_cells(spark, monkeypatch):
+    """Many groups, small blocks of distances, queries that come in several copies."""
+    monkeypatch.setattr(N, "PAIRS", 4096)
+    monkeypatch.setattr(N, "MAX_PIVOTS", 64)
+    rng = np.random.default_rng(9)
+    T, Q = rng.normal(0, 1, (700, 16)), rng.normal(0, 1, (90, 16))
+    t, q = frames(spark, T, Q)
+    got = {}
+    for r in sorted(N.nearest(t, q, k=4, block_rows=20).collect(), key=lambda r: (r.qid, round(r.dist, 9), r.tid)):
+        got.setdefault(r.qid, []).append(r.tid)
+    assert got == brute(T, Q, 4)
