@@ -232,3 +232,25 @@ def test_random_lengths_are_near_the_bound():
     rng = random.Random(1)
     counts = collections.Counter(rng.randint(1, 1024) for _ in range(3000))
     assert check_plan(counts, 1024) <= 1.01 * packing.lower_bound(counts, 1024)
+
+
+def test_tokenising_holds_little_of_a_batch():
+    """What a worker holds does not grow with the Arrow batch (it runs beside others in an executor)."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from propkit.llm import packing
+    from propkit.llm.queries import tokenizer_path
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(2000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 2000, 600)) for _ in range(2400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    run = packing._pieces(tokenizer_path(), 1024, False)
+    list(run(iter([batch.slice(0, 5)])))  # the tokenizer itself
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= len(texts) and peak < 64 << 20
