@@ -269,11 +269,11 @@ def vector_reduction_job(spark: SparkSession, vectors: DataFrame, out_dir: str,
 def word2vec_job(spark: SparkSession, df: DataFrame, col: str, out_dir: str, radius: int = 1,
                  vector_size: int = 300, min_count: int = 1, kind: str = "structure", seed: int = 42):
     """E6 + E7 as a job: corpus written once (whole strings), Word2Vec trained on it, saved."""
-    from propkit.operators.embed import corpus, train_word2vec
+    from propkit.operators.embed import corpus, save_word2vec, train_word2vec
     write_table(corpus(df, col, radius, kind).select("sentence"), f"{out_dir}/corpus")
     model = train_word2vec(spark.read.parquet(f"{out_dir}/corpus"), vector_size=vector_size,
                            min_count=min_count, seed=seed)
-    model.write().overwrite().save(f"{out_dir}/word2vec")
+    save_word2vec(model, f"{out_dir}/word2vec")
     write_sidecar(spark, f"{out_dir}/metadata", {"column": col, "radius": radius, "vector_size": vector_size,
                                                  "min_count": min_count, "kind": kind})
     return model
@@ -296,13 +296,12 @@ def embedding_job(spark: SparkSession, df: DataFrame, col: str, embedder, out_di
 
 def saved_embedder(spark: SparkSession, model_dir: str, id_col: str = "row_id"):
     """``(embedder, pca pipeline or None)`` from the lineage saved beside a model."""
-    from pyspark.ml.feature import Word2VecModel
-    from propkit.operators.embed import word2vec_embedder
+    from propkit.operators.embed import load_word2vec, word2vec_embedder
     from propkit.sources.sinks import load_pipeline
     record = read_sidecar(spark, f"{model_dir}/lineage")
     if "word2vec" not in record:
         raise ValueError(f"{model_dir}/lineage names no embedding")
-    model = Word2VecModel.load(record["word2vec"])
+    model = load_word2vec(spark, record["word2vec"])
     embedder = word2vec_embedder(model, int(record.get("radius", 1)), record.get("kind", "structure"), id_col)
     return embedder, load_pipeline(record["pca"]) if record.get("pca") else None
 

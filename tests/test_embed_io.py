@@ -99,3 +99,33 @@ def test_valid_rows_do_not_inline_the_grammar(spark):
     valid = emb(d, "smiles").where("is_valid")
     assert "regexp" not in valid._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["row_id"] for r in valid.collect()) == [1, 2]
+
+
+def test_large_vocabulary_stays_a_table(spark, tmp_path, monkeypatch):
+    import numpy as np
+    from propkit.operators import embed, skipgram
+    rng = np.random.default_rng(1)
+    texts = [(i % 990, " ".join(f"t{i % 20}w{rng.integers(3)}" for _ in range(20)) + f" once{i}") for i in range(1000)]
+    odd = [(None, "t1w1 t1w2"), (5, ""), (7, None), (8, "once once1x"), (8, "t1w1 T1W1")]  # ids repeat or are null
+    d = spark.createDataFrame(texts + odd, "row_id long, text string").repartition(4)
+    monkeypatch.setattr(embed, "DRIVER_VOCAB_BYTES", 0)
+    monkeypatch.setattr(embed.Word2Vec, "fit", None)  # nothing is trained on the driver
+    monkeypatch.setattr(skipgram, "MOST_TOKENS", 1 << 12)
+    monkeypatch.setattr(skipgram, "LEAST_TOKENS", 1 << 12)  # some chunks, and texts cut between them
+    model = train_word2vec(corpus(d, "text", 0, kind="text"), vector_size=16, min_count=2, seed=1, max_iter=8)
+    vecs = {r["word"]: np.array(r["vector"]) for r in model.getVectors().collect()}
+    assert set(vecs) == {f"t{g}w{i}" for g in range(20) for i in range(3)} and model.getVectorSize() == 16
+    names = sorted(vecs)
+    u = np.array([vecs[w] / np.linalg.norm(vecs[w]) for w in names])
+    topic = np.array([w.split("w")[0] for w in names])
+    nearest = (u @ u.T - 2 * np.eye(len(names))).argmax(1)
+    assert (topic[nearest] == topic).mean() > 0.9  # words of a topic share contexts
+    embed.save_word2vec(model, str(tmp_path / "m"))
+    model = embed.load_word2vec(spark, str(tmp_path / "m"))
+    got = word2vec_embedder(model, 0, "text")(d, "text").collect()
+    assert sorted((r["row_id"] or -1, r["text"] or "") for r in got) == sorted((i or -1, t or "") for i, t in texts + odd)
+    for r in got:
+        known = [vecs[w] for w in (r["text"] or "").lower().split() if w in vecs]
+        assert r["is_valid"] == bool(known) and (r["vector"] is None) == (not known)
+        if known:
+            assert r["vector"] == pytest.approx(np.sum(known, 0), rel=1e-5, abs=1e-6)
