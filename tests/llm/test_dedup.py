@@ -198,6 +198,21 @@ def test_every_shared_window_is_in_a_passage(spark):
             assert split[r.doc_id][r.start_word: r.stop_word] == split[r.other_id][r.other_start: r.other_stop]
 
 
+def test_edited_passages_whose_seeds_others_hold_first(spark):
+    rng = random.Random(31)
+    shared = words(rng, 90).split()
+    edited = lambda first: [words(rng, 1) + "zz" if i % 30 == first else w for i, w in enumerate(shared)]
+    around = lambda w: " ".join([words(rng, 45), *w, words(rng, 45)])
+    # earlier texts hold pieces that are too short for a passage, and so are the first holders of all seeds
+    texts = [around(shared[i: i + 28]) for i in range(0, 90, 14)] + [around(edited(f)) for f in (9, 19, 29)]
+    got = passages.repeated_passages(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)).collect()
+    full = len(texts) - 3
+    group, links = {full}, {(r.doc_id, r.other_id) for r in got}
+    for _ in range(3):
+        group |= {b for a, b in links if a in group}
+    assert group == {full, full + 1, full + 2} and {a for a, _ in links} == group
+
+
 def test_chaining_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
