@@ -8,7 +8,7 @@ import numpy as np
 
 from propkit.llm import _text as T
 
-CACHE_CHUNKS = 1 << 21  # distinct chunks remembered by a worker; beyond it the cache starts anew
+CACHE_CHUNKS = 1 << 18  # distinct chunks remembered by a worker (some 20 MB); beyond it the cache starts anew
 TOKENIZE_BYTES = 4 << 20
 ALNUM, PUNCT = np.zeros(256, bool), np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True

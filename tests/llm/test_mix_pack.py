@@ -254,3 +254,14 @@ def test_tokenising_holds_little_of_a_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows >= len(texts) and peak < 64 << 20
+
+
+def test_a_workers_cache_is_small():
+    tok, held = _tokens.ChunkTokenizer(tokenizer_path()), []
+    for k in range(4):
+        text = " ".join(f"{i:x}q" for i in range(k * 150_000, (k + 1) * 150_000)).encode()
+        buf, ends = np.frombuffer(text + b"\n", np.uint8), np.array([len(text)])
+        ids, bounds = tok.encode(buf, ends, 2)
+        assert tok.enc.decode_bytes(ids[:-1].tolist()) == text and bounds.tolist() == [0, len(ids)]
+        held.append(sum(x.nbytes for x in (tok.table, tok.entry, tok.first, tok.count, tok.flat, tok.raw, tok.at, tok.size)))
+    assert max(held) < 48 << 20
