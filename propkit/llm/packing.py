@@ -32,7 +32,7 @@ from propkit.llm._spark import running_sums, stored
 from propkit.llm._tokens import tokenizer
 
 CAPACITY, END_ID = 1024, 2
-TOKENIZE_BYTES = 1 << 20  # of text at a time; a worker holds some 30 times that, mostly as bounds of chunks
+TOKENIZE_BYTES = 1 << 18  # of text at a time; a worker holds some 30 times that, mostly as bounds of chunks
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
