@@ -235,3 +235,88 @@ def test_chaining_against_brute_force():
         d = c[0]
         value = passages.SEED_GAIN * len(d) - passages.GAP_COST * (x[d[-1]] - x[d[0]] + y[d[-1]] - y[d[0]])
         assert abs(value - max(best)) < 1e-9 and (np.diff(x[d]) > 0).all() and (np.diff(y[d]) > 0).all()
+
+
+def test_chains_of_many_pairs():
+    rng = np.random.default_rng(6)
+    x, y, bounds = [], [], [0]
+    for i in range(400):
+        at = sorted({(int(p), int(q)) for p, q in rng.integers(0, (20, 100, 900)[i % 3], (int(rng.integers(1, 30)), 2))})
+        if i % 2:  # one diagonal, and a turn
+            step = np.cumsum(rng.integers(1, 40, len(at)))
+            at = [(int(p), int(p) + 3 * (j > 4)) for j, p in enumerate(step)]
+        x += [p for p, _ in at]
+        y += [q for _, q in at]
+        bounds.append(len(x))
+    x, y = np.array(x), np.array(y)
+    label = passages.all_chains(x, y, np.array(bounds))
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        got = {tuple(np.flatnonzero(label[lo:hi] == k)) for k in label[lo:hi]}
+        assert got == {tuple(c) for c in passages.chains(x[lo:hi], y[lo:hi])}
+
+
+def plain_reach(same):
+    top, total, best = 0, 0, 0
+    for i, v in enumerate(same):
+        total += 1 if v else -2
+        if total > top:
+            top, best = total, i + 1
+    return best, sum(same[:best])
+
+
+def plain_align(a, b, x, y):
+    matched = 0
+    for p, q, r, s in zip(x[:-1], x[1:], y[:-1], y[1:]):
+        if q - p == s - r:
+            matched += sum(u == v for u, v in zip(a[p:q], b[r:s]))
+            continue
+        row = [0] * (s - r + 1)
+        for u in a[p:q]:
+            new = [0]
+            for j, v in enumerate(b[r:s]):
+                new.append(max(row[j + 1], new[j], row[j] + (u == v)))
+            row = new
+        matched += row[-1]
+    n = min(x[0], y[0], passages.EXTEND)
+    left, m = plain_reach([a[x[0] - i] == b[y[0] - i] for i in range(1, n + 1)])
+    n = min(len(a) - x[-1], len(b) - y[-1], passages.EXTEND + passages.SEED)
+    right, k = plain_reach([a[x[-1] + i] == b[y[-1] + i] for i in range(n)])
+    return x[0] - left, x[-1] + right, y[0] - left, y[-1] + right, matched + m + k
+
+
+def test_alignment_of_many_chains():
+    rng = np.random.default_rng(8)
+    sides, bounds, xs, ys, ends, want = ([], []), ([0], [0]), [], [], [0], []
+    for i in range(200):
+        a = rng.integers(1, (3, 6, 400)[i % 3], int(rng.integers(40, 300))).tolist()
+        b = list(a)
+        for k in rng.integers(0, 30, int(rng.integers(0, 5))).tolist():
+            b[k: k + k % 4] = rng.integers(1, 9, k % 5).tolist()
+        top = min(len(a), len(b)) - passages.SEED
+        x = sorted({int(v) for v in rng.integers(0, min(top, 60), 6)})
+        y = sorted({int(v) for v in rng.integers(0, min(top, 60), 6)}) if i % 2 else x
+        x, y = x[: min(len(x), len(y))], y[: min(len(x), len(y))]
+        want.append(plain_align(a, b, x, y))
+        for side, bound, w in zip(sides, bounds, (a, b)):
+            side += w
+            bound.append(len(side))
+        xs += x
+        ys += y
+        ends.append(len(xs))
+    got = passages.align_all(*(np.array(v, t) for side, bound in zip(sides, bounds) for v, t in ((side, np.uint64), (bound, np.int64))),
+                             np.array(xs), np.array(ys), np.array(ends))
+    assert [tuple(c) for c in got.T.tolist()] == want
+
+
+def test_a_repeated_word_alone_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(41)
+    around = lambda w: " ".join([words(rng, 70), *w, words(rng, 70)])
+    after = words(rng, 45).split()
+    edited = lambda first: [words(rng, 1) + "zz" if i % 12 == first else w for i, w in enumerate(after)]
+    texts = [around(["of"] * (24 + i % 8)) for i in range(30)] + [around(["of"] * 30 + edited(f)) for f in (5, 9)]
+    sought = []
+    seek = passages.pair_matches
+    monkeypatch.setattr(passages, "pair_matches", lambda held, pairs: sought.extend(pairs.collect()) or seek(held, pairs))
+    got = passages.repeated_passages(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(30, 31), (31, 30)}
+    assert 0 < len(sought) < 30
