@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from propkit.llm import exact_dedup, near_dedup, passages, sharding
-from propkit.llm._spark import components
+from propkit.llm._spark import Table, components
 from tests.llm.conftest import odd_rows, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -320,3 +321,33 @@ def test_a_repeated_word_alone_makes_no_pairs(spark, monkeypatch):
     got = passages.repeated_passages(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)).collect()
     assert {(r.doc_id, r.other_id) for r in got} == {(30, 31), (31, 30)}
     assert 0 < len(sought) < 30
+
+
+def test_many_copies_of_a_passage_make_few_pairs(spark, monkeypatch):
+    """Edited copies whose seeds a short piece holds first are linked through one of them, not with each other."""
+    rng = random.Random(43)
+    shared = words(rng, 90).split()
+    around = lambda w: " ".join([words(rng, 45), *w, words(rng, 45)])
+    texts = [around(shared[i: i + 28]) for i in range(0, 90, 14)]
+    full = len(texts)
+    texts += [around([f"e{k}x{i}" if i == 5 + 4 * k else w for i, w in enumerate(shared)]) for k in range(16)]
+    sought = []
+    seek = passages.pair_matches
+    monkeypatch.setattr(passages, "pair_matches", lambda held, pairs: sought.extend(pairs.collect()) or seek(held, pairs))
+    got = passages.repeated_passages(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)).collect()
+    group, links = {full}, {(r.doc_id, r.other_id) for r in got}
+    for _ in range(3):
+        group |= {b for a, b in links if a in group}
+    assert group == {*range(full, full + 16)}
+    assert 0 < sum(r.b >= full for r in sought) < 60  # of 120
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    data = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in f and f.endswith(".data")}
+    was = data()
+    table = Table(spark.range(20000, numPartitions=4).groupBy((F.col("id") % 7000).alias("k")).count())
+    until = time.time() + 20
+    while data() - was and time.time() < until:
+        time.sleep(0.2)
+    assert not data() - was and table.rows.count() == 7000
